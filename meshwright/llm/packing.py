@@ -1,12 +1,12 @@
 """Packing by Karmarkar-Karp multiway differencing (operator 4).
 
 Each document's ids are cut: full windows stand alone, the rest of fewer ids
-than a window is cut into near-equal pieces of at most `piece` ids. The pieces
+than a window is cut into pieces of `piece` ids and a smaller last one. The pieces
 of a block are put into k windows by multiway differencing: partial partitions
 lie in a heap by the spread of their sums, the two of the largest spread are
 merged with opposing order (the fullest window of one with the emptiest of the
 other) until one partition is left. k starts at the least number that could
-hold the block and rises by one as long as a window exceeds the capacity.
+hold the block and rises as long as a window exceeds the capacity.
 
 A block is a run of rows of one input partition, so nothing is shuffled and a
 task holds one block at a time; sequence ids carry the partition's number.
@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame
 from meshwright.llm import tokens
 
 CAPACITY = 2048
-#: Most ids of a cut piece of a rest; smaller pieces balance better and scatter documents more.
-PIECE = 512
+#: Ids of a cut piece of a rest. It divides the capacity; smaller ones balance better and scatter documents more.
+PIECE = 256
 #: Pieces that make a block.
-BLOCK = 1024
+BLOCK = 2048
 COLUMNS = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -84,16 +84,16 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
     k = max(1, -(-sum(sizes) // capacity))
     while True:
         found = differencing(sizes, k)
-        if all(sum(sizes[i] for i in x) <= capacity for x in found):
+        over = sum(max(0, sum(sizes[i] for i in x) - capacity) for x in found)
+        if not over:
             return found
-        k += 1
+        k += -(-over // capacity)  # as many as the excess would fill, one at least
 
 
 def cut(total: int, capacity: int, piece: int) -> tuple[int, list[int]]:
     """How many full windows a document of `total` ids has, and the sizes of the pieces of its rest."""
     full, rest = divmod(total, capacity)
-    n = -(-rest // piece)
-    return full, [rest // n + (i < rest % n) for i in range(n)]
+    return full, [piece] * (rest // piece) + [rest % piece] * (rest % piece > 0)
 
 
 class Block:
