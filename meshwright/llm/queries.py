@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshwright.llm import packing, quality_rules, records
+from meshwright.llm import decontamination, packing, quality_model, quality_rules, records
 from meshwright.llm.shared import read_table
 
 
+def op1_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op4_karmarkar_karp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
@@ -18,12 +22,19 @@ def op5_length_delimited_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.round_trip(read_table(spark, sf_dir, "documents"))
 
 
+def op6_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op9_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(read_table(spark, sf_dir, "documents"))
 
 
+OPERATORS = (op1_compression_classifier, op4_karmarkar_karp_packing, op5_length_delimited_records, op6_cgk_decontamination, op9_compression_bands)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_karmarkar_karp_packing, op5_length_delimited_records, op9_compression_bands)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
