@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshwright.llm import decontamination, packing, quality_model, quality_rules, records
+from meshwright.llm import decontamination, near_duplicates, packing, quality_model, quality_rules, records
 from meshwright.llm.shared import read_table
 
 
@@ -14,6 +14,10 @@ def op1_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op2_odd_sketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.groups(read_table(spark, sf_dir, "documents"), size=2)
+
+
 def op4_karmarkar_karp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
@@ -30,7 +34,7 @@ def op9_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(read_table(spark, sf_dir, "documents"))
 
 
-OPERATORS = (op1_compression_classifier, op4_karmarkar_karp_packing, op5_length_delimited_records, op6_cgk_decontamination, op9_compression_bands)
+OPERATORS = (op1_compression_classifier, op2_odd_sketch_near_duplicates, op4_karmarkar_karp_packing, op5_length_delimited_records, op6_cgk_decontamination, op9_compression_bands)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
