@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshwright.llm import decontamination, near_duplicates, packing, quality_model, quality_rules, records
+from meshwright.llm import decontamination, near_duplicates, packing, personal_data, quality_model, quality_rules, records
 from meshwright.llm.shared import read_table
 
 
@@ -30,11 +30,15 @@ def op6_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op7_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.find(read_table(spark, sf_dir, "documents"))
+
+
 def op9_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(read_table(spark, sf_dir, "documents"))
 
 
-OPERATORS = (op1_compression_classifier, op2_odd_sketch_near_duplicates, op4_karmarkar_karp_packing, op5_length_delimited_records, op6_cgk_decontamination, op9_compression_bands)
+OPERATORS = (op1_compression_classifier, op2_odd_sketch_near_duplicates, op4_karmarkar_karp_packing, op5_length_delimited_records, op6_cgk_decontamination, op7_weak_supervision_pii, op9_compression_bands)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
