@@ -213,32 +213,34 @@ def align(item: list[int], text: list[int], limit: int) -> tuple[int, int, int]
     return (cost[end], begin[end], end - begin[end]) if cost[end] <= limit else None
 
 
+def matches(column: pa.Array, items: Items):
+    """Row, item and (edits, start, words) of each match in a batch of texts."""
+    data, bounds = W.text_bytes(column)
+    for i, j in W.slices(bounds):
+        hashes, first = normal_words(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+        for (row, item), starts in sorted(items.candidates(hashes, first).items()):
+            base = int(first[row])
+            hit = items.verify(item, hashes[base : first[row + 1]], [s - base for s in starts])
+            if hit:
+                yield i + row, item, hit
+
+
 def search(docs: DataFrame, items: Items, item_type: str) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(items)
     doc_type = docs.select("doc_id").schema[0].dataType
-    item_ids = items.ids
 
     def run(batches):
         own = sent.value
         for b in batches:
-            data, bounds = W.text_bytes(b.column(1))
-            out = []
-            for i, j in W.slices(bounds):
-                hashes, first = normal_words(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-                for (row, item), starts in sorted(own.candidates(hashes, first).items()):
-                    base = int(first[row])
-                    hit = own.verify(item, hashes[base : first[row + 1]], [s - base for s in starts])
-                    if hit:
-                        out.append((i + row, own.ids[item], *hit))
+            out = [(row, own.ids[item], *hit, len(own.words[item])) for row, item, hit in matches(b.column(1), own)]
             if out:
-                rows, found, edits, at, size = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(found, kind), pa.array(edits, pa.int64()), pa.array(at, pa.int64()), pa.array(size, pa.int64()), pa.array([len(own.words[places[x]]) for x in found], pa.int64())], names=["doc_id", "item_id", "edits", "start_word", "matched_words", "item_words"])
+                rows, found, *numbers = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(found, kind), *(pa.array(x, pa.int64()) for x in numbers)], names=["doc_id", "item_id", "edits", "start_word", "matched_words", "item_words"])
 
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import _parse_datatype_string
 
     kind = to_arrow_type(_parse_datatype_string(item_type))
-    places = {x: i for i, x in enumerate(item_ids)}
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_type.simpleString()}, item_id {item_type}, edits long, start_word long, matched_words long, item_words long")
 
 
@@ -271,3 +273,20 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for x in found[1:]:
         out = out.unionByName(x)
     return out
+
+
+def drop(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of `docs` that hold no benchmark item, with their columns; no shuffle."""
+    at = docs.columns.index("text")
+    for items in blocks(benchmark):
+        sent = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches, sent=sent):
+            for b in batches:
+                clean = [True] * b.num_rows
+                for row, _, _ in matches(b.column(at), sent.value):
+                    clean[row] = False
+                yield b.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

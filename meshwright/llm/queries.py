@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshwright.llm import decontamination, near_duplicates, packing, personal_data, quality_model, quality_rules, records
+from meshwright.llm import decontamination, near_duplicates, packing, personal_data, quality_model, quality_rules, quotation, records, site_templates, token_counts
 from meshwright.llm.shared import read_table
 
 
@@ -18,6 +18,10 @@ def op2_odd_sketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFram
     return near_duplicates.groups(read_table(spark, sf_dir, "documents"), size=2)
 
 
+def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotation.build(read_table(spark, sf_dir, "conversations"))
+
+
 def op4_karmarkar_karp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
@@ -34,11 +38,30 @@ def op7_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.find(read_table(spark, sf_dir, "documents"))
 
 
+def op8_site_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_templates.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op9_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(read_table(spark, sf_dir, "documents"))
 
 
-OPERATORS = (op1_compression_classifier, op2_odd_sketch_near_duplicates, op4_karmarkar_karp_packing, op5_length_delimited_records, op6_cgk_decontamination, op7_weak_supervision_pii, op9_compression_bands)
+def op10_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(read_table(spark, sf_dir, "documents"))
+
+
+OPERATORS = (
+    op1_compression_classifier,
+    op2_odd_sketch_near_duplicates,
+    op3_quotation_linking,
+    op4_karmarkar_karp_packing,
+    op5_length_delimited_records,
+    op6_cgk_decontamination,
+    op7_weak_supervision_pii,
+    op8_site_template_removal,
+    op9_compression_bands,
+    op10_trie_token_counts,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
