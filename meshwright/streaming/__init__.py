@@ -1,0 +1 @@
+"""Nothing yet: inference runs over one static graph, full batch; there is no stream to process."""
