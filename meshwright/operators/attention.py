@@ -40,10 +40,10 @@ def attend(graph: Graph, features: DataFrame, layer: EGATLayer) -> DataFrame:
         raise ValueError("the layer requires edge features")
     heads, d = layer.heads, layer.out_dim // layer.heads
     at_dst, at_src, at_edge = _score_weights(layer)
-    g = linear(features, [("h", layer.w_node)])
-    both = DenseMatrix(np.concatenate([at_dst.values, at_src.values], axis=1))
-    scores = linear(g, [("h", both)]).withColumnRenamed("h", "s")
-    nodes = g.join(scores, "id")
+    # One map gives g and both score parts: h (W A) = (h W) A.
+    w = layer.w_node.values
+    nodes = linear(features, [("h", DenseMatrix(np.concatenate([w, w @ at_dst.values, w @ at_src.values], axis=1)))])
+    nodes = nodes.select("id", F.slice("h", 1, layer.out_dim).alias("h"), F.slice("h", layer.out_dim + 1, 2 * heads).alias("s"))
     src = nodes.select(F.col("id").alias("src"), "h", F.slice("s", heads + 1, heads).alias("from_src"))
     dst = nodes.select(F.col("id").alias("dst"), F.slice("s", 1, heads).alias("from_dst"))
     # An edge has few features, so its part is a short unrolled product in generated code.
