@@ -18,8 +18,10 @@ from meshwright.graph import Graph
 from meshwright.layers import Activation, Aggregation, EGATLayer, GCNLayer, GNNModel, GraphSAGELayer
 from meshwright.matrix import DenseMatrix
 from meshwright.operators import transform as T
-from meshwright.operators.aggregate import aggregate
+from meshwright.operators.aggregate import aggregate, gather, with_self_loops
 from meshwright.plans.engine import SparkEngine
+from meshwright.plans.verify import verify
+from meshwright.sources import generators
 
 F_IN, HIDDEN, CLASSES = 64, 16, 10
 RELU, SIGMOID = Activation.RELU, Activation.SIGMOID
@@ -389,6 +391,38 @@ def _accuracy(s: SparkSession, d: str) -> DataFrame:
 add("logit_softmax", lambda s, d: long(T.probabilities(_logits(s, d))), sql({**_GCN2, "u": "select id, k, exp(x - max(x) over (partition by id)) as x from z", "s": "select id, k, x / sum(x) over (partition by id) as x from u"}, "s"))
 add("link_scores", lambda s, d: T.link_scores((g := graph(s, d, "g2")).edges, g.nodes).select("src", "dst", rounded(F.col("score")).alias("v")), f"with e as ({G('g2')}), x as ({X}) select src, dst, {V.format('sum(a.x * b.x)')} as v from e join x a on a.id = src join x b on b.id = dst and b.k = a.k group by src, dst")
 add("isolated_nodes", lambda s, d: (g := graph(s, d, "g2")).nodes.select("id").join(g.edges, F.col("dst") == F.col("id"), "left_anti"), f"select vec_id as id from embeddings where vec_id not in (select dst from ({G('g2')}))")
+add(
+    "gather",
+    lambda s, d: gather(g := graph(s, d, "g2"), g.nodes).select("src", "dst", F.posexplode("h").alias("k", "v")).select("src", "dst", F.col("k").cast("long").alias("k"), rounded(F.col("v")).alias("v")),
+    f"with e as ({G('g2')}), x as ({X}) select src, dst, k, {V.format('x')} as v from e join x on id = src",
+)
+add("self_loop_edges", lambda s, d: with_self_loops(graph(s, d, "g2")), f"with e as ({G('g2')}) select src, dst from e union all select vec_id, vec_id from embeddings")
+add(
+    "dense_adjacency",
+    lambda s, d: graph(s, d, "g4").dense_adjacency(),
+    f"with e as ({G('g4')}), n as (select cast(n_nationkey as bigint) as id from nation) select a.id as src, b.id as dst, (select count(*) from e where e.src = a.id and e.dst = b.id) as n from n a, n b",
+)
+add(
+    "csr_offsets",
+    lambda s, d: Graph((g := graph(s, d, "g2")).nodes, g.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).col_ptr(),
+    f"with e as ({G('g2')}), p as (select vec_id as v, (select count(*) from e where src < vec_id) as c, vec_id - (select min(vec_id) from embeddings) as r from embeddings) select cast(r as bigint) as position, c as value from p union all select (select count(*) from embeddings), (select count(*) from e)",
+)
+add("verify_orders", lambda s, d: _verify_orders(s, d), "select true as same, (select count(*) from embeddings) as n, cast(0 as bigint) as missing, cast(0 as bigint) as wrong")
+
+
+def _verify_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """The verifier's row for one layer run transform-first and aggregate-first."""
+    g, model = graph(spark, sf, "g2"), GNNModel(gcn_layers()[:1])
+    got = verify(*(SparkEngine(model, order=o).run(g, g.nodes) for o in ("transform_first", "aggregate_first")))
+    return spark.createDataFrame([(got.same, got.rows, got.missing, got.wrong)], "same boolean, n long, missing long, wrong long")
+
+
+# Generators depend on Spark's hash, so they have no SQL; the tests look at their shape.
+add("erdos_renyi", lambda s, d: generators.erdos_renyi(s, 300, 0.02), None)
+add("random_edges", lambda s, d: generators.random_edges(s, 10_000, 50_000), None)
+add("barabasi_albert", lambda s, d: generators.barabasi_albert(s, 500, 3), None)
+add("power_law_graph", lambda s, d: generators.power_law(s, 10_000, 5), None)
+add("watts_strogatz", lambda s, d: generators.watts_strogatz(s, 10_000, 6, 0.1), None)
 
 
 def entry(spark: SparkSession, sf: str) -> DataFrame:
