@@ -60,7 +60,7 @@ def parsed(messages: DataFrame) -> DataFrame:
     df = messages.select("conv_id", "turn", "role", lines_of("text").alias("lines"))
     blank = "trim(y.body) = ''"
     own = f"""transform(filter(transform(lines, (x, i) -> named_struct('x', x, 'quote', x.level > 0 OR trim(x.body) RLIKE '{ATTRIBUTION}'
-        AND coalesce(element_at(filter(slice(lines, i + 2, 3), y -> NOT ({blank})), 1).level > 0, false))), z -> NOT z.quote), z -> z.x.body)"""
+        AND coalesce(get(filter(slice(lines, i + 2, 3), y -> NOT ({blank})), 0).level > 0, false))), z -> NOT z.quote), z -> z.x.body)"""
     return df.withColumn("own", F.expr(own)).withColumn("n_quoted", F.expr("CAST(size(filter(lines, x -> x.level > 0)) AS long)"))
 
 
