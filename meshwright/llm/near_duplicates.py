@@ -9,13 +9,16 @@ whole sequence is one). Rows with equal sets are one class, told apart by a
    folded, with their positions, into an odd sketch: a bitmap of BITS bits in
    which each sample flips one. The population count of the XOR of two sketches
    estimates how many samples differ, precisely for high similarities.
-2. In each bucket all classes are compared with the bucket's least class. The
-   sketches reject pairs that are far apart (see `far_apart`); for the rest the
-   full sets are intersected. What is linked forms components.
-3. Only classes that are still in another component than their bucket's least
-   class are compared with the other classes of the bucket, the same way. Pairs
-   inside a component cannot change the result, so a bucket of any number of
-   copies costs one comparison a member, and no pairs of them are made.
+2. In each bucket all classes are compared with its head, the class that meets
+   most others: of near copies mostly what they were made from. The sketches
+   reject pairs that are far apart (see `most_flips`); for the rest the full sets
+   are intersected. What is linked forms components.
+3. Only classes that are still in another component than their bucket's head are
+   compared with the other classes of the bucket: pairs inside a component cannot
+   change the result, so a copy costs one comparison in each of its buckets.
+   Beyond SMALL classes this goes on in blocks of bounded size, first of sketches,
+   then of the full sets of what the sketches leave; a block returns no pairs but
+   the links that join components.
 4. Components of all links give component_id.
 
 With similarity 0.8 and 32 bands of 4, a pair at the limit shares no bucket with
@@ -47,6 +50,12 @@ ROWS = HASHES // BANDS
 _rng = np.random.default_rng(2014)
 _FACTORS = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+#: Members (32 bytes each) that may be broadcast to find their texts.
+MOST_SENT = 500_000
+#: Rows, and items of sets, on either side of a block of a bucket.
+BLOCK_ROWS, BLOCK_ITEMS = 4096, 400_000
+#: Buckets of at most so many classes are compared pair by pair.
+SMALL = 64
 #: Shingles hashed at once for a text's samples.
 STEP = 2048
 
@@ -162,6 +171,107 @@ def linked(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common").cast("long") >= percent * (F.col("n") + F.col("m") - F.col("common"))).select("a", "b")
 
 
+def in_blocks(rows: DataFrame, most: int, weight, schema: str, compare) -> DataFrame:
+    """Compare the rows that are `away` with all rows of their bucket, in blocks of bounded size.
+
+    Both sides of a bucket are dealt to chunks of about `most` in weight by a
+    hash; each pair of chunks is a group of its own, whatever the bucket's size.
+    `compare` gets its two sides and returns what it has found, never pairs that
+    are no links.
+    """
+    chunks = rows.groupBy("key").agg(F.greatest(F.ceil(F.sum(F.when(F.col("away"), weight).otherwise(0)) / most), F.lit(1)).cast("int").alias("i_most"), F.ceil(F.sum(weight) / most).cast("int").alias("j_most"))
+    dealt = rows.join(chunks, "key")
+    spread = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
+    left = dealt.where("away").withColumn("i", (spread % F.col("i_most")).cast("int")).withColumn("j", F.explode(F.expr("sequence(0, j_most - 1)"))).withColumn("left", F.lit(True))
+    right = dealt.withColumn("j", (spread % F.col("j_most")).cast("int")).withColumn("i", F.explode(F.expr("sequence(0, i_most - 1)"))).withColumn("left", F.lit(False))
+    both = left.unionByName(right).drop("i_most", "j_most")
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table["left"].to_numpy()
+        found = compare(table.filter(pa.array(side)), table.filter(pa.array(~side)))
+        keys = [pa.array(np.full(len(found[0]), table["key"][0].as_py()), pa.int64())] if names == ["node"] else []
+        return pa.table([*keys, *(pa.array(x, pa.int64()) for x in found)], names=["key"] * len(keys) + names)
+
+    return both.groupBy("key", "i", "j").applyInArrow(run, "key long, " * (names == ["node"]) + schema)
+
+
+def _numbers(table: pa.Table, name: str) -> np.ndarray:
+    return table[name].to_numpy()
+
+
+def _close_ones(percent: int):
+    """Nodes with a partner of another component that sizes and sketches do not rule out."""
+    most = most_flips(percent / 100)
+
+    def compare(a: pa.Table, b: pa.Table):
+        x, y = (np.stack([_numbers(t, f"s{i}") for i in range(BITS // 64)], 1).view(np.uint64) if len(t) else np.zeros((0, BITS // 64), np.uint64) for t in (a, b))
+        n, m, p, q = _numbers(a, "n"), _numbers(b, "n"), _numbers(a, "root"), _numbers(b, "root")
+        hit_a, hit_b = np.zeros(len(x), bool), np.zeros(len(y), bool)
+        for k in range(len(x)):
+            fits = (p[k] != q) & (100 * np.minimum(n[k], m) >= percent * np.maximum(n[k], m))
+            at = np.flatnonzero(fits)
+            at = at[np.bitwise_count(x[k] ^ y[at]).sum(axis=1) <= most]
+            hit_a[k] = len(at) > 0
+            hit_b[at] = True
+        return [np.unique(np.concatenate([_numbers(a, "node")[hit_a], _numbers(b, "node")[hit_b]]))]
+
+    return compare
+
+
+def _linked_ones(percent: int):
+    """Links between components, enough to join all that are linked: full sets against full sets."""
+
+    def items(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        lists = t["items"].combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        return lists.flatten().to_numpy(), np.repeat(np.arange(len(t)), sizes)
+
+    def compare(a: pa.Table, b: pa.Table):
+        n, m, p, q = _numbers(a, "n"), _numbers(b, "n"), _numbers(a, "root"), _numbers(b, "root")
+        common = intersections(*items(a), len(a), *items(b), len(b))
+        hit = (100 * common >= percent * (n[:, None] + m[None, :] - common)) & (p[:, None] != q[None, :])
+        up: dict[int, int] = {}
+
+        def top(v: int) -> int:
+            while up.get(v, v) != v:
+                up[v] = v = up.get(up[v], up[v])
+            return v
+
+        found = []
+        for i, j in zip(*(x.tolist() for x in np.nonzero(hit)), strict=True):
+            u, v = top(int(p[i])), top(int(q[j]))
+            if u != v:
+                up[max(u, v)] = min(u, v)
+                found.append((int(p[i]), int(q[j])))
+        return [np.array([x[k] for x in found], np.int64) for k in (0, 1)]
+
+    return compare
+
+
+def intersections(x: np.ndarray, row: np.ndarray, rows: int, y: np.ndarray, col: np.ndarray, cols: int, step: int = 4096) -> np.ndarray:
+    """How many items each of `rows` sets has in common with each of `cols` sets; a set's items are distinct."""
+    out = np.zeros((rows, cols), np.int64)
+    shared = np.intersect1d(x, y)
+    if not len(shared):
+        return out
+    x_at, y_at = np.searchsorted(shared, x), np.searchsorted(shared, y)
+    x_in = shared[np.minimum(x_at, len(shared) - 1)] == x
+    y_in = shared[np.minimum(y_at, len(shared) - 1)] == y
+    x_at, row, y_at, col = x_at[x_in], row[x_in], y_at[y_in], col[y_in]
+    by_x, by_y = np.argsort(x_at, kind="stable"), np.argsort(y_at, kind="stable")
+    x_at, row, y_at, col = x_at[by_x], row[by_x], y_at[by_y], col[by_y]
+    for k in range(0, len(shared), step):
+        (i, j), (u, v) = np.searchsorted(x_at, [k, k + step]), np.searchsorted(y_at, [k, k + step])
+        used, here = np.unique(row[i:j], return_inverse=True)
+        other, there = np.unique(col[u:v], return_inverse=True)
+        left, right = np.zeros((len(used), step), np.float32), np.zeros((len(other), step), np.float32)
+        left[here, x_at[i:j] - k] = 1
+        right[there, y_at[u:v] - k] = 1
+        out[np.ix_(used, other)] += np.rint(left @ right.T).astype(np.int64)
+    return out
+
+
 def close(left: str, right: str, percent: int):
     """A pair that the sizes and the odd sketches do not rule out."""
     flips = sum((F.bit_count(F.col(f"{left}.s{i}").bitwiseXOR(F.col(f"{right}.s{i}"))) for i in range(BITS // 64)), F.lit(0))
@@ -181,11 +291,15 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     classes = classes.withColumn("node", F.monotonically_increasing_id())
     light = classes.select("node", "n", *bits)
     buckets = classes.select(F.explode("bands").alias("key"), "node")
-    heads = buckets.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("most")).where("head < most").select("key", "head")
-    shared = cut(buckets.join(heads, "key").where("node <> head"))
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    crowded = cut(buckets.join(sizes, "key"))
+    # A bucket's head is its member that meets most others in all its buckets: near copies meet what they were made from most.
+    met = crowded.groupBy("node").agg(F.sum("size").alias("met"))
+    heads = crowded.join(met, "node").groupBy("key").agg(F.max(F.struct(F.col("met"), (-F.col("node")).alias("head"))).alias("x")).select("key", (-F.col("x.head")).alias("head"))
+    shared = cut(crowded.select("key", "node").join(heads, "key"))
 
     # Each member of a bucket with its head.
-    stars = shared.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    stars = shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     near = stars.join(light.alias("p"), F.col("p.node") == F.col("a")).join(light.alias("q"), F.col("q.node") == F.col("b"))
     near = cut(near.where(close("p", "q", percent)).select("a", "b"))
     members = cut(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
@@ -196,17 +310,23 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     # Members that are not in their head's component, with all others of the bucket.
     head_roots = roots.select(F.col("node").alias("head"), F.col("root").alias("head_root"))
     here = shared.join(roots, "node", "left").join(head_roots, "head", "left").select("key", "node", F.coalesce("root", "node").alias("root"), F.coalesce("head_root", "head").alias("head_root"))
-    here = here.withColumn("away", F.col("root") != F.col("head_root"))
-    away = cut(here.where("away").join(light, "node"))
-    odd_keys = away.select("key").distinct()
-    rest = here.join(odd_keys, "key").join(light, "node")
-    p, q = away.alias("p"), rest.alias("q")
-    fresh = (F.col("p.root") != F.col("q.root")) & (~F.col("q.away") | (F.col("p.node") < F.col("q.node")))
-    crossed = cut(p.join(q, (F.col("p.key") == F.col("q.key")) & fresh & close("p", "q", percent)).select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct())
-    if not crossed.isEmpty():
-        late = crossed.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(members, "node", "left_anti")
-        more = linked(crossed, full.unionByName(_full(docs, classes, late, size)), percent)
-        roots = components(links.unionByName(more))
+    here = here.withColumn("away", F.col("root") != F.col("head_root")).drop("head_root")
+    odd = here.groupBy("key").agg(F.count("*").alias("size"), F.max("away").alias("any")).where("any").drop("any")
+    here = cut(here.join(odd, "key").join(light, "node"))
+    if not here.isEmpty():
+        few, many = here.where(F.col("size") <= SMALL).drop("size"), here.where(F.col("size") > SMALL).drop("size")
+        # Small buckets: pairs, each once however many buckets it shares. Large ones: blocks.
+        p, q = few.where("away").alias("p"), few.alias("q")
+        fresh = (F.col("p.key") == F.col("q.key")) & (F.col("p.root") != F.col("q.root")) & (~F.col("q.away") | (F.col("p.node") < F.col("q.node")))
+        crossed = cut(p.join(q, fresh & close("p", "q", percent)).select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct())
+        partners = cut(in_blocks(many, BLOCK_ROWS, F.lit(1), "node long", _close_ones(percent)).distinct())
+        late = cut(crossed.select(F.explode(F.array("a", "b")).alias("node")).unionByName(partners.select("node")).distinct())
+        full = full.join(late, "node", "left_semi").unionByName(_full(docs, classes, late.join(members, "node", "left_anti"), size))
+        full = cut(full)
+        fuller = many.select("key", "node", "root", "away", "n").join(partners, ["key", "node"]).join(full, "node")
+        between = in_blocks(fuller, BLOCK_ITEMS, F.col("n"), "a long, b long", _linked_ones(percent))
+        known = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = cut(components(known.unionByName(linked(crossed, full, percent)).unionByName(between)))
 
     # From nodes back to rows: a component is named by its least doc_id.
     id_type = dict(docs.dtypes)["doc_id"]
@@ -220,9 +340,10 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 def _full(docs: DataFrame, classes: DataFrame, members: DataFrame, size: int) -> DataFrame:
     """node and full set of `members`, made from the text of one row of each class."""
-    wanted = classes.join(members, "node").select("place", "node", "d0", "d1")
-    texts = docs.select("place", "text").join(wanted, "place")
-    # One row of a class is enough; after the join on `place` this needs no further shuffle.
+    wanted = cut(classes.join(members, "node").select("place", "node", "d0", "d1"))
+    # Few enough members go to the texts; beyond that the texts are shuffled.
+    texts = docs.select("place", "text").join(F.broadcast(wanted) if wanted.count() <= MOST_SENT else wanted, "place")
+    # One row of a class is enough.
     texts = texts.groupBy("place", "node", "d0", "d1", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
     return sets(texts.select("text", "node", "d0", "d1"), size)
 
