@@ -44,6 +44,8 @@ def bias(cols: int) -> tuple[float, ...]:
 
 # --- graphs and features
 
+#: Revenue in whole ten-thousandths, so that sums are exact in any order.
+REVENUE = "CAST(round(l_extendedprice * 100) AS bigint) * CAST(round((1 - l_discount) * 100) AS bigint)"
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -78,7 +80,7 @@ def graph(spark: SparkSession, sf: str, name: str) -> Graph:
     items, orders = _table(spark, sf, "lineitem"), _table(spark, sf, "orders")
     supplier, customer = _table(spark, sf, "supplier"), _table(spark, sf, "customer")
     sold = items.join(supplier, F.col("s_suppkey") == F.col("l_suppkey")).join(orders, F.col("o_orderkey") == F.col("l_orderkey")).join(customer, F.col("c_custkey") == F.col("o_custkey"))
-    e = sold.groupBy(F.col("s_nationkey").cast("long").alias("src"), F.col("c_nationkey").cast("long").alias("dst")).agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("weight"))
+    e = sold.groupBy(F.col("s_nationkey").cast("long").alias("src"), F.col("c_nationkey").cast("long").alias("dst")).agg((F.sum(F.expr(REVENUE)).cast("double") / 10000).alias("weight"))
     nodes = _table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
     return Graph.from_edges(e, nodes)
 
@@ -103,7 +105,7 @@ def G(name: str) -> str:
         "g2": f"select distinct l_orderkey % {n} as src, ((l_partkey % {n}) * (l_partkey % {n})) // {n} as dst from lineitem where l_linenumber = 1 and l_quantity > 40",
         "g2e": f"select row_number() over () as e, l_orderkey % {n} as src, ((l_partkey % {n}) * (l_partkey % {n})) // {n} as dst, l_discount as f0, l_tax as f1, l_quantity / 50 as f2 from lineitem where l_linenumber = 1 and l_quantity > 40",
         "g3": "select l_suppkey as src, l_partkey + (select count(*) from supplier) as dst, sum(l_quantity) as weight from lineitem group by 1, 2",
-        "g4": "select cast(s_nationkey as bigint) as src, cast(c_nationkey as bigint) as dst, round(sum(l_extendedprice * (1 - l_discount)), 2) as weight from lineitem join supplier on s_suppkey = l_suppkey join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey group by 1, 2",
+        "g4": "select cast(s_nationkey as bigint) as src, cast(c_nationkey as bigint) as dst, cast(sum(cast(round(l_extendedprice * 100) as bigint) * cast(round((1 - l_discount) * 100) as bigint)) as double) / 10000 as weight from lineitem join supplier on s_suppkey = l_suppkey join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey group by 1, 2",
     }[name]
 
 
@@ -192,12 +194,12 @@ def _nation(s: SparkSession, d: str) -> tuple[Graph, DataFrame]:
 
 def _scaled_nation(s: SparkSession, d: str, kind: Aggregation) -> DataFrame:
     g, h = _nation(s, d)
-    g = Graph(g.nodes, g.edges.withColumn("weight", F.col("weight") / 1000000))
+    g = Graph(g.nodes, g.edges.withColumn("weight", F.col("weight") / 1048576))
     return long(aggregate(g, h, kind, 2, use_edge_weights=True), "m")
 
 
 for _name, _kind, _text in (("sum", SUM, "sum"), ("mean", MEAN, "avg"), ("max", MAX, "max")):
-    add(f"agg_weighted_{_name}", lambda s, d, kind=_kind: _scaled_nation(s, d, kind), sql({**_NATION, "m": agg_sql(_text, "x", 2, weight="(a.weight / 1000000)")}, "m"))
+    add(f"agg_weighted_{_name}", lambda s, d, kind=_kind: _scaled_nation(s, d, kind), sql({**_NATION, "m": agg_sql(_text, "x", 2, weight="(a.weight / 1048576)")}, "m"))
 
 
 
@@ -225,7 +227,7 @@ for _side, _col in (("in", "dst"), ("out", "src")):
     add(f"{_side}_degree", lambda s, d, side=_side: getattr(graph(s, d, "g2"), f"{side}_degrees")(), f"with e as ({G('g2')}) select vec_id as id, cast(coalesce(n, 0) as bigint) as degree from embeddings left join (select {_col}, count(*) as n from e group by {_col}) on {_col} = vec_id")
 add("in_neighbors", lambda s, d: graph(s, d, "g2").in_neighbours(), f"with e as ({G('g2')}) select dst as id, row_number() over (order by dst, src) - 1 as edge_id, src as neighbour from e")
 add("out_neighbors", lambda s, d: graph(s, d, "g2").out_neighbours(), f"with e as ({G('g2')}) select src as id, row_number() over (order by dst, src) - 1 as edge_id, dst as neighbour from e")
-add("in_weights", lambda s, d: graph(s, d, "g4").in_weights().withColumn("weight", F.round("weight", 2)), f"with e as ({G('g4')}) select dst as id, row_number() over (order by dst, src) - 1 as edge_id, weight from e")
+add("in_weights", lambda s, d: graph(s, d, "g4").in_weights(), f"with e as ({G('g4')}) select dst as id, row_number() over (order by dst, src) - 1 as edge_id, weight from e")
 add("edge_weights", lambda s, d: graph(s, d, "g3").weights(), f"with e as ({G('g3')}) select row_number() over (order by dst, src) - 1 as edge_id, weight from e")
 add("edge_weight_default", lambda s, d: graph(s, d, "g2").weights(), f"with e as ({G('g2')}) select row_number() over (order by dst, src) - 1 as edge_id, cast(1 as double) as weight from e")
 add("edge_source", lambda s, d: graph(s, d, "g2").with_edge_ids().edges.select("edge_id", "src"), f"with e as ({G('g2')}) select row_number() over (order by dst, src) - 1 as edge_id, src from e")
