@@ -7,8 +7,9 @@ pre-tokens of a batch are inserted in a trie, and each trie node holds the best
 forward score of its prefix and the number of tokens on the way there: the
 dynamic program runs once for each node, so once for each shared prefix, and
 the count of a pre-token is read at its terminal node. The trie lives as long as
-its Python worker and starts afresh beyond MOST_NODES nodes, which bounds memory
-and changes no count. A node is extended by walking up to the longest piece's
+its Python worker and starts afresh beyond MOST_NODES nodes, as do the terminal
+counts beyond MOST_TERMINALS, which bounds memory and changes no count; a
+pre-token whose terminal count is stored is not walked again. A node is extended by walking up to the longest piece's
 length towards the root, so the work per character is bounded too.
 
 The vocabulary is a public one of 32,000 pieces, read as it is. Its file ranks
@@ -35,6 +36,7 @@ from meshwright.llm import words as W
 
 MARK = "▁"
 MOST_NODES = 800_000
+MOST_TERMINALS = 3_000_000
 COLUMNS = "n_words long, n_tokens long, score double"
 
 
@@ -63,11 +65,35 @@ class Trie:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.clear()
+        self.forget()
 
     def clear(self) -> None:
         self.children: list[dict[str, int] | None] = [None]
         self.score, self.tokens = [0.0], [0]
 
+    def forget(self) -> None:
+        """Drop the stored terminal counts (by pre-token hash, ascending)."""
+        self.known = np.zeros(0, np.uint64)
+        self.known_counts, self.known_scores = np.zeros(0, np.int32), np.zeros(0)
+
+    def counts_of(self, hashes: np.ndarray, text_of) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens and scores of distinct pre-tokens by ascending hash; `text_of` gives the texts at some positions."""
+        place = np.minimum(np.searchsorted(self.known, hashes), max(0, len(self.known) - 1))
+        new = np.flatnonzero(self.known[place] != hashes) if len(self.known) else np.arange(len(hashes))
+        if len(self.known) + len(new) > MOST_TERMINALS:
+            self.forget()
+            new = np.arange(len(hashes))
+        if len(new):
+            words = text_of(new)
+            order = sorted(range(len(words)), key=words.__getitem__)
+            counts, best = np.empty(len(words), np.int32), np.empty(len(words))
+            counts[order], best[order] = self.terminals([words[i] for i in order])
+            at = np.searchsorted(self.known, hashes[new])
+            self.known = np.insert(self.known, at, hashes[new])
+            self.known_counts, self.known_scores = np.insert(self.known_counts, at, counts), np.insert(self.known_scores, at, best)
+            place = np.searchsorted(self.known, hashes)
+        return self.known_counts[place], self.known_scores[place]
+
     def insert(self, word: str, path: list[int]) -> int:
         """The terminal node of `word`; `path` (the nodes of its prefixes, root first) is filled up on the way."""
         scores, longest, byte = self.vocabulary.scores, self.vocabulary.longest, self.vocabulary.byte
@@ -129,16 +155,16 @@ def count_rows(data: np.ndarray, bounds: np.ndarray, own: Trie) -> tuple[np.ndar
     n = len(bounds) - 1
     if not len(found.hashes):
         return np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
-    _, first, index = np.unique(found.hashes, return_index=True, return_inverse=True)
+    distinct, first, index = np.unique(found.hashes, return_index=True, return_inverse=True)
     raw = data.tobytes()
-    distinct = [MARK + raw[s:e].decode("utf-8", "replace") for s, e in zip(found.starts[first].tolist(), found.ends[first].tolist(), strict=True)]
-    order = sorted(range(len(distinct)), key=distinct.__getitem__)
-    counts, best = own.terminals([distinct[i] for i in order])
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
-    place = back[index]
+
+    def text_of(new: np.ndarray) -> list[str]:
+        return [MARK + raw[s:e].decode("utf-8", "replace") for s, e in zip(found.starts[first[new]].tolist(), found.ends[first[new]].tolist(), strict=True)]
+
+    counts, best = own.counts_of(distinct, text_of)
+    counts, best = counts[index], best[index]
     rows = found.rows
-    return np.diff(found.first), np.bincount(rows, counts[place], n).astype(np.int64), np.bincount(rows, best[place], n)
+    return np.diff(found.first), np.bincount(rows, counts, n).astype(np.int64), np.bincount(rows, best, n)
 
 
 def count(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model") -> DataFrame:
