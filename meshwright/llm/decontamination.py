@@ -63,49 +63,65 @@ def normal_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
 class Repeat:
     """One walk: its bits come from `salt`; `steps` are the sampled ones for each window size."""
 
+    number: int
     salt: int
+    #: The first sampled step, of all window sizes.
+    first: int
     steps: dict[int, list[int]]
     #: For each window size and each prefix of the sample: the keys' low bits that items have.
     tables: dict[int, list[np.ndarray]] = field(default_factory=dict)
     items: dict[int, dict[int, list[int]]] = field(default_factory=dict)
+    any_first: np.ndarray | None = None
 
 
-class Walk:
-    """The common walk of all windows of a batch: pointers after any step, and the moves of each word."""
+def early_bits(hashes: np.ndarray, group: int) -> np.ndarray:
+    """The words' moves at the first FIRST_STEPS steps of the ten repeats of a group, six bits each."""
+    return W.mix(hashes ^ np.uint64(((2 * group + 1) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF))
 
-    def __init__(self, hashes: np.ndarray, salt: int):
-        self.hashes, self.salt = hashes, salt
-        self.mixed = {}
 
-    def moves(self, at: np.ndarray, step: int) -> np.ndarray:
-        k = step // 60
-        if k not in self.mixed:
-            self.mixed[k] = W.mix(self.hashes ^ np.uint64((self.salt * 1_000_003 + k) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-        return ((self.mixed[k][at] >> np.uint64(step % 60)) & np.uint64(1)).astype(np.int64)
+def moves(symbols: np.ndarray, salt: int, step: int) -> np.ndarray:
+    """Whether the walk moves on from these words at a later step."""
+    x = (symbols ^ np.uint64(((salt + step) * 0xD1B54A32D192ED03) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0x9FB21C651E98DF25)
+    return (x >> np.uint64(63)).astype(np.int64)
+
+
+def first_slot(symbols: np.ndarray) -> np.ndarray:
+    """The table place of a key's first symbol."""
+    return (symbols >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
 
 def extend(key: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     return W.mix(key * np.uint64(0x9FB21C651E98DF25) + symbol)
 
 
-def sample(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int, repeat: Repeat, tables: list[np.ndarray] | None = None):
-    """The bucket keys of the windows of `size` words at `starts`, and which windows are left.
+def early_walk(early: np.ndarray, ends: np.ndarray, repeat: Repeat) -> np.ndarray:
+    """Each window's pointer when the first step is sampled, held at the last word of its row."""
+    at = np.arange(len(early), dtype=np.int64)
+    for step in range(repeat.first):
+        shift = np.uint64(FIRST_STEPS * (repeat.number % 10) + step)
+        at += ((early[at] >> shift) & np.uint64(1)).astype(np.int64)
+        np.minimum(at, ends - 1, out=at)
+    return at
+
+
+def sample(hashes: np.ndarray, starts: np.ndarray, at: np.ndarray, ends: np.ndarray, size: int, repeat: Repeat, tables: list[np.ndarray] | None = None, upto: int | None = None):
+    """The bucket keys of the windows of `size` words at `starts`, whose pointers are `at` at the first sampled step, and which windows are left.
 
     `ends`: where each window's text ends; beyond that, and beyond the window, lies the symbol 0.
     With `tables`, windows whose key so far no item has are given up on the way.
     """
-    walk = Walk(hashes, repeat.salt)
-    left, at, key, step = np.arange(len(starts)), starts.copy(), np.zeros(len(starts), np.uint64), 0
-    stop = np.minimum(starts + size, ends)
-    for i, wanted in enumerate(repeat.steps[size]):
+    left, key, step = np.arange(len(starts)), np.zeros(len(starts), np.uint64), repeat.first
+    at, stop = at.copy(), np.minimum(starts + size, ends)
+    for i, wanted in enumerate(repeat.steps[size][:upto]):
         while step < wanted:
-            inside = np.minimum(at, len(hashes) - 1)
-            at = at + np.where(at < stop, walk.moves(inside, step), 0)
+            inside = at < stop
+            at += moves(hashes[np.minimum(at, len(hashes) - 1)], repeat.salt, step) * inside
             step += 1
         symbol = np.where(at < stop, hashes[np.minimum(at, len(hashes) - 1)], np.uint64(0))
         key = extend(key, symbol)
         if tables is not None:
-            fits = tables[i][(key >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
+            place = first_slot(symbol) if i == 0 else first_slot(key)
+            fits = tables[i][place]
             left, at, key, stop = left[fits], at[fits], key[fits], stop[fits]
     return key, left
 
@@ -123,29 +139,31 @@ class Items:
         self.sizes = sorted({1 << (len(self.words[i]).bit_length() - 1) for i in used})
         rng = np.random.default_rng(seed)
         self.repeats = []
-        for _ in range(repeats):
+        for number in range(repeats):
             salt = int(rng.integers(1, 1 << 40))
-            early = int(rng.integers(0, FIRST_STEPS))
-            repeat = Repeat(salt, {})
-            for size in self.sizes:
-                others = rng.choice(np.arange(early + 1, 2 * size - 2), samples - 1, replace=False)
-                repeat.steps[size] = [early, *sorted(int(x) for x in others)]
+            first = int(rng.integers(0, FIRST_STEPS))
+            repeat = Repeat(number, salt, first, {})
             for size in self.sizes:
+                others = rng.choice(np.arange(first + 1, 2 * size - 2), samples - 1, replace=False)
+                repeat.steps[size] = [first, *sorted(int(x) for x in others)]
                 own = [i for i in used if 1 << (len(self.words[i]).bit_length() - 1) == size]
                 flat = np.concatenate([self.words[i] for i in own])
-                ends = np.cumsum([len(self.words[i]) for i in own])
-                starts = ends - [len(self.words[i]) for i in own]
+                counts = np.array([len(self.words[i]) for i in own])
+                ends = np.cumsum(counts)
+                starts = ends - counts
+                at = early_walk(early_bits(flat, number // 10), np.repeat(ends, counts), repeat)[starts]
                 tables = []
                 for n in range(1, samples + 1):
-                    key, _ = sample(flat, starts, ends, size, Repeat(salt, {size: repeat.steps[size][:n]}))
+                    key, _ = sample(flat, starts, at, ends, size, repeat, upto=n)
                     table = np.zeros(1 << TABLE_BITS, bool)
-                    table[(key >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
+                    table[first_slot(flat[at]) if n == 1 else first_slot(key)] = True
                     tables.append(table)
                 repeat.tables[size] = tables
                 buckets: dict[int, list[int]] = {}
                 for k, i in zip(key.tolist(), own, strict=True):
                     buckets.setdefault(k, []).append(i)
                 repeat.items[size] = buckets
+            repeat.any_first = np.logical_or.reduce([repeat.tables[x][0] for x in self.sizes]) if self.sizes else np.zeros(1 << TABLE_BITS, bool)
             self.repeats.append(repeat)
 
     def candidates(self, hashes: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], list[int]]:
@@ -155,18 +173,17 @@ class Items:
             return {}
         row_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
         ends = first[1:][row_of]
+        slots = first_slot(hashes)
         for repeat in self.repeats:
-            # All window sizes share the first sampled step; the walk up to it is done once.
-            starts = np.arange(len(hashes))
-            early = repeat.steps[self.sizes[0]][0] if self.sizes else 0
-            walk, at = Walk(hashes, repeat.salt), starts
-            for step in range(early):
-                at = np.minimum(at + walk.moves(at, step), ends - 1)
-            first_key = extend(np.zeros(1, np.uint64), hashes)[at]
+            if repeat.number % 10 == 0:
+                early = early_bits(hashes, repeat.number // 10)
+            # All window sizes share the walk to the first sampled step, where most windows are given up.
+            at = early_walk(early, ends, repeat)
+            likely = np.flatnonzero(repeat.any_first[slots[at]])
             for size in self.sizes:
-                likely = np.flatnonzero(repeat.tables[size][0][(first_key >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
-                key, left = sample(hashes, starts[likely], ends[likely], size, repeat, repeat.tables[size])
-                for k, s in zip(key.tolist(), likely[left].tolist(), strict=True):
+                own = likely[repeat.tables[size][0][slots[at[likely]]]]
+                key, left = sample(hashes, own, at[own], ends[own], size, repeat, repeat.tables[size])
+                for k, s in zip(key.tolist(), own[left].tolist(), strict=True):
                     for i in repeat.items[size].get(k, ()):
                         found.setdefault((int(row_of[s]), i), set()).add(s)
         return {k: sorted(v) for k, v in found.items()}
