@@ -179,6 +179,22 @@ def test_recall_with_edits_is_at_least_the_target(benchmark_items):
     assert sum(x in found for x in want) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("n", [100, 255, 400, 1000])
+def test_recall_does_not_fall_with_an_items_length(n):
+    rng = random.Random(n)
+    pairs = [(i, " ".join(f"w{int(rng.expovariate(0.02))}" for _ in range(n))) for i in range(20)]
+    items = decontamination.Items(*map(list, zip(*pairs, strict=True)))
+    texts = [" ".join([f"q{rng.randrange(99)}" for _ in range(30)] + edited(rng, t.split(), int(decontamination.MOST_EDITS * n)) + ["end"] * 5) for _, t in pairs]
+    found = {(row, item) for row, item, _ in decontamination.matches(pa.array(texts), items)}
+    assert sum((k, k) in found for k in range(20)) >= 0.9 * 20
+
+
+def test_items_of_few_words_are_found_exactly():
+    items = decontamination.Items([7, 8, 9], ["What is it?", "yes", "one two three four five six seven"])
+    texts = ["so what is IT now", "what is", "it, yes", "one two three four five six", "one two three four five six seven", None, "what", "is it"]
+    assert sorted((row, items.ids[i], hit) for row, i, hit in decontamination.matches(pa.array(texts), items)) == [(0, 7, (0, 1, 3)), (2, 8, (0, 1, 1)), (4, 9, (0, 0, 7))]
+
+
 def test_alignment_equals_plain_edit_distance():
     rng = random.Random(14)
     for _ in range(60):
