@@ -56,6 +56,34 @@ def test_bands_reject_repetition_and_noise():
     assert kept == [True, False, False]
 
 
+def random_words(rng, alphabet, n):
+    out = ""
+    while len(out) < n:
+        out += "".join(rng.choice(alphabet) for _ in range(rng.randint(3, 10))) + " "
+    return out[:n]
+
+
+@pytest.mark.parametrize("n", [200, 600, 2000, 8000])
+def test_bands_reject_noise_of_any_length(n):
+    rng = random.Random(n)
+    figures = "".join(map(chr, range(33, 127)))
+    letters = "".join(x for x in figures if x.isalnum())
+    texts = [random_words(rng, x, n) for x in (figures, letters) for _ in range(10)]
+    got = quality_rules.measure_batch(pa.array(texts), quality_rules.Bands())
+    assert not any(got[6].to_pylist())
+    assert any(x.as_py() >= 20 for x in got[0])
+
+
+def test_bands_reject_documents_that_end_in_noise():
+    rng = random.Random(5)
+    parts = [a + b for a in ("the", "on", "er", "ti", "re", "an", "ol", "ke", "mi", "sa", "u", "pro") for b in ("n", "st", "me", "ver", "a", "cti", "ing", "ous", "be", "da")]
+    prose = lambda n: " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(n))[:n]
+    figures = "".join(map(chr, range(33, 127)))
+    texts = [prose(32768), prose(6000), prose(18 << 10) + random_words(rng, figures, 14 << 10), prose(4096) + random_words(rng, figures, 1900)]
+    kept = quality_rules.measure_batch(pa.array(texts), quality_rules.Bands())[6].to_pylist()
+    assert kept == [True, True, False, False]
+
+
 def test_rules_query_and_filter(odd, docs):
     rows = {(r.doc_id, r.n_words, r.kept) for r in quality_rules.measure(odd).collect()}
     assert (1, 0, False) in rows and (5, 40_000, False) in rows and len(rows) == 7
