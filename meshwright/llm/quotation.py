@@ -7,7 +7,9 @@ of their lines are normalised (lower case, letters and digits, single spaces)
 and hashed; so are the quoted ones. A quoted hash is joined to the first message
 of the conversation that has it as its own, if that came earlier. The message
 replies to the one it quotes most lines of (level 1 counts before deeper levels,
-which quote what the other had quoted; then the later one). Texts lose their
+which quote what the other had quoted; then the later one). Lines and passages of
+fewer than LEAST_CHARS characters, which greetings are among, count at a level only
+where no longer ones link to an earlier message. Texts lose their
 quoted lines and the attribution line right before a quote.
 
 Reply order: `thread` lists the turns from the thread's first message down to
@@ -35,12 +37,14 @@ from meshwright.llm.shared import cut
 
 MARKS = r"^[ \t]{0,3}((?:>[ \t]?)+)"
 ATTRIBUTION = r"(?i)(^on .{1,200} wrote:$|^.{1,120} (wrote|writes|schrieb|a écrit|escribió) ?:$|^-{2,} ?original message ?-{2,}$)"
-#: Passages of fewer normalised characters say too little to link by.
+#: Passages of fewer normalised characters link only where no longer ones do.
 LEAST_CHARS = 12
 
 
 def normal(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+    """Letters and digits; of a text without any, all that isn't white space."""
+    plain = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+    return F.when(plain != "", plain).otherwise(F.regexp_replace(text, r"\s+", ""))
 
 
 def lines_of(text: str) -> Column:
@@ -65,7 +69,7 @@ def parsed(messages: DataFrame) -> DataFrame:
 
 
 def passages(rows: DataFrame, lines: str) -> DataFrame:
-    """conv_id, turn, level and body of each line in `lines`, and of each run of lines of one level (blank ones left out).
+    """conv_id, turn, level, hash and whether it is short, of each line in `lines`, and of each run of lines of one level (blank ones left out).
 
     Runs are found by joining the lines with one sign where the level stays and
     another where it changes, and splitting there: linear in a text of any length.
@@ -74,7 +78,7 @@ def passages(rows: DataFrame, lines: str) -> DataFrame:
     signs = "concat(CASE WHEN i = 0 THEN concat(x.level, '\\u0002') WHEN l[i - 1].level = x.level THEN ' ' ELSE concat('\\u0001', x.level, '\\u0002') END, x.body)"
     full = full.withColumn("runs", F.expr(f"split(array_join(transform(l, (x, i) -> {signs}), ''), '\\u0001')"))
     each = full.select("conv_id", "turn", F.explode(F.expr("concat(transform(l, x -> concat(x.level, '\\u0002', x.body)), CASE WHEN size(l) > 1 THEN runs ELSE array() END)")).alias("p"))
-    return each.select("conv_id", "turn", F.split("p", "\u0002").alias("p")).select("conv_id", "turn", F.col("p")[0].cast("int").alias("level"), normal(F.col("p")[1]).alias("body")).where(F.length("body") >= LEAST_CHARS).select("conv_id", "turn", "level", F.xxhash64("body").alias("hash"))
+    return each.select("conv_id", "turn", F.split("p", "\u0002").alias("p")).select("conv_id", "turn", F.col("p")[0].cast("int").alias("level"), normal(F.col("p")[1]).alias("body")).where("body <> ''").select("conv_id", "turn", "level", F.xxhash64("body").alias("hash"), (F.length("body") < LEAST_CHARS).alias("short"))
 
 
 def links(messages: DataFrame) -> DataFrame:
@@ -84,9 +88,12 @@ def links(messages: DataFrame) -> DataFrame:
     quotes = passages(rows.where("n_quoted > 0"), "lines").where("level > 0")
     own = passages(rows.withColumn("own", F.transform("own", lambda x: F.struct(F.lit(0).alias("level"), x.alias("body")))), "own")
     first = own.join(quotes.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi").groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
-    hits = quotes.groupBy("conv_id", "turn", "level", "hash").count().join(first, ["conv_id", "hash"]).where("origin < turn")
-    score = hits.groupBy("conv_id", "turn", "origin").agg(F.sum(F.when(F.col("level") == 1, F.col("count")).otherwise(0)).alias("near"), F.sum("count").alias("all"))
-    return score.groupBy("conv_id", "turn").agg(F.max_by("origin", F.struct("near", "all", "origin")).alias("reply_to"))
+    hits = quotes.groupBy("conv_id", "turn", "level", "hash", "short").count().join(first, ["conv_id", "hash"]).where("origin < turn")
+    lines = lambda which: F.sum(F.when(which, F.col("count")).otherwise(0))
+    near, short = F.col("level") == 1, F.col("short")
+    score = hits.groupBy("conv_id", "turn", "origin").agg(lines(near & ~short).alias("near"), lines(near & short).alias("near_short"), lines(~short).alias("all"), lines(short).alias("all_short"))
+    order = F.struct("near", F.when(F.col("near") == 0, F.col("near_short")).otherwise(0), "all", F.when(F.col("all") == 0, F.col("all_short")).otherwise(0), "origin")
+    return score.groupBy("conv_id", "turn").agg(F.max_by("origin", order).alias("reply_to"))
 
 
 def threads(replies: DataFrame) -> DataFrame:

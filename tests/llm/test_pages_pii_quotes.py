@@ -172,6 +172,21 @@ def test_replies_and_threads(spark):
     assert quotation.build(df.limit(0)).count() == 0
 
 
+def test_short_quotes_link(spark):
+    rows = [
+        (1, 0, "Hi Bob,\nshall we meet on Friday at noon?\nThanks"),
+        (1, 1, "Hi Bob,\nSounds good!"),
+        (1, 2, "> Sounds good!\nsee you there then"),
+        (1, 3, "> see you there then\n\nHi Bob,\n👍"),
+        (1, 4, "> \U0001f44d\nok"),
+        (1, 5, "> Hi Bob,\n> see you there then\n> Thanks\nfine by me as well"),
+        (1, 6, "> ok\n>> shall we meet on Friday at noon?\nwhere is it?"),
+        (1, 7, "> Hi Bob,\nno more"),
+    ]
+    got = quotation.build(spark.createDataFrame([(c, k, "u", t) for c, k, t in rows], "conv_id long, turn int, role string, text string")).collect()
+    assert {r.turn: r.reply_to for r in got} == {0: None, 1: None, 2: 1, 3: 2, 4: 3, 5: 2, 6: 4, 7: 0}
+
+
 def test_long_chains_and_hot_passages(spark):
     rows = [(7, i, "u", (f"> message number {i - 1} of the chain\n" if i else "") + f"message number {i} of the chain") for i in range(40)]
     rows += [(8, i, "u", "the very same words in every message" if i % 2 == 0 else "> the very same words in every message\nyes") for i in range(300)]
