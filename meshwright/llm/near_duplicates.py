@@ -114,7 +114,7 @@ def most_flips(similarity: float) -> int:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, place and SIGNATURE of each row of `docs` (doc_id, text, place)."""
+    """doc_id, place, h and SIGNATURE of each row of `docs` (doc_id, text, place, h)."""
 
     def run(batches):
         for b in batches:
@@ -138,11 +138,11 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                         bands[k], odd[k] = x, y
                 d = d.view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, n), b.column(2).slice(i, n), pa.array(counts, pa.int64()), pa.array(d[:, 0], mask=mask), pa.array(d[:, 1], mask=mask), pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
-                    names=["doc_id", "place", "n_shingles", "d0", "d1", "bands", "sketch"],
+                    [b.column(0).slice(i, n), b.column(2).slice(i, n), b.column(3).slice(i, n), pa.array(counts, pa.int64()), pa.array(d[:, 0], mask=mask), pa.array(d[:, 1], mask=mask), pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
+                    names=["doc_id", "place", "h", "n_shingles", "d0", "d1", "bands", "sketch"],
                 )
 
-    return docs.select("doc_id", "text", "place").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, place long, {SIGNATURE}")
+    return docs.select("doc_id", "text", "place", "h").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, place long, h long, {SIGNATURE}")
 
 
 def digest(shingles: np.ndarray) -> tuple[np.uint64, np.uint64]:
@@ -281,8 +281,13 @@ def close(left: str, right: str, percent: int):
 
 def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of `docs` (doc_id, text, ...)."""
+    return _grouped(docs, size, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The columns of `groups`, with h, the text's hash, and root, the component's number (null for rows without a set)."""
     # Texts are found again by this key; where ids are null it comes from the text.
-    docs = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("place"))
+    docs = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("place"), F.xxhash64("text").alias("h"))
     bits = [f"s{i}" for i in range(BITS // 64)]
     rows = cut(signatures(docs, size))
     classes = rows.where("n_shingles > 0").groupBy("d0", "d1").agg(F.min("place").alias("place"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
@@ -331,11 +336,11 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     # From nodes back to rows: a component is named by its least doc_id.
     id_type = dict(docs.dtypes)["doc_id"]
     names = classes.select("node", "least").join(roots, "node").groupBy("root").agg(F.min("least").alias("name"))
-    named = roots.join(names, "root").select("node", "name")
-    named = classes.select("d0", "d1", "node", "least").join(named, "node", "left").select("d0", "d1", F.coalesce("name", "least").cast(id_type).alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "d0", "d1").join(named, ["d0", "d1"], "left")
+    named = roots.join(names, "root").select("node", "root", "name")
+    named = classes.select("d0", "d1", "node", "least").join(named, "node", "left").select("d0", "d1", F.coalesce("root", "node").alias("root"), F.coalesce("name", "least").cast(id_type).alias("component_id"))
+    out = rows.select("doc_id", "h", "n_shingles", "d0", "d1").join(named, ["d0", "d1"], "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "h", "root", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _full(docs: DataFrame, classes: DataFrame, members: DataFrame, size: int) -> DataFrame:
@@ -349,9 +354,24 @@ def _full(docs: DataFrame, classes: DataFrame, members: DataFrame, size: int) ->
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` whose doc_id names their group: one document of each group, with its columns."""
-    found = groups(docs, size, percent)
-    gone = found.where("NOT kept").select("doc_id")
-    if not found.where("kept AND n_shingles > 0").groupBy("doc_id").count().where("count > 1").isEmpty():
-        docs = docs.dropDuplicates(["doc_id", "text"])  # repeated rows
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    """One row of each group of `docs`, with its columns: one whose doc_id names the group. Rows without a set all stay.
+
+    Rows are told apart by doc_id and text; of repeated rows one stays.
+    """
+    found = cut(_grouped(docs, size, percent).where("n_shingles > 0").select("doc_id", "h", "root", "kept"))
+    gone = found.where("NOT kept").select("doc_id", "h")
+    # Where ids repeat or are null, several rows may bear their group's name.
+    several = cut(found.where("kept").groupBy("root").agg(F.count("*").alias("rows"), F.min("h").alias("stays")).where("rows > 1"))
+    if not several.isEmpty():
+        named = cut(found.where("kept").join(several, "root").groupBy("doc_id", "h", "stays").count())
+        gone = gone.unionByName(named.where("h <> stays").select("doc_id", "h"))
+        again = named.where("h = stays AND count > 1")
+        one = _rows_of(docs, again, "left_semi").dropDuplicates(["doc_id", "text"])
+        docs = _rows_of(docs, again, "left_anti").unionByName(one)
+    return _rows_of(docs, gone, "left_anti")
+
+
+def _rows_of(docs: DataFrame, some: DataFrame, how: str) -> DataFrame:
+    """The rows of `docs` that are, or are not, among `some` (doc_id, h)."""
+    some = some.select(F.col("doc_id").alias("some_id"), F.col("h").alias("some_h"))
+    return docs.join(some, docs["doc_id"].eqNullSafe(some["some_id"]) & (F.xxhash64(docs["text"]) == some["some_h"]), how)

@@ -88,6 +88,23 @@ def test_keep_one_and_empty_tables(docs):
     assert near_duplicates.groups(docs([])).count() == 0
 
 
+def test_keep_one_leaves_a_row_of_each_group_where_ids_repeat(docs):
+    a, b = "a b c d e f g h i j", "k l m n o p q r s t"
+    pairs = [(5, a), (9, a.upper()), (3, b), (5, b.upper())]
+    assert sorted((r.doc_id, r.text) for r in near_duplicates.keep_one(docs(pairs)).collect()) == [(3, b), (5, a)]
+    # One id on several texts of a group, and repeated rows, with and without a set.
+    pairs = [(4, a), (4, a.upper()), (4, b), (4, b), (6, b), (7, ""), (7, ""), (8, None), (8, None)]
+    got = [(r.doc_id, (r.text or "").lower()) for r in near_duplicates.keep_one(docs(pairs)).collect()]
+    assert sorted(got) == [(4, a), (4, b), (7, ""), (7, ""), (8, ""), (8, "")]
+
+
+def test_keep_one_of_rows_without_ids(docs):
+    a, b, c = "a b c d e f g h i j", "k l m n o p q r s t", "u v w x y z aa bb cc dd"
+    pairs = [(1, a), (None, a), (None, b), (None, c), (None, c.upper()), (None, c), (None, None), (None, "")]
+    got = [(r.doc_id, (r.text or "").lower()) for r in near_duplicates.keep_one(docs(pairs)).collect()]
+    assert sorted(got, key=repr) == sorted([(1, a), (None, b), (None, c), (None, ""), (None, "")], key=repr)
+
+
 def test_intersections():
     rng = np.random.default_rng(1)
     a = [np.unique(rng.integers(0, 50, 20)) for _ in range(7)]
