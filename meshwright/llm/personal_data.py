@@ -80,7 +80,7 @@ def _luhn(d: str) -> str:
 def _candidate(name: str, kind: int, source: str) -> str:
     """Kind, place, text, digits and surroundings of each match."""
     return f"""transform({name}, x -> named_struct('kind', {kind}, 'loose', {str(source == "loose").lower()}, 's', x.s, 'e', x.s + char_length(x.v), 'v', x.v,
-        'd', CASE WHEN {kind} IN (2, 3) AND char_length(x.v) <= 4096 THEN regexp_replace(x.v, '[^0-9]', '') ELSE '' END,
+        'd', CASE WHEN {kind} IN (2, 3) THEN regexp_replace(x.v, '[^0-9]', '') ELSE '' END,
         'before', lower(substring(t, greatest(x.s - {BEFORE} + 1, 1), least(x.s, {BEFORE}))),
         'after', substring(t, x.s + char_length(x.v) + 1, 1)))"""
 

@@ -139,6 +139,14 @@ def test_main_path_is_native(docs):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_phone_with_a_long_run_inside(docs):
+    number = "+1 234" + "." * 5000 + "567 8901"
+    (row,) = personal_data.find(docs([(1, f"call {number} now")])).collect()
+    assert (row.n_phone, row.base_sha256) == (1, hashlib.sha256(f"phone:5:{5 + len(number)}".encode()).hexdigest())
+    many = "+1" + "23 " * 5000
+    assert personal_data.find(docs([(1, many)])).collect()[0].n_phone == 0
+
+
 # --- quotations
 
 
