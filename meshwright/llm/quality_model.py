@@ -148,7 +148,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     picked = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return picked.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {COLUMNS}")
+    return picked.mapInArrow(W.tidied(run), f"doc_id {dict(docs.dtypes)['doc_id']}, {COLUMNS}")
 
 
 def classify(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -157,7 +157,7 @@ def measure(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *measure_batch(b.column(1), bands)], names=names)
 
     names = ["doc_id", *(x.split()[0] for x in COLUMNS.split(", "))]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {COLUMNS}")
+    return docs.select("doc_id", "text").mapInArrow(W.tidied(run), f"doc_id {dict(docs.dtypes)['doc_id']}, {COLUMNS}")
 
 
 def filter_documents(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
@@ -168,4 +168,4 @@ def filter_documents(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
         for b in batches:
             yield b.filter(measure_batch(b.column(at), bands)[6])
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(W.tidied(run), docs.schema)

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshwright.llm import tokens
+from meshwright.llm import words as W
 from meshwright.llm.shared import scratch
 
 NULL_ID = -(1 << 63)
@@ -95,7 +96,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str = "word_bpe_49k.json", f
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     files = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(picked.inputFiles()))
     dealt = picked.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
-    dealt.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{folder}/records")
+    dealt.mapInArrow(W.tidied(run), "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{folder}/records")
     scan(spark, f"{folder}/records").write.parquet(f"{folder}/index")
 
 
@@ -121,7 +122,7 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
                     yield _rows(out)
 
     # One file at a time in a worker, however many lie in one input partition.
-    return _files(spark, folder).mapInArrow(run, INDEX)
+    return _files(spark, folder).mapInArrow(W.tidied(run), INDEX)
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
@@ -156,7 +157,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*out, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     whole = files.join(entries, "file").join(before, "file").select("content", "before", "entries")
-    return whole.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return whole.mapInArrow(W.tidied(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, folder: str | None = None) -> DataFrame:

@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshwright.llm import words as W
 from meshwright.llm.html_tree import BLOCK, Node, parse
 from meshwright.llm.shared import cut
 
@@ -172,7 +173,7 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
                 rows += [(host, about - (1 << 63), x - (1 << 63), k0, k1) for x in (0, *found)]  # 0 counts the page itself
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True) if rows else [()] * 5, (pa.string(), *[pa.int64()] * 4), strict=True)], names=["host", "about", "subtree", "k0", "k1"])
 
-    found = cut(picked.select("url", "html", "k0", "k1").mapInArrow(count, "host string, about long, subtree long, k0 long, k1 long"))
+    found = cut(picked.select("url", "html", "k0", "k1").mapInArrow(W.tidied(count), "host string, about long, subtree long, k0 long, k1 long"))
     page = -(1 << 63)
     counts = found.select("host", "subtree", "about").distinct().groupBy("host", "subtree").agg(F.count("*").alias("pages"))
     totals = counts.where(F.col("subtree") == page).select("host", F.col("pages").alias("all_pages"))
@@ -186,4 +187,4 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     types = dict(pages.dtypes)
-    return joined.mapInArrow(run, f"page_id {types['page_id']}, url {types['url']}, text string, n_chars long")
+    return joined.mapInArrow(W.tidied(run), f"page_id {types['page_id']}, url {types['url']}, text string, n_chars long")

@@ -178,4 +178,4 @@ def count(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model") -> DataFrame
                 words, tokens, score = count_rows(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], own)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(words, pa.int64()), pa.array(tokens, pa.int64()), pa.array(score, pa.float64())], names=["doc_id", "n_words", "n_tokens", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {COLUMNS}")
+    return docs.select("doc_id", "text").mapInArrow(W.tidied(run), f"doc_id {dict(docs.dtypes)['doc_id']}, {COLUMNS}")

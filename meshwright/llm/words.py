@@ -2,22 +2,28 @@
 
 A text is taken as its UTF-8 bytes. White space is the six ASCII characters
 0x20 and 0x09-0x0D, which never occur inside a longer UTF-8 sequence, so words
-can be cut at byte level without decoding anything. A span of bytes b[s:e] gets
-the 64-bit hash sum(R[b[i]] * P**(i - s)) mod 2**64, finished by a bijective
-mixer; one running sum gives the hashes of all spans of a batch at once.
+can be cut at byte level without decoding anything. A span of bytes gets a
+64-bit hash: spans of at most LONG bytes, as nearly all words are, eight bytes
+at a time for all spans of a batch at once, each step a bijection of the bytes
+read; longer ones by a seeded XXH3 over their bytes.
 """
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
-P = 0x9E3779B97F4A7C15 | 1
-P_INVERSE = pow(P, -1, 1 << 64)
-_R = np.random.default_rng(20240229).integers(1, 1 << 63, size=256, dtype=np.uint64) * U64(2) + U64(1)
+#: Spans of more bytes are hashed one by one.
+LONG = 32
+SEED = 20240229
+#: The low i bytes of a 64-bit word.
+_LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -26,20 +32,6 @@ LOWER[65:91] += 32
 CONTINUES = np.zeros(256, bool)
 CONTINUES[0x80:0xC0] = True
 
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
-
-def _power(way: str, n: int) -> np.ndarray:
-    """P**i, or its inverse, for i < n at least."""
-    have = _powers[way]
-    if len(have) < n:
-        base = P if way == "up" else P_INVERSE
-        while len(have) < n:
-            have = np.concatenate([have, have * U64(pow(base, len(have), 1 << 64))])
-        _powers[way] = have
-    return have
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit words that spreads every input bit."""
     x = x.astype(np.uint64, copy=True)
@@ -53,11 +45,22 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The 64-bit hash of each data[starts[i]:ends[i]]."""
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_R[data] * _power("up", len(data) + 1)[: len(data)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _power("down", len(data) + 1)[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
+    sizes = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    h = (sizes.astype(np.uint64) + U64(SEED)) * U64(0xD6E8FEB86659FD93)
+    long = np.flatnonzero(sizes > LONG)
+    live, at, left = (np.flatnonzero(sizes <= LONG), starts, sizes) if len(long) else (np.arange(len(sizes)), starts, sizes)
+    if len(long):
+        at, left = at[live], left[live]
+    while len(live):
+        h[live] = mix((h[live] ^ (eight[at] & _LOW_BYTES[np.minimum(left, 8)])) * U64(0x9FB21C651E98DF25))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    if len(long):
+        view = memoryview(np.ascontiguousarray(data))
+        h[long] = [xxhash.xxh3_64_intdigest(view[a:b], SEED) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    return h
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +78,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def slices(bounds: np.ndarray, most: int = 2 << 20):
+def slices(bounds: np.ndarray, most: int = 1 << 20):
     """Runs of rows of about `most` bytes; a longer row is a run of its own."""
     i, n = 0, len(bounds) - 1
     while i < n:
@@ -128,3 +131,24 @@ def windows(hashes: np.ndarray, k: int) -> np.ndarray:
         out *= U64(0xC2B2AE3D27D4EB4F)
         out += hashes[i : i + n]
     return mix(out)
+
+
+def tidy() -> None:
+    """Give the memory of finished work back to the system, which the allocators else keep for as long as the worker lives."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run` over the batches of a partition, followed by `tidy`."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return whole
