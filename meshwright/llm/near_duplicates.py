@@ -52,12 +52,12 @@ _FACTORS = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + n
 _SHIFTS = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 #: Members (32 bytes each) that may be broadcast to find their texts.
 MOST_SENT = 500_000
-#: Rows, and items of sets, on either side of a block of a bucket.
-BLOCK_ROWS, BLOCK_ITEMS = 4096, 400_000
+#: Rows, and items of sets, on either side of a block of a bucket; a set counts as LEAST_ITEMS at least, which bounds rows x rows.
+BLOCK_ROWS, BLOCK_ITEMS, LEAST_ITEMS = 1024, 200_000, 200
 #: Buckets of at most so many classes are compared pair by pair.
 SMALL = 64
 #: Shingles hashed at once for a text's samples.
-STEP = 2048
+STEP = 1024
 
 SIGNATURE = "n_shingles long, d0 long, d1 long, bands array<long>, sketch array<long>"
 
@@ -142,7 +142,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                     names=["doc_id", "place", "h", "n_shingles", "d0", "d1", "bands", "sketch"],
                 )
 
-    return docs.select("doc_id", "text", "place", "h").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, place long, h long, {SIGNATURE}")
+    return docs.select("doc_id", "text", "place", "h").mapInArrow(W.tidied(run), f"doc_id {dict(docs.dtypes)['doc_id']}, place long, h long, {SIGNATURE}")
 
 
 def digest(shingles: np.ndarray) -> tuple[np.uint64, np.uint64]:
@@ -160,7 +160,7 @@ def sets(texts: DataFrame, size: int) -> DataFrame:
                 same = [k for k, x in enumerate(got) if np.array(digest(x)).view(np.int64).tolist() == [b.column(2)[i + k].as_py(), b.column(3)[i + k].as_py()]]
                 yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array([i + k for k in same], pa.int64())), pa.array([got[k].view(np.int64) for k in same], pa.list_(pa.int64()))], names=["node", "items"])
 
-    return texts.mapInArrow(run, "node long, items array<long>")
+    return texts.mapInArrow(W.tidied(run), "node long, items array<long>")
 
 
 def linked(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -175,7 +175,8 @@ def in_blocks(rows: DataFrame, most: int, weight, schema: str, compare) -> DataF
     """Compare the rows that are `away` with all rows of their bucket, in blocks of bounded size.
 
     Both sides of a bucket are dealt to chunks of about `most` in weight by a
-    hash; each pair of chunks is a group of its own, whatever the bucket's size.
+    hash; each pair of chunks is a group of its own, whatever the bucket's size,
+    and the groups of a bucket are dealt to tasks one by one.
     `compare` gets its two sides and returns what it has found, never pairs that
     are no links.
     """
@@ -191,9 +192,13 @@ def in_blocks(rows: DataFrame, most: int, weight, schema: str, compare) -> DataF
         side = table["left"].to_numpy()
         found = compare(table.filter(pa.array(side)), table.filter(pa.array(~side)))
         keys = [pa.array(np.full(len(found[0]), table["key"][0].as_py()), pa.int64())] if names == ["node"] else []
-        return pa.table([*keys, *(pa.array(x, pa.int64()) for x in found)], names=["key"] * len(keys) + names)
+        out = pa.table([*keys, *(pa.array(x, pa.int64()) for x in found)], names=["key"] * len(keys) + names)
+        if len(table) > SMALL:
+            W.tidy()
+        return out
 
-    return both.groupBy("key", "i", "j").applyInArrow(run, "key long, " * (names == ["node"]) + schema)
+    # Without this, Spark would find rows dealt by key good enough, and give all of a bucket to one task.
+    return both.repartition("key", "i", "j").groupBy("key", "i", "j").applyInArrow(run, "key long, " * (names == ["node"]) + schema)
 
 
 def _numbers(table: pa.Table, name: str) -> np.ndarray:
@@ -329,7 +334,7 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
         full = full.join(late, "node", "left_semi").unionByName(_full(docs, classes, late.join(members, "node", "left_anti"), size))
         full = cut(full)
         fuller = many.select("key", "node", "root", "away", "n").join(partners, ["key", "node"]).join(full, "node")
-        between = in_blocks(fuller, BLOCK_ITEMS, F.col("n"), "a long, b long", _linked_ones(percent))
+        between = in_blocks(fuller, BLOCK_ITEMS, F.greatest("n", F.lit(LEAST_ITEMS)), "a long, b long", _linked_ones(percent))
         known = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         roots = cut(components(known.unionByName(linked(crossed, full, percent)).unionByName(between)))
 
