@@ -1,12 +1,15 @@
 """Packing by Karmarkar-Karp multiway differencing (operator 4).
 
-Each document's ids are cut: full windows stand alone, the rest of fewer ids
-than a window is cut into pieces of `piece` ids and a smaller last one. The pieces
-of a block are put into k windows by multiway differencing: partial partitions
-lie in a heap by the spread of their sums, the two of the largest spread are
-merged with opposing order (the fullest window of one with the emptiest of the
-other) until one partition is left. k starts at the least number that could
-hold the block and rises as long as a window exceeds the capacity.
+Of each document's ids full windows stand alone; the rest, fewer ids than a
+window, is one piece. The pieces of a block are put into k windows by multiway
+differencing: partial partitions lie in a heap by the spread of their sums, the
+two of the largest spread are merged with opposing order (the fullest window of
+one with the emptiest of the other) until one partition is left. k starts at the
+least number that could hold the block and rises whenever the capacity is
+exceeded, as long as the windows' padding stays within SLACK of the ids. What
+exceeds the capacity then is little, as the windows are nearly equal: it is cut
+off pieces of the windows that are too full and put into those that have room.
+So most documents stay whole, and a window has about one cut piece at most.
 
 A block is a run of rows of one input partition, so nothing is shuffled and a
 task holds one block at a time; sequence ids carry the partition's number.
@@ -28,12 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from meshwright.llm import tokens
+from meshwright.llm import words as W
 
 CAPACITY = 2048
-#: Ids of a cut piece of a rest. It divides the capacity; smaller ones balance better and scatter documents more.
-PIECE = 256
 #: Pieces that make a block.
-BLOCK = 2048
+BLOCK = 1024
+#: Padding, as a part of the ids, up to which more windows are taken rather than pieces cut.
+SLACK = 0.005
 COLUMNS = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -79,21 +83,49 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return out
 
 
-def windows(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Near-equal windows of at most `capacity`; no size exceeds it."""
-    k = max(1, -(-sum(sizes) // capacity))
+def windows(sizes: list[int], capacity: int, slack: float = SLACK) -> list[list[tuple[int, int, int]]]:
+    """Near-equal windows of at most `capacity`: (position in `sizes`, start, length) of each part in them; no size exceeds the capacity."""
+    total = sum(sizes)
+    k = max(1, -(-total // capacity))
+    most = max(k, int(total * (1 + slack)) // capacity)
     while True:
         found = differencing(sizes, k)
         over = sum(max(0, sum(sizes[i] for i in x) - capacity) for x in found)
-        if not over:
-            return found
-        k += -(-over // capacity)  # as many as the excess would fill, one at least
-
-
-def cut(total: int, capacity: int, piece: int) -> tuple[int, list[int]]:
-    """How many full windows a document of `total` ids has, and the sizes of the pieces of its rest."""
-    full, rest = divmod(total, capacity)
-    return full, [piece] * (rest // piece) + [rest % piece] * (rest % piece > 0)
+        if not over or k == most:
+            return level(found, sizes, capacity)
+        k = min(most, k + -(-over // capacity))  # as many as the excess would fill, one at least
+
+
+def level(found: list[list[int]], sizes: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
+    """The windows with what exceeds the capacity cut off and put where there is room; all sizes together fit."""
+    out, loose, room = [], [], []
+    for members in found:
+        parts = sorted(((sizes[i], i) for i in members), reverse=True)
+        over = sum(n for n, _ in parts) - capacity
+        while over > 0:
+            fits = [x for x in parts if x[0] <= over]
+            if fits:  # a whole piece goes rather than a part of a larger one
+                parts.remove(fits[0])
+                loose.append((fits[0][0], fits[0][1], 0))
+                over -= fits[0][0]
+            else:
+                n, i = parts[0]
+                parts[0] = (n - over, i)
+                loose.append((over, i, n - over))
+                over = 0
+        if over < 0:
+            room.append((over, len(out)))
+        out.append([(i, 0, n) for n, i in sorted(parts, key=lambda x: x[1])])
+    heapq.heapify(room)
+    for n, i, at in sorted(loose, reverse=True):
+        while n:
+            free, k = heapq.heappop(room)
+            part = min(n, -free)
+            out[k].append((i, at, part))
+            n, at = n - part, at + part
+            if free + part < 0:
+                heapq.heappush(room, (free + part, k))
+    return out
 
 
 class Block:
@@ -104,31 +136,30 @@ class Block:
         self.next_sequence = prefix << 32
         self.out: list[tuple] = []
 
-    def _emit(self, piece: tuple, offset: int) -> None:
+    def _emit(self, piece: tuple, at: int, n: int, offset: int) -> None:
         doc_id, start, ids, total = piece
-        self.out.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), total, self.next_sequence, offset))
+        self.out.append((doc_id, start + at, n, zlib.crc32(ids[at : at + n].tobytes()), total, self.next_sequence, offset))
 
-    def add(self, doc_id, ids: np.ndarray, capacity: int, piece: int) -> None:
-        full, rest = cut(len(ids), capacity, piece)
-        for i in range(full):
-            self._emit((doc_id, i * capacity, ids[i * capacity : (i + 1) * capacity], len(ids)), 0)
+    def add(self, doc_id, ids: np.ndarray, capacity: int) -> None:
+        whole = (doc_id, 0, ids, len(ids))
+        full = len(ids) // capacity * capacity
+        for at in range(0, full, capacity):
+            self._emit(whole, at, capacity, 0)
             self.next_sequence += 1
-        at = full * capacity
-        for n in rest:
-            self.pieces.append((doc_id, at, ids[at : at + n], len(ids)))
-            at += n
+        if full < len(ids):
+            self.pieces.append((doc_id, full, ids[full:], len(ids)))
 
     def close(self, capacity: int) -> None:
-        for members in windows([len(x[2]) for x in self.pieces], capacity):
-            at = 0
-            for i in members:
-                self._emit(self.pieces[i], at)
-                at += len(self.pieces[i][2])
-            self.next_sequence += bool(members)
+        for parts in windows([len(x[2]) for x in self.pieces], capacity):
+            offset = 0
+            for i, at, n in parts:
+                self._emit(self.pieces[i], at, n, offset)
+                offset += n
+            self.next_sequence += bool(parts)
         self.pieces = []
 
 
-def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int = CAPACITY, piece: int = PIECE, block: int = BLOCK) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
     """One row for each piece of the ids of `docs` (doc_id, text, ...): doc_id and COLUMNS."""
 
     def rows(out: list[tuple]) -> pa.RecordBatch:
@@ -142,7 +173,7 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int =
             for first, ids, bounds in tokens.encoded(b.column(1), path):
                 ids = ids.astype("<u4")
                 for i in range(len(bounds) - 1):
-                    own.add(doc_ids[first + i], ids[bounds[i] : bounds[i + 1]], capacity, piece)
+                    own.add(doc_ids[first + i], ids[bounds[i] : bounds[i + 1]], capacity)
                     if len(own.pieces) >= block:
                         own.close(capacity)
                 if own.out:
@@ -157,4 +188,4 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int =
 
     types = [to_arrow_type(id_type.dataType), *[pa.int64()] * 6]
     names = ["doc_id", *(x.split()[0] for x in COLUMNS.split(", "))]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type.dataType.simpleString()}, {COLUMNS}")
+    return docs.select("doc_id", "text").mapInArrow(W.tidied(run), f"doc_id {id_type.dataType.simpleString()}, {COLUMNS}")
