@@ -4,22 +4,24 @@ Mail and forum messages quote each other with leading '>' marks, one for each
 level. Each message is cut into passages: runs of lines of the same level, with
 blank lines between them left out. A message's own passages (level 0) and each
 of their lines are normalised (lower case, letters and digits, single spaces)
-and hashed; so are the quoted ones. A quoted hash is joined to the first message
-of the conversation that has it as its own, if that came earlier. The message
+and hashed; so are the quoted ones. A quoted hash is joined to the latest message
+of the conversation before the quoting one that has it as its own. The message
 replies to the one it quotes most lines of (level 1 counts before deeper levels,
 which quote what the other had quoted; then the later one). Lines and passages of
 fewer than LEAST_CHARS characters, which greetings are among, count at a level only
 where no longer ones link to an earlier message. Texts lose their
 quoted lines and the attribution line right before a quote.
 
-Reply order: `thread` lists the turns from the thread's first message down to
-the row's own, by pointer doubling over the replies, so a conversation's rows
-sorted by `thread` are in reply order: each below what it answers, answers by
-turn. The result is sorted by conversation and thread over range partitions.
+Reply order: `thread` is the turn of the thread's first message and `depth` how
+many replies lie between, by pointer doubling with two numbers a message, so a
+long chain costs no more than its messages. A conversation's rows sorted by
+thread and turn are in reply order, each after what it answers; the result is
+sorted so over range partitions.
 
-Originals are grouped to one row for each hash before the join, so a passage
-that a third of all messages quote meets one row, and no conversation is
-collected in one place.
+Only conversations in which anything is quoted are parsed. The latest earlier
+message with a passage is found in blocks of BLOCK turns, with the last turn of
+the blocks before carried on, so a passage that a third of all messages say or
+quote makes no large group, and no conversation is collected in one place.
 
 Defined results: null texts are empty; a message without quotes, or whose quotes
 are found nowhere earlier in its conversation, starts a thread of its own; rows
@@ -30,7 +32,7 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshwright.llm.shared import cut
@@ -39,12 +41,16 @@ MARKS = r"^[ \t]{0,3}((?:>[ \t]?)+)"
 ATTRIBUTION = r"(?i)(^on .{1,200} wrote:$|^.{1,120} (wrote|writes|schrieb|a écrit|escribió) ?:$|^-{2,} ?original message ?-{2,}$)"
 #: Passages of fewer normalised characters link only where no longer ones do.
 LEAST_CHARS = 12
+#: Turns among which the latest earlier message is looked for at once.
+BLOCK = 4096
+#: A text with a quoted line.
+QUOTES = r"(^|\n)[ \t]{0,3}>"
 
 
 def normal(text: Column) -> Column:
     """Letters and digits; of a text without any, all that isn't white space."""
     plain = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-    return F.when(plain != "", plain).otherwise(F.regexp_replace(text, r"\s+", ""))
+    return F.when(plain != "", plain).otherwise(F.regexp_replace(text, r"[ \t\n\x0B\f\r]+", ""))
 
 
 def lines_of(text: str) -> Column:
@@ -81,14 +87,31 @@ def passages(rows: DataFrame, lines: str) -> DataFrame:
     return each.select("conv_id", "turn", F.split("p", "\u0002").alias("p")).select("conv_id", "turn", F.col("p")[0].cast("int").alias("level"), normal(F.col("p")[1]).alias("body")).where("body <> ''").select("conv_id", "turn", "level", F.xxhash64("body").alias("hash"), (F.length("body") < LEAST_CHARS).alias("short"))
 
 
+def latest(own: DataFrame, quotes: DataFrame) -> DataFrame:
+    """conv_id, hash, turn and origin: the latest turn below `turn` that has the passage as its own, of each quoted one that has any."""
+    key = ["conv_id", "hash", "block"]
+    marks = own.select("conv_id", "hash", "turn", F.lit(True).alias("said")).distinct().unionByName(quotes.select("conv_id", "hash", "turn", F.lit(False).alias("said")).distinct())
+    marks = marks.withColumn("block", F.floor(F.col("turn") / BLOCK)).withColumn("at", F.when(F.col("said"), F.col("turn")))
+    # Within a block a window; of each block before it, only its last turn matters.
+    before = Window.partitionBy(*key).orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    inside = marks.withColumn("origin", F.max("at").over(before)).where("NOT said").select(*key, "turn", "origin")
+    lasts = marks.where("said").groupBy(*key).agg(F.max("at").alias("last"))
+    wanted = inside.where("origin IS NULL").select(*key).distinct()
+    carried = Window.partitionBy("conv_id", "hash").orderBy("block").rangeBetween(Window.unboundedPreceding, -1)
+    above = wanted.join(lasts, key, "full").withColumn("carried", F.max("last").over(carried)).select(*key, "carried")
+    found = inside.join(above, key, "left").select("conv_id", "hash", "turn", F.coalesce("origin", "carried").alias("origin"))
+    return found.where("origin IS NOT NULL")
+
+
 def links(messages: DataFrame) -> DataFrame:
     """conv_id, turn and reply_to of the messages that quote an earlier one of their conversation."""
-    rows = parsed(messages).where("conv_id IS NOT NULL AND turn IS NOT NULL")
-    # Only conversations in which anything is quoted matter, and only quoting rows pay for passages of quotes.
-    quotes = passages(rows.where("n_quoted > 0"), "lines").where("level > 0")
-    own = passages(rows.withColumn("own", F.transform("own", lambda x: F.struct(F.lit(0).alias("level"), x.alias("body")))), "own")
-    first = own.join(quotes.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi").groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
-    hits = quotes.groupBy("conv_id", "turn", "level", "hash", "short").count().join(first, ["conv_id", "hash"]).where("origin < turn")
+    messages = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL").withColumn("turn", F.col("turn").cast("long"))
+    quoting = messages.where(F.col("text").rlike(QUOTES))
+    quotes = cut(passages(parsed(quoting), "lines").where("level > 0").groupBy("conv_id", "turn", "level", "hash", "short").count())
+    said = parsed(messages.join(quotes.select("conv_id").distinct(), "conv_id", "left_semi"))
+    own = passages(said.withColumn("own", F.transform("own", lambda x: F.struct(F.lit(0).alias("level"), x.alias("body")))), "own")
+    own = own.join(quotes.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi")
+    hits = quotes.join(latest(own, quotes), ["conv_id", "hash", "turn"])
     lines = lambda which: F.sum(F.when(which, F.col("count")).otherwise(0))
     near, short = F.col("level") == 1, F.col("short")
     score = hits.groupBy("conv_id", "turn", "origin").agg(lines(near & ~short).alias("near"), lines(near & short).alias("near_short"), lines(~short).alias("all"), lines(short).alias("all_short"))
@@ -97,23 +120,26 @@ def links(messages: DataFrame) -> DataFrame:
 
 
 def threads(replies: DataFrame) -> DataFrame:
-    """conv_id, turn and thread (turns from the first message down) of the rows of `replies`."""
-    now = replies.select("conv_id", "turn", F.col("reply_to").alias("up"), F.array("reply_to", "turn").alias("thread"))
+    """conv_id, turn, reply_to, thread (the first message's turn) and depth of the rows of `replies`."""
+    now = replies.select("conv_id", "turn", "reply_to", F.col("reply_to").alias("thread"), F.lit(1).cast("long").alias("depth"))
     while True:
         now = cut(now)
-        above = now.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("thread").alias("more"))
-        joined = now.join(above, ["conv_id", "up"], "left")
+        above = now.select("conv_id", F.col("turn").alias("thread"), F.col("thread").alias("next"), F.col("depth").alias("more"))
+        joined = now.join(above, ["conv_id", "thread"], "left")
         if joined.where("next IS NOT NULL").isEmpty():
-            return now.select("conv_id", "turn", "thread")
-        now = joined.select("conv_id", "turn", F.coalesce("next", "up").alias("up"), F.when(F.col("next").isNull(), F.col("thread")).otherwise(F.concat("more", F.expr("slice(thread, 2, size(thread))"))).alias("thread"))
+            return now
+        now = joined.select("conv_id", "turn", "reply_to", F.coalesce("next", "thread").alias("thread"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
 
 
 def build(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, reply_to, depth, thread and text of every row of `messages` (conv_id, turn, role, text, ...)."""
-    found = cut(links(messages))
-    order = threads(found).withColumn("thread", F.col("thread"))
-    known = found.join(order, ["conv_id", "turn"])
-    rows = parsed(messages).select("conv_id", "turn", "role", "n_quoted", F.trim(F.regexp_replace(F.array_join("own", "\n"), r"\n{3,}", "\n\n")).alias("text"))
-    out = rows.join(known, ["conv_id", "turn"], "left").withColumn("thread", F.coalesce("thread", F.array("turn")))
-    out = out.select("conv_id", "turn", "role", "reply_to", (F.size("thread") - 1).cast("long").alias("depth"), "thread", "n_quoted", "text")
-    return out.orderBy("conv_id", "thread")
+    """conv_id, turn, role, reply_to, depth, thread, n_quoted and text of every row of `messages` (conv_id, turn, role, text, ...)."""
+    known = threads(links(messages.select("conv_id", "turn", "role", "text")))
+    # Lines are looked at only where there is a quote.
+    plain, quoted = messages.where(~F.coalesce(F.col("text").rlike(QUOTES), F.lit(False))), messages.where(F.col("text").rlike(QUOTES))
+    plain = plain.select("conv_id", "turn", "role", F.lit(0).cast("long").alias("n_quoted"), F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n", "\n").alias("text"))
+    quoted = parsed(quoted).select("conv_id", "turn", "role", "n_quoted", F.array_join("own", "\n").alias("text"))
+    rows = plain.unionByName(quoted).withColumn("text", F.regexp_replace(F.regexp_replace("text", r"\n{3,}", "\n\n"), r"^[ \t\n]+|[ \t\n]+$", ""))
+    rows = rows.withColumn("turn", F.col("turn").cast("long"))
+    out = rows.join(known, ["conv_id", "turn"], "left").withColumn("thread", F.coalesce("thread", "turn"))
+    out = out.select("conv_id", "turn", "role", "reply_to", F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), "thread", "n_quoted", "text")
+    return out.orderBy("conv_id", "thread", "turn")

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from meshwright.llm import components, decontamination, near_duplicates, quality_model
+from meshwright.llm import components, decontamination, near_duplicates, oracles, quality_model
 from meshwright.llm import words as W
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -64,10 +64,21 @@ def test_groups_equal_brute_force(docs, size):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_groups_equal_the_sql(docs):
+    duckdb = pytest.importorskip("duckdb")
+    pairs = corpus(7, 60) + [(20_000, None), (20_001, ""), (20_002, " "), (20_003, "a b c d e f g"), (20_004, "A b c d e f g"), (20_005, "one"), (20_006, "ONE")]
+    base = duckdb.connect()
+    base.execute("create table documents (doc_id bigint, text varchar)")
+    base.executemany("insert into documents values (?, ?)", pairs)
+    got = near_duplicates.groups(docs(pairs), 2).collect()
+    assert sorted(map(tuple, got)) == sorted(base.sql(oracles.OP2).fetchall())
+
+
 def test_a_large_group_of_near_copies(docs, monkeypatch):
     """Many copies at the limit, several blocks to a bucket."""
     monkeypatch.setattr(near_duplicates, "BLOCK_ROWS", 16)
     monkeypatch.setattr(near_duplicates, "BLOCK_ITEMS", 500)
+    monkeypatch.setattr(near_duplicates, "LEAST_ITEMS", 1)
     rng = random.Random(8)
     base = [f"w{rng.randrange(400)}" for _ in range(60)]
     pairs = []
@@ -196,14 +207,70 @@ def test_recall_with_edits_is_at_least_the_target(benchmark_items):
     assert sum(x in found for x in want) >= 0.9 * len(want)
 
 
-@pytest.mark.parametrize("n", [100, 255, 400, 1000])
-def test_recall_does_not_fall_with_an_items_length(n):
+@pytest.mark.parametrize("words", [50, 20_000])
+@pytest.mark.parametrize("n", [8, 9, 12, 15, 16, 20, 31, 48, 64, 100, 127, 128, 200, 255, 400, 500, 1000])
+def test_recall_is_at_least_the_target_at_any_length(n, words):
+    """Items of a narrow and a wide vocabulary, with as many edits as allowed."""
     rng = random.Random(n)
-    pairs = [(i, " ".join(f"w{int(rng.expovariate(0.02))}" for _ in range(n))) for i in range(20)]
+    k = 100 if n <= 64 else 20
+    draw = lambda: f"w{int(rng.expovariate(1 / words))}"
+    pairs = [(i, " ".join(draw() for _ in range(n))) for i in range(k)]
     items = decontamination.Items(*map(list, zip(*pairs, strict=True)))
-    texts = [" ".join([f"q{rng.randrange(99)}" for _ in range(30)] + edited(rng, t.split(), int(decontamination.MOST_EDITS * n)) + ["end"] * 5) for _, t in pairs]
+    texts = [" ".join([draw() for _ in range(30)] + edited(rng, t.split(), int(decontamination.MOST_EDITS * n)) + [draw() for _ in range(20)]) for _, t in pairs]
     found = {(row, item) for row, item, _ in decontamination.matches(pa.array(texts), items)}
-    assert sum((k, k) in found for k in range(20)) >= 0.9 * 20
+    assert sum((i, i) in found for i in range(k)) >= 0.9 * k
+
+
+def test_search_equals_brute_force():
+    """Everything found is within the distance, and of all that is within it at least 0.9 is found."""
+    rng = random.Random(31)
+    items = [" ".join(f"w{rng.randrange(40)}" for _ in range(rng.choice([5, 8, 10, 16, 25, 40]))) for _ in range(12)]
+    texts = []
+    for _ in range(80):
+        words = [f"w{rng.randrange(40)}" for _ in range(rng.randint(0, 60))]
+        for _ in range(rng.randint(0, 2)):
+            item = rng.choice(items).split()
+            at = rng.randint(0, len(words))
+            words[at:at] = edited(rng, item, rng.randint(0, int(0.3 * len(item))))
+        texts.append(" ".join(words))
+    block = decontamination.Items(list(range(12)), items)
+    got = {(row, item): hit[0] for row, item, hit in decontamination.matches(pa.array(texts), block)}
+    want = {}
+    for row, t in enumerate(texts):
+        for i, item in enumerate(items):
+            a, least = item.split(), within(item.split(), t.split())
+            if least <= (int(decontamination.MOST_EDITS * len(a)) if len(a) >= decontamination.LEAST_WORDS else 0):
+                want[row, i] = least
+    assert got.keys() <= want.keys() and all(n >= want[k] for k, n in got.items())
+    assert len(got) >= 0.9 * len(want) > 40
+
+
+def within(item, text):
+    """Least edit distance of `item` to any run of `text`."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(item):
+        new = [i + 1]
+        for j, y in enumerate(text):
+            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
+def test_crafted_words_do_not_collide():
+    """Words that collide under polynomials modulo 2**64 of any base get hashes of their own."""
+    a = "a"
+    while len(a) < 1024:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    found = W.find_words(*W.text_bytes(pa.array([a + " " + b])))
+    assert len(set(found.hashes.tolist())) == 2
+    rng = random.Random(1)
+    words = sorted({"".join(rng.choice("ab") for _ in range(rng.randint(1, 70))) for _ in range(3000)})
+    hashes = W.find_words(*W.text_bytes(pa.array([" ".join(words)]))).hashes
+    assert len(set(hashes.tolist())) == len(words)
+    # Wherever a word lies, its hash is the same.
+    again = W.find_words(*W.text_bytes(pa.array([f"x{i % 7 * 'y'} {w}" for i, w in enumerate(words)])))
+    assert again.hashes[again.first[:-1] + 1].tolist() == hashes.tolist()
 
 
 def test_items_of_few_words_are_found_exactly():
