@@ -7,12 +7,16 @@ method says so. Four labelers vote +1, -1 or 0 on every candidate: the pattern's
 own check, gazetteers (domains, issuers, country and area codes), cue words in
 the text before, and the characters around. Expectation-maximisation over the
 counts of vote patterns estimates each labeler's reliability and a probability
-for each pattern; these soft labels train a logistic span classifier whose
-probability decides about the candidates that are not base. Only counts by
-pattern, of which there are a few hundred at most, come to the driver.
+for each pattern; these soft labels train a logistic span classifier on the votes
+and on what the labelers don't look at (FEATURES: the span's length, digits and
+separators and the characters on either side, each by kind), whose probability
+decides about the candidates that are not base. Only counts by pattern come to
+the driver; features are coarse, so there are some thousands at most, whatever
+the number of documents.
 
 Matches are found with possessive quantifiers and started only where a run
-starts or the last match ended, so each pattern takes time linear in the text.
+starts or the last match ended, so each pattern takes time linear in the text;
+what stands before and after a match is taken from the parts between matches.
 
 Defined results: a null or empty text has no spans; positions count code points;
 rows with equal or null doc_id are treated each on its own; other columns are
@@ -24,9 +28,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meshwright.llm.shared import cut, written
+
 KINDS = ("email", "ip", "card", "phone")
 
 # The base patterns, each started at a run's start or where the last match ended.
@@ -59,17 +66,22 @@ AGAINST = "order|invoice|isbn|serial|version|sku|ticket|tracking|hash|checksum|a
 BEFORE = 40
 #: Matches of which a prefix sum is taken at once.
 RUN = 256
+#: Code points of text that are masked at once.
+CHUNK = 4096
 VOTES = ("check", "gazetteer", "cue", "edge")
+FEATURES = ("size", "digits", "marks", "lead", "tail")
+NAMES = ("kind", *VOTES, *FEATURES)
 
 
 def _found(name: str) -> str:
-    """Start and text of each match, from the matches v and the parts between them, p."""
+    """Start, text and surroundings of each match, from the matches v and the parts between them, p."""
     v, p = f"{name}_v", f"{name}_p"
     units = f"zip_with(slice({p}, 1, size({v})), {v}, (a, b) -> char_length(a) + char_length(b))"
+    runs = f"transform(sequence(0, (size(z.u) - 1) DIV {RUN}), k -> aggregate(slice(z.u, k * {RUN} + 1, {RUN}), 0, (a, b) -> a + b))"
     return f"""transform(array(named_struct('u', {units})), z -> transform(array(named_struct('u', z.u, 'r',
-        transform(sequence(0, (size(z.u) - 1) DIV {RUN}), k -> aggregate(slice(z.u, k * {RUN} + 1, {RUN}), 0, (a, b) -> a + b)))), w ->
-        transform({v}, (x, i) -> named_struct('s', aggregate(slice(w.r, 1, i DIV {RUN}), 0, (a, b) -> a + b)
-        + aggregate(slice(w.u, (i DIV {RUN}) * {RUN} + 1, i % {RUN}), 0, (a, b) -> a + b) + char_length({p}[i]), 'v', x)))[0])[0]"""
+        aggregate({runs}, named_struct('t', 0, 'a', CAST(array() AS array<int>)), (a, b) -> named_struct('t', a.t + b, 'a', concat(a.a, array(a.t)))).a)), w ->
+        transform({v}, (x, i) -> named_struct('s', w.r[i DIV {RUN}] + aggregate(slice(w.u, (i DIV {RUN}) * {RUN} + 1, i % {RUN}), 0, (a, b) -> a + b) + char_length({p}[i]), 'v', x,
+        'before', lower(right(concat(right(coalesce(get({v}, i - 1), ''), {BEFORE}), right({p}[i], {BEFORE})), {BEFORE})), 'after', left({p}[i + 1], 1))))[0])[0]"""
 
 
 def _luhn(d: str) -> str:
@@ -81,8 +93,7 @@ def _candidate(name: str, kind: int, source: str) -> str:
     """Kind, place, text, digits and surroundings of each match."""
     return f"""transform({name}, x -> named_struct('kind', {kind}, 'loose', {str(source == "loose").lower()}, 's', x.s, 'e', x.s + char_length(x.v), 'v', x.v,
         'd', CASE WHEN {kind} IN (2, 3) THEN regexp_replace(x.v, '[^0-9]', '') ELSE '' END,
-        'before', lower(substring(t, greatest(x.s - {BEFORE} + 1, 1), least(x.s, {BEFORE}))),
-        'after', substring(t, x.s + char_length(x.v) + 1, 1)))"""
+        'before', x.before, 'after', x.after))"""
 
 
 def _passes() -> str:
@@ -104,7 +115,24 @@ def _votes() -> str:
             WHEN x.loose THEN CASE WHEN x.d RLIKE '^[2-9][0-9]{{2}}[2-9]' THEN 1 ELSE -1 END
             ELSE CASE WHEN x.d RLIKE '^({CALLING})' THEN 1 ELSE -1 END END,
         'cue', CASE WHEN x.before RLIKE '({AGAINST})' THEN -1 {cue} ELSE 0 END,
-        'edge', CASE WHEN x.before RLIKE '[\\\\p{{L}}\\\\p{{N}}]$' OR x.after RLIKE '[\\\\p{{L}}\\\\p{{N}}]' THEN -1 ELSE 1 END))"""
+        'edge', CASE WHEN x.before RLIKE '[\\\\p{{L}}\\\\p{{N}}]$' OR x.after RLIKE '[\\\\p{{L}}\\\\p{{N}}]' THEN -1 ELSE 1 END), 'features', {_features()})"""
+
+
+def _features() -> str:
+    """Buckets, ten numbers for each kind."""
+
+    def bucket(x: str, bounds: tuple[int, ...]) -> str:
+        return "CASE " + " ".join(f"WHEN {x} < {n} THEN {i}" for i, n in enumerate(bounds)) + f" ELSE {len(bounds)} END"
+
+    parts = {
+        "size": bucket("char_length(x.v)", (8, 12, 16, 24)),
+        "digits": bucket("char_length(regexp_replace(x.v, '[^0-9]', ''))", (1, 10, 11, 14, 17, 20)),
+        "marks": bucket("char_length(regexp_replace(x.v, '[0-9A-Za-z]', ''))", (1, 2, 3, 4)),
+        "lead": "CASE WHEN x.before RLIKE '[:=] ?$' THEN 2 WHEN x.before RLIKE '(^|[ \\\\t\\\\n])$' THEN 0 WHEN x.before RLIKE '[\\\\p{L}\\\\p{N}]$' THEN 1 ELSE 3 END",
+        "tail": "CASE WHEN x.after RLIKE '^([ \\\\t\\\\n]|$)' THEN 0 WHEN x.after RLIKE '[\\\\p{L}\\\\p{N}]' THEN 1 WHEN x.after RLIKE '[.,;:)]' THEN 2 ELSE 3 END",
+    }
+    return "named_struct(" + ", ".join(f"'{k}', 10 * x.kind + {v}" for k, v in parts.items()) + ")"
+
 
 
 def with_candidates(docs: DataFrame) -> DataFrame:
@@ -120,7 +148,7 @@ def with_candidates(docs: DataFrame) -> DataFrame:
     for name, pattern, _, _, _ in PATTERNS:
         df = df.withColumn(f"{name}_p", F.when(F.size(f"{name}_v") > 0, F.split("t", pattern, -1)).otherwise(none))
     for name, *_ in PATTERNS:
-        df = df.withColumn(name, F.when(F.size(f"{name}_v") > 0, F.expr(_found(name))).otherwise(F.expr("CAST(array() AS array<struct<s:int, v:string>>)")))
+        df = df.withColumn(name, F.when(F.size(f"{name}_v") > 0, F.expr(_found(name))).otherwise(F.expr("CAST(array() AS array<struct<s:int, v:string, before:string, after:string>>)")))
     df = df.withColumn("raw", F.concat(*(F.expr(_candidate(name, kind, source)) for name, _, kind, source, _ in PATTERNS)))
     df = df.withColumn("raw", F.filter("raw", lambda x: (x["kind"] != 2) | F.length(x["d"]).between(14, 19)))
     fields = ", ".join(f"'{f}', x.{f}" for f in ("kind", "loose", "s", "e", "v", "d", "before", "after"))
@@ -170,38 +198,37 @@ def em(counts: dict[tuple, int], rounds: int = 100) -> tuple[float, dict, dict[t
 
 
 def train(counts: dict[tuple, int], share: dict[tuple, float], rounds: int = 400) -> tuple[float, dict]:
-    """Logistic regression on kind and votes, with the probabilities as soft labels, by gradient steps."""
-    bias, weights = 0.0, {(f, v): 0.0 for p in counts for f, v in zip(("kind", *VOTES), p, strict=True)}
-    total = sum(counts.values()) or 1
+    """Logistic regression on a pattern's values (by NAMES), with the probabilities by kind and votes as soft labels, by gradient steps."""
+    names = {x: i for i, x in enumerate(sorted({x for p in counts for x in zip(NAMES, p, strict=False)}))}
+    if not names:
+        return 0.0, {}
+    at = np.array([[names[x] for x in zip(NAMES, p, strict=False)] for p in counts])
+    n = np.array(list(counts.values()), float) / sum(counts.values())
+    y = np.array([share[p[: 1 + len(VOTES)]] for p in counts])
+    bias, weights = 0.0, np.zeros(len(names))
     for _ in range(rounds):
-        grad = dict.fromkeys(weights, 0.0)
-        grad_bias = 0.0
-        for p, n in counts.items():
-            feats = list(zip(("kind", *VOTES), p, strict=True))
-            z = bias + sum(weights[f] for f in feats)
-            miss = n / total * (share[p] - 1 / (1 + math.exp(max(-700.0, min(700.0, -z)))))
-            grad_bias += miss
-            for f in feats:
-                grad[f] += miss
-        bias += 2.0 * grad_bias
-        for f in weights:
-            weights[f] += 2.0 * (grad[f] - 1e-5 * weights[f])
-    return bias, weights
+        miss = n * (y - 1 / (1 + np.exp(-np.clip(bias + weights[at].sum(axis=1), -700, 700))))
+        bias += miss.sum()
+        weights += np.bincount(at.ravel(), np.repeat(miss, at.shape[1]), len(names)) - 1e-5 * weights
+    return float(bias), {x: float(weights[i]) for x, i in names.items()}
 
 
 def fit(found: DataFrame) -> Model:
-    """Learn from the candidates of all rows of `found` (cands); the driver gets one row for each pattern of votes."""
-    each = found.select(F.explode("cands").alias("c")).select("c.kind", *(F.col(f"c.votes.{v}").alias(v) for v in VOTES))
-    counts = {tuple(x)[:-1]: x["count"] for x in sorted(each.groupBy("kind", *VOTES).count().collect())}
-    prior, table, share = em(counts)
+    """Learn from the candidates of all rows of `found` (cands); the driver gets one row for each pattern of votes and features."""
+    each = found.select(F.explode("cands").alias("c")).select("c.kind", "c.votes.*", "c.features.*")
+    counts = {tuple(x)[:-1]: x["count"] for x in sorted(each.groupBy(*NAMES).count().collect())}
+    votes: dict[tuple, int] = {}
+    for p, n in counts.items():
+        votes[p[: 1 + len(VOTES)]] = votes.get(p[: 1 + len(VOTES)], 0) + n
+    prior, table, share = em(votes)
     return Model(prior, table, *train(counts, share))
 
 
 def _score(model: Model, x: Column) -> Column:
     z = F.lit(model.bias)
-    for f in ("kind", *VOTES):
+    for f in NAMES:
         values = {v: w for (g, v), w in model.weights.items() if g == f}
-        at = x["kind"] if f == "kind" else x["votes"][f]
+        at = x["kind"] if f == "kind" else x["votes" if f in VOTES else "features"][f]
         z = z + sum((F.when(at == v, F.lit(w)).otherwise(0.0) for v, w in sorted(values.items())), F.lit(0.0))
     return 1 / (1 + F.exp(-z))
 
@@ -211,8 +238,8 @@ def with_spans(found: DataFrame, model: Model) -> DataFrame:
     brief = lambda c: F.transform(c, lambda x: F.struct(x["s"].alias("s"), x["kind"].alias("kind"), x["e"].alias("e")))
     df = found.withColumn("base", F.array_sort(brief(F.filter("cands", lambda x: x["base"]))))
     df = df.withColumn("added", F.when(F.exists("cands", lambda x: ~x["base"]), brief(F.filter("cands", lambda x: ~x["base"] & (_score(model, x) >= 0.5)))).otherwise(F.expr("CAST(array() AS array<struct<s:int, kind:int, e:int>>)")))
-    df = df.withColumn("added", F.filter("added", lambda a: ~F.exists("base", lambda b: (a["s"] < b["e"]) & (b["s"] < a["e"]))))
-    return df.withColumn("spans", F.array_sort(F.array_distinct(F.concat("base", "added")))).drop("cands", "added")
+    df = df.withColumn("added", F.array_distinct(F.filter("added", lambda a: ~F.exists("base", lambda b: (a["s"] < b["e"]) & (b["s"] < a["e"])))))
+    return df.withColumn("spans", F.array_sort(F.concat("base", "added"))).drop("cands", "added")
 
 
 def _text_of(spans: str) -> str:
@@ -222,8 +249,6 @@ def _text_of(spans: str) -> str:
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, base counts by kind, base_sha256 and spans of every row of `docs` (doc_id, text, ...)."""
-    from meshwright.llm.shared import cut
-
     found = cut(with_candidates(docs.select("doc_id", "text")).select("doc_id", "cands"))
     df = with_spans(found, fit(found))
     counts = [F.expr(f"CAST(size(filter(base, x -> x.kind = {k})) AS long)").alias(f"n_{name}") for k, name in enumerate(KINDS)]
@@ -231,11 +256,18 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """`docs` with each span of its text replaced by its kind in angle brackets (of overlapping spans the first)."""
-    found = with_candidates(docs)
+    """`docs` with each span of its text replaced by its kind in angle brackets; spans that overlap are masked as one, named after the first.
+
+    Candidates are looked for once: rows and candidates are written to the shared folder.
+    """
+    found = written(with_candidates(docs), "pii")
     df = with_spans(found, fit(found))
     names = ", ".join(f"'<{k.upper()}>'" for k in KINDS)
-    masked = f"""transform(array(aggregate(spans, named_struct('at', 0, 'out', CAST(array() AS array<string>)), (a, x) -> CASE WHEN x.s < a.at THEN a ELSE
-        named_struct('at', x.e, 'out', concat(a.out, array(substring(text, a.at + 1, x.s - a.at), element_at(array({names}), x.kind + 1)))) END)),
-        z -> concat(array_join(z.out, ''), substring(text, z.at + 1)))[0]"""
+    # Chunk by chunk, so that a long text with many spans isn't walked from its start for each of them.
+    inside = f"filter(spans, x -> x.s >= c.at AND x.s < c.at + {CHUNK})"
+    step = f"""CASE WHEN x.s < a.at THEN named_struct('at', greatest(a.at, x.e), 'out', a.out) ELSE
+        named_struct('at', x.e, 'out', concat(a.out, array(substring(c.t, a.at - c.at + 1, x.s - a.at), element_at(array({names}), x.kind + 1)))) END"""
+    masked = f"""array_join(transform(transform(regexp_extract_all(text, '(?s).{{1,{CHUNK}}}', 0), (t, i) -> named_struct('t', t, 'at', i * {CHUNK})), c ->
+        transform(array(aggregate({inside}, named_struct('at', greatest(c.at, coalesce(array_max(transform(filter(spans, x -> x.s < c.at), x -> x.e)), 0)), 'out', CAST(array() AS array<string>)), (a, x) -> {step})),
+        z -> concat(array_join(z.out, ''), CASE WHEN z.at < c.at + {CHUNK} THEN substring(c.t, z.at - c.at + 1) ELSE '' END))[0]), '')"""
     return df.withColumn("text", F.when(F.size("spans") > 0, F.expr(masked)).otherwise(F.col("text"))).select(*docs.columns)
