@@ -1,22 +1,32 @@
 """Main text of web pages by site template removal (operator 8).
 
 Every page is parsed into a tree and the subtrees of its container elements are
-hashed. Spark counts, for each host, on how many different pages a subtree
-occurs; one that recurs on LEAST_PAGES pages and LEAST_SHARE of the host's pages
-is part of the site's template and is deleted. Pages with the same content count
-once, so that copies of an article don't turn the article into template, and
-paragraphs and headings inside a marked article are never deleted so.
-What the markup itself names as something else than the article (menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, comments) is dropped too.
-
-Hashes are counted with partial sums before the shuffle; only a page's own few
-template hashes are joined back to it, by a key made of the whole row, so a host
-with a third of all pages gives no large group.
+hashed. Spark counts, for each host, on how many pages of different content a
+subtree occurs; one that recurs on LEAST_PAGES of them, however many pages the
+host has, is part of the site's template. Template subtrees are deleted first,
+wherever they lie; then the article is chosen among what is left: the marked
+articles, or else the main elements, or else the whole body. Pages with the same
+content count once, so that copies of an article don't turn the article into
+template; prose inside a marked article is never deleted so, nor are its lists
+and tables, and an element that holds a marked article isn't template.
+
+A site that shows too few pages for its template to recur is left to what the
+markup itself says: elements and roles that HTML defines as something else than
+the article go (menus, headers, footers, sidebars, adverts, forms, scripts), and
+so do containers whose class or id names such a part. Within a marked article a
+container goes by its name only where that is a whole class (not a part of one)
+and it holds less than half of the article's text, and prose never does.
+
+Hashes are counted with partial sums before the shuffle. Where the templates of
+all hosts are few enough (MOST_SENT, looked at first) they go to the pages, and no
+page is shuffled; beyond that, a page's own template hashes are joined back to it
+by a key made of the whole row, so that a host with a third of all pages gives no
+large group. Both ways give the same.
 
 Defined results: null, empty or tagless html is taken as a body of its text (the
 empty string where there is none); a null or odd url belongs to the host "";
 equal rows are extracted each on its own; other columns are ignored; an empty
-table gives an empty result.
+table gives an empty result. n_template counts the template subtrees deleted.
 """
 
 from __future__ import annotations
@@ -32,9 +42,13 @@ from meshwright.llm import words as W
 from meshwright.llm.html_tree import BLOCK, Node, parse
 from meshwright.llm.shared import cut
 
-LEAST_PAGES, LEAST_SHARE = 5, 0.01
+LEAST_PAGES = 5
+#: Template subtrees of all hosts that may be broadcast.
+MOST_SENT = 200_000
 #: Elements whose subtrees are hashed and counted.
 CONTAINERS = frozenset("aside center details dialog div dl fieldset figure footer form header main menu nav ol section table ul".split())
+#: Those that a marked article's own content is made of.
+CONTENT = frozenset("dl fieldset figure ol section table ul".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 DROPPED = frozenset("head script style noscript template iframe object embed svg canvas audio video map button select textarea input form nav footer aside dialog menu title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
@@ -53,17 +67,34 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def unwanted(node: Node, inside: bool) -> bool:
-    """Whether the markup names this element as something else than the article; `inside`: within a marked article."""
-    if node.tag in DROPPED or node.tag == "header" and not inside:
+def unwanted(node: Node, article: Node | None) -> bool:
+    """Whether the markup names this element as something else than the article; `article`: the marked one that it lies in."""
+    if node.tag in DROPPED or node.tag == "header" and article is None:
         return True
     if not node.raw.strip():
         return False
     a = node.attrs
     if a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
         return True
+    if node.tag in ("html", "body"):
+        return False
+    if article is not None:
+        names = {x for k in ("class", "id") for x in a.get(k, "").lower().split()}
+        return node.tag not in PROSE and node.tag in BLOCK and bool(names & NAMES) and 2 * n_chars(node) < n_chars(article)
     names = {x.lower() for k in ("class", "id") if k in a for x in _WORD.findall(a[k])}
-    return node.tag not in ("html", "body") and bool(names & NAMES or not inside and names & OUTSIDE_NAMES)
+    return bool(names & (NAMES | OUTSIDE_NAMES))
+
+
+def n_chars(node: Node) -> int:
+    """Characters of an element's text, white space aside."""
+    total, stack = 0, [node]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            total += len("".join(x.split()))
+        else:
+            stack += x.children
+    return total
 
 
 def walk(root: Node):
@@ -93,17 +124,38 @@ def hashes(root: Node) -> dict[int, int]:
     return out
 
 
-def roots(root: Node) -> list[Node]:
-    """The marked articles (or else main elements) that lie in nothing unwanted; none: empty."""
+def candidates(root: Node) -> list[tuple[Node, bool]]:
+    """The elements that may be template, and whether each lies in a marked article; none that holds one."""
+    out: list[tuple[Node, bool, int]] = []
+    holding: set[int] = set()
+    inside, open_ones = 0, []
+    for node, entering in walk(root):
+        if node.tag == "article":
+            if entering and not inside:
+                holding.update(open_ones)
+            inside += 1 if entering else -1
+        if entering:
+            open_ones.append(id(node))
+            if node.tag in CONTAINERS and not (inside and node.tag in CONTENT) or not inside and node.tag in PROSE:
+                out.append((node, bool(inside)))
+        else:
+            open_ones.pop()
+    return [x for x in out if id(x[0]) not in holding]
+
+
+def roots(root: Node, gone: set[int] = frozenset()) -> list[Node]:
+    """The marked articles (or else main elements) that lie in nothing unwanted or deleted (`gone`); none: empty."""
     for wanted in (lambda x: x.tag == "article", lambda x: x.tag == "main" or x.attrs.get("role", "").lower() == "main"):
         found, shut = [], None
         for node, entering in walk(root):
             if shut is not None:
                 shut = None if node is shut and not entering else shut
-            elif entering and wanted(node) and not unwanted(node, True):
+            elif entering and id(node) in gone:
+                shut = node
+            elif entering and wanted(node) and not unwanted(node, node):
                 found.append(node)
                 shut = node
-            elif entering and unwanted(node, False):
+            elif entering and unwanted(node, None):
                 shut = node
         if found:
             return found
@@ -111,22 +163,23 @@ def roots(root: Node) -> list[Node]:
 
 
 def subtrees(text: str | None) -> tuple[int, list[int]]:
-    """A hash of what the page is about, and the distinct hashes of its containers' subtrees."""
+    """A hash of what the page is about, and the distinct hashes of the subtrees that may be template."""
     tree = parse(text or "")
     own = hashes(tree)
     about = xxhash.xxh64()
     for x in roots(tree) or [x for x in tree.children if isinstance(x, Node)]:
         about.update(own[id(x)].to_bytes(8, "little"))
-    marked = bool(roots(tree))
-    found = {own[id(x)] for x, entering in walk(tree) if entering and (x.tag in CONTAINERS or not marked and x.tag in PROSE)}
-    return about.intdigest(), sorted(found)
+    return about.intdigest(), sorted({own[id(x)] for x, _ in candidates(tree)})
 
 
-def main_text(text: str | None, template: frozenset[int] = frozenset()) -> str:
-    """The article's blocks, a line each."""
+def main_text(text: str | None, template: frozenset[int] = frozenset()) -> tuple[str, int]:
+    """The article's blocks, a line each, and how many template subtrees were deleted."""
     tree = parse(text or "")
-    marked = roots(tree)
-    own = hashes(tree) if template else {}
+    gone: set[int] = set()
+    if template:
+        own = hashes(tree)
+        gone = {id(x) for x, _ in candidates(tree) if own[id(x)] in template}
+    marked = roots(tree, gone)
     blocks: list[str] = []
     line: list[str] = []
 
@@ -137,6 +190,7 @@ def main_text(text: str | None, template: frozenset[int] = frozenset()) -> str:
         line.clear()
 
     for top in marked or [tree]:
+        article = top if marked else None
         stack: list = [top]
         while stack:
             x = stack.pop()
@@ -145,7 +199,7 @@ def main_text(text: str | None, template: frozenset[int] = frozenset()) -> str:
             elif isinstance(x, str):
                 line.append(x)
             else:
-                if x is not top and (unwanted(x, bool(marked)) or template and own[id(x)] in template and (x.tag in CONTAINERS or not marked and x.tag in PROSE)):
+                if x is not top and (id(x) in gone or unwanted(x, article)):
                     if x.tag in BLOCK:
                         flush()
                     continue
@@ -156,35 +210,62 @@ def main_text(text: str | None, template: frozenset[int] = frozenset()) -> str:
                     stack.append(None)
                 stack += reversed(x.children)
         flush()
-    return "\n".join(blocks)
+    return "\n".join(blocks), len(gone)
 
 
-def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """page_id, url, text and n_chars of every row of `pages` (page_id, url, html, ...)."""
-    key = [F.xxhash64("page_id", "url", "html").alias("k0"), F.xxhash64("html", "url", "page_id", F.lit(1)).alias("k1")]
-    picked = pages.select("page_id", "url", "html", *key)
+def templates(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """host and subtree (its hash) of what recurs on `least_pages` pages of different content of a host."""
 
     def count(batches):
         for b in batches:
             rows = []
-            for url, text, k0, k1 in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for url, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 about, found = subtrees(text)
                 host = host_of(url)
-                rows += [(host, about - (1 << 63), x - (1 << 63), k0, k1) for x in (0, *found)]  # 0 counts the page itself
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True) if rows else [()] * 5, (pa.string(), *[pa.int64()] * 4), strict=True)], names=["host", "about", "subtree", "k0", "k1"])
-
-    found = cut(picked.select("url", "html", "k0", "k1").mapInArrow(W.tidied(count), "host string, about long, subtree long, k0 long, k1 long"))
-    page = -(1 << 63)
-    counts = found.select("host", "subtree", "about").distinct().groupBy("host", "subtree").agg(F.count("*").alias("pages"))
-    totals = counts.where(F.col("subtree") == page).select("host", F.col("pages").alias("all_pages"))
-    common = counts.where((F.col("subtree") != page) & (F.col("pages") >= least_pages)).join(totals, "host").where(F.col("pages") >= least_share * F.col("all_pages")).select("host", "subtree")
-    template = found.join(common, ["host", "subtree"]).groupBy("k0", "k1").agg(F.collect_set("subtree").alias("template"))
-    joined = picked.join(template, ["k0", "k1"], "left").select("page_id", "url", "html", "template")
-
-    def run(batches):
-        for b in batches:
-            texts = [main_text(x, frozenset(y + (1 << 63) for y in t or ())) for x, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+                rows += [(host, about - (1 << 63), x - (1 << 63)) for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True) if rows else [()] * 3, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["host", "about", "subtree"])
+
+    found = pages.select("url", "html").mapInArrow(W.tidied(count), "host string, about long, subtree long").distinct()
+    return found.groupBy("host", "subtree").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages).select("host", "subtree")
 
+
+def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, most_sent: int = MOST_SENT) -> DataFrame:
+    """page_id, url, text, n_chars and n_template of every row of `pages` (page_id, url, html, ...)."""
+    common = cut(templates(pages, least_pages))
     types = dict(pages.dtypes)
-    return joined.mapInArrow(W.tidied(run), f"page_id {types['page_id']}, url {types['url']}, text string, n_chars long")
+    schema = f"page_id {types['page_id']}, url {types['url']}, text string, n_chars long, n_template long"
+
+    def texts(b: pa.RecordBatch, template_of) -> pa.RecordBatch:
+        found = [main_text(x, template_of(k, u)) for k, (u, x) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))]
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([len(x) for x, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())], names=["page_id", "url", "text", "n_chars", "n_template"])
+
+    if common.count() <= most_sent:
+        by: dict[str, set[int]] = {}
+        for host, subtree in common.toLocalIterator():
+            by.setdefault(host, set()).add(subtree + (1 << 63))
+        sent = pages.sparkSession.sparkContext.broadcast({k: frozenset(v) for k, v in by.items()})
+
+        def run(batches):
+            for b in batches:
+                yield texts(b, lambda _, url: sent.value.get(host_of(url), frozenset()))
+
+        return pages.select("page_id", "url", "html").mapInArrow(W.tidied(run), schema)
+
+    key = [F.xxhash64("page_id", "url", "html").alias("k0"), F.xxhash64("html", "url", "page_id", F.lit(1)).alias("k1")]
+    picked = pages.select("page_id", "url", "html", *key)
+
+    def marks(batches):
+        for b in batches:
+            rows = [(host_of(url), x - (1 << 63), k0, k1) for url, text, k0, k1 in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True) for x in subtrees(text)[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True) if rows else [()] * 4, (pa.string(), *[pa.int64()] * 3), strict=True)], names=["host", "subtree", "k0", "k1"])
+
+    each = picked.select("url", "html", "k0", "k1").mapInArrow(W.tidied(marks), "host string, subtree long, k0 long, k1 long")
+    own = each.join(common, ["host", "subtree"]).groupBy("k0", "k1").agg(F.collect_set("subtree").alias("template"))
+    joined = picked.join(own, ["k0", "k1"], "left").select("page_id", "url", "html", "template")
+
+    def run_joined(batches):
+        for b in batches:
+            marked = b.column(3).to_pylist()
+            yield texts(b, lambda k, _, marked=marked: frozenset(x + (1 << 63) for x in marked[k] or ()))
+
+    return joined.mapInArrow(W.tidied(run_joined), schema)
