@@ -7,10 +7,12 @@ with theirs. The difference of the two compressed sizes, divided by the raw
 size, is put through a logistic curve fitted on labelled rows that the
 dictionaries have not seen, which calibrates the score.
 
-The sample is the only bounded part: `per_class` labelled rows of either class,
+The labelled sample is the only bounded part: `per_class` rows of either class,
 those least by a hash of doc_id, half for the dictionaries and half for the
-curve; of a sampled text at most `text_bytes` go into a dictionary's sample.
-Every text is scored whole.
+curve. Sampled texts are used whole; of the rows for a dictionary those count, in
+the hash's order, whose texts come to `sample_bytes` in all, which bounds what the
+driver holds. Differences for the curve are computed where the texts are. Every
+text is scored whole.
 
 Defined results: a null or empty text has the difference 0, so the score of the
 curve at 0; rows with equal or null doc_id are scored each on its own; other
@@ -30,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshwright.llm import words as W
+from meshwright.llm.shared import written
 
 COLUMNS = "held_out boolean, score double, predicted int"
 
@@ -37,7 +40,7 @@ COLUMNS = "held_out boolean, score double, predicted int"
 @dataclass(frozen=True)
 class Settings:
     per_class: int = 1500
-    text_bytes: int = 4096
+    sample_bytes: int = 16 << 20
     dictionary_bytes: int = 112_640
     chunk_bytes: int = 1024
     level: int = 3
@@ -59,7 +62,7 @@ def held_out(doc_id: Column) -> Column:
 
 def dictionary(texts: list[bytes], settings: Settings) -> bytes:
     """A zstandard dictionary trained on the texts; raw content where there is too little to train on."""
-    parts = [x[i : i + 1024] for x in texts for i in range(0, min(len(x), settings.text_bytes), 1024)]
+    parts = [x[i : i + 1024] for x in texts for i in range(0, len(x), 1024)]
     parts = [x for x in parts if len(x) >= 8]
     try:
         return zstandard.train_dictionary(settings.dictionary_bytes, parts, level=settings.level).as_bytes()
@@ -107,7 +110,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
-    """Learn from the labelled rows that are not held out; the driver gets 2 * per_class sampled texts at most."""
+    """Learn from the labelled rows that are not held out; the driver gets the texts for two dictionaries, 2 * sample_bytes at most."""
     known = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"))
     counts = {x["quality"]: x["count"] for x in known.groupBy("quality").count().collect()}
     rank = F.xxhash64("doc_id", F.lit(7))
@@ -115,20 +118,54 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     for label in (0, 1):
         own = known.where(F.col("quality") == label).orderBy(rank, "doc_id").limit(settings.per_class)
         picked = own if picked is None else picked.unionByName(own)
-    texts = docs.select("doc_id", F.encode(F.col("text"), "UTF-8").alias("text")).where(F.col("text").isNotNull())
-    # The curve needs whole texts; the sample is at most 2 * per_class rows, so it can be broadcast.
-    sample = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).orderBy(rank, "doc_id").collect()
-    by = {label: [bytes(x["text"]) for x in sample if x["quality"] == label and x["text"]] for label in (0, 1)}
+    texts = docs.select("doc_id", "text").where(F.octet_length("text") > 0)
+    # At most 2 * per_class rows, so they can be broadcast.
+    sample = written(texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")), "labelled")
+    rows = sample.select("doc_id", "quality", F.octet_length("text").alias("size")).orderBy(rank, "doc_id").collect()
+    by = {label: [x for x in rows if x["quality"] == label] for label in (0, 1)}
     if not by[0] or not by[1]:
         share = 0.5 if not by[0] and not by[1] else float(not by[0])
         return Model(b"", b"", 0.0, 30.0 * (2 * share - 1), settings)
-    good, bad = (dictionary(by[label][::2], settings) for label in (1, 0))
-    scorer = Scorer(good, bad, settings)
-    rest = [(x, label) for label in (0, 1) for x in (by[label][1::2] or by[label])]
-    slope, shift = fit_curve(np.array([scorer.difference(x) for x, _ in rest]), np.array([y for _, y in rest]), counts[1] / (counts[0] + counts[1]))
+    good, bad = (dictionary(_texts(sample, _within(by[label][::2], settings.sample_bytes)), settings) for label in (1, 0))
+    scorer = Model(good, bad, 0.0, 0.0, settings)
+    rest = [x["doc_id"] for label in (0, 1) for x in (by[label][1::2] or by[label])]
+    found = differences(_only(sample, rest), scorer).collect()
+    slope, shift = fit_curve(np.array([x["difference"] for x in found]), np.array([x["quality"] for x in found]), counts[1] / (counts[0] + counts[1]))
     return Model(good, bad, slope, shift, settings)
 
 
+def _within(rows: list, most: int) -> list:
+    """The ids of the first rows whose texts come to `most` bytes in all, one at least."""
+    out, total = [], 0
+    for x in rows:
+        total += x["size"]
+        if out and total > most:
+            break
+        out.append(x["doc_id"])
+    return out
+
+
+def _only(sample: DataFrame, ids: list) -> DataFrame:
+    return sample.join(F.broadcast(sample.sparkSession.createDataFrame([(x,) for x in ids], f"doc_id {dict(sample.dtypes)['doc_id']}")), "doc_id")
+
+
+def _texts(sample: DataFrame, ids: list) -> list[bytes]:
+    return [x["text"].encode() for x in _only(sample, ids).orderBy("doc_id").collect()]
+
+
+def differences(sample: DataFrame, model: Model) -> DataFrame:
+    """quality and difference of each row of `sample` (quality, text, ...)."""
+    sent = sample.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        own = sent.value
+        scorer = Scorer(own.good, own.bad, own.settings)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([scorer.difference(x.as_py().encode()) for x in b.column(1)], pa.float64())], names=["quality", "difference"])
+
+    return sample.select("quality", "text").mapInArrow(W.tidied(run), "quality int, difference double")
+
+
 def score_batch(column: pa.Array, model: Model, scorer: Scorer) -> np.ndarray:
     data, bounds = W.text_bytes(column)
     view = memoryview(np.ascontiguousarray(data))
