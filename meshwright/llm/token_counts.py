@@ -1,177 +1,264 @@
 """Token counts by dynamic programming over a trie (operator 10).
 
 A text is cut into pre-tokens at white space (`[^\\x20\\x09-\\x0D]+`), each with
-the word mark in front. A unigram vocabulary gives each piece a log-probability;
-a pre-token's tokens are those of its likeliest segmentation. The distinct
+the word mark in front. A unigram model gives each piece a log-probability; a
+pre-token's tokens are those of its likeliest segmentation. The distinct
 pre-tokens of a batch are inserted in a trie, and each trie node holds the best
-forward score of its prefix and the number of tokens on the way there: the
-dynamic program runs once for each node, so once for each shared prefix, and
-the count of a pre-token is read at its terminal node. The trie lives as long as
-its Python worker and starts afresh beyond MOST_NODES nodes, as do the terminal
-counts beyond MOST_TERMINALS, which bounds memory and changes no count; a
-pre-token whose terminal count is stored is not walked again. A node is extended by walking up to the longest piece's
-length towards the root, so the work per character is bounded too.
-
-The vocabulary is a public one of 32,000 pieces, read as it is. Its file ranks
-the pieces; the log-probability of rank r is that of Zipf's law, -log(r + 1) up
-to a constant. Characters that no piece covers cost one token for each UTF-8
-byte, at the log-probability of the byte pieces. Ties go to the longer last
-piece.
+forward score of its prefix and where that segmentation's last piece begins: the
+dynamic program runs once for each node, so once for each shared prefix, and a
+pre-token's pieces are read from its terminal node back to the root. A node is
+extended by walking up only as far as some piece ends in what was passed, so the
+work per character is bounded too. The trie lives as long as its
+Python worker and starts afresh beyond MOST_NODES nodes, as do the terminals'
+pieces beyond MOST_TERMINALS, which bounds memory and changes no count; a
+pre-token whose pieces are stored is not walked again. A pre-token of more than
+MOST_CHARS characters is not put in the trie but gets arrays of its own.
+
+The vocabulary is a public one of 32,000 pieces, read as it is; no piece is added
+or taken away. The pieces' log-probabilities are fitted to the corpus: they start
+from the ranks of the file (Zipf's law, -log(r + 1) up to a constant), and ROUNDS
+times all documents are segmented by them, the pieces counted (a row for each
+piece and task, summed in Spark) and the scores set to the pieces' smoothed shares,
+which is expectation-maximisation with likeliest segmentations. Characters that no
+piece covers cost one token for each UTF-8 byte, and all bytes share one count.
+Ties go to the longer last piece.
 
 Defined results: a null or empty text has 0 pre-tokens, 0 tokens and score 0.0;
 rows with equal or null doc_id are counted each on its own; other columns are
-ignored; an empty table gives an empty result.
+ignored; an empty table gives an empty result, and scores as the ranks say.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
+from array import array
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from meshwright.llm import words as W
 
 MARK = "▁"
-MOST_NODES = 800_000
+MOST_NODES = 500_000
 MOST_TERMINALS = 3_000_000
+MOST_CHARS = 256
+ROUNDS = 1
+#: Added to each piece's count.
+SMOOTHING = 0.1
 COLUMNS = "n_words long, n_tokens long, score double"
 
 
 class Vocabulary:
-    """Log-probabilities of pieces; `byte` is that of one byte of an uncovered character."""
-
-    def __init__(self, scores: dict[str, float], byte: float):
-        self.scores, self.byte = scores, byte
-        self.longest = max(map(len, scores), default=1)
+    """Pieces by number with their log-probabilities; the number after the last stands for one byte of an uncovered character."""
+
+    def __init__(self, pieces: list[str], scores: list[float], byte: float):
+        self.ids = {x: i for i, x in enumerate(pieces)}
+        self.pieces, self.scores, self.byte = pieces, [*scores, byte], len(pieces)
+        #: The number of each piece, and -1 for what only longer pieces end in.
+        self.endings: dict[str, int] = {}
+        for x in pieces:
+            for i in range(1, len(x)):
+                self.endings.setdefault(x[i:], -1)
+        self.endings |= self.ids
 
     @classmethod
     def load(cls, name: str) -> Vocabulary:
+        """With the scores of Zipf's law by rank."""
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name))
         n = model.get_piece_size()
         total = math.log(sum(1 / (i + 1) for i in range(n)))
         logp = [-math.log(i + 1) - total for i in range(n)]
-        plain = {model.id_to_piece(i): logp[i] for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))}
-        return cls(plain, min((logp[i] for i in range(n) if model.is_byte(i)), default=logp[-1]))
+        plain = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
+        return cls([model.id_to_piece(i) for i in plain], [logp[i] for i in plain], min((logp[i] for i in range(n) if model.is_byte(i)), default=logp[-1]))
+
+    def refit(self, counts: dict[int, int]) -> Vocabulary:
+        """The same pieces with the scores of their counts; the bytes' count is that of 256 pieces."""
+        n = [counts.get(i, 0) + SMOOTHING for i in range(self.byte)]
+        byte = counts.get(self.byte, 0) / 256 + SMOOTHING
+        total = math.log(sum(n) + 256 * byte)
+        return Vocabulary(self.pieces, [math.log(x) - total for x in n], math.log(byte) - total)
+
+    def extend(self, text: str, i: int, path, score) -> tuple[float, int, int]:
+        """Best score of text[: i + 1], where its last piece begins and that piece; text[:j] has score[path[j]]."""
+        best, start, piece = -math.inf, i, self.byte
+        endings, scores = self.endings, self.scores
+        for j in range(i, -1, -1):
+            k = endings.get(text[j : i + 1])
+            if k is None:
+                break
+            if k >= 0:
+                s = score[path[j]] + scores[k]
+                if s >= best:  # of equals the longer last piece
+                    best, start, piece = s, j, k
+        if text[i] not in self.ids:
+            byte = score[path[i]] + len(text[i].encode("utf-8", "surrogatepass")) * self.scores[self.byte]
+            if byte > best:
+                best, start, piece = byte, i, self.byte
+        return best, start, piece
+
+    def long_pieces(self, text: str) -> list[int]:
+        """The pieces of a text's likeliest segmentation, last first, without a trie."""
+        score, start, piece, path = array("d", [0.0]), array("l"), array("l"), range(len(text) + 1)
+        for i in range(len(text)):
+            best, j, k = self.extend(text, i, path, score)
+            score.append(best)
+            start.append(j)
+            piece.append(k)
+        out, at = [], len(text)
+        while at:
+            k = piece[at - 1]
+            out += [k] * (len(text[at - 1].encode("utf-8", "surrogatepass")) if k == self.byte else 1)
+            at = start[at - 1]
+        return out
 
 
 class Trie:
-    """Nodes by number: parent, character, best score and tokens of the prefix that ends there."""
+    """Nodes by number: best score of the prefix that ends there, the node where its last piece begins, and that piece."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
+        self.known = W.Known(MOST_TERMINALS)
         self.clear()
-        self.forget()
 
     def clear(self) -> None:
-        self.children: list[dict[str, int] | None] = [None]
-        self.score, self.tokens = [0.0], [0]
-
-    def forget(self) -> None:
-        """Drop the stored terminal counts (by pre-token hash, ascending)."""
-        self.known = np.zeros(0, np.uint64)
-        self.known_counts, self.known_scores = np.zeros(0, np.int32), np.zeros(0)
-
-    def counts_of(self, hashes: np.ndarray, text_of) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens and scores of distinct pre-tokens by ascending hash; `text_of` gives the texts at some positions."""
-        place = np.minimum(np.searchsorted(self.known, hashes), max(0, len(self.known) - 1))
-        new = np.flatnonzero(self.known[place] != hashes) if len(self.known) else np.arange(len(hashes))
-        if len(self.known) + len(new) > MOST_TERMINALS:
-            self.forget()
-            new = np.arange(len(hashes))
-        if len(new):
-            words = text_of(new)
-            order = sorted(range(len(words)), key=words.__getitem__)
-            counts, best = np.empty(len(words), np.int32), np.empty(len(words))
-            counts[order], best[order] = self.terminals([words[i] for i in order])
-            at = np.searchsorted(self.known, hashes[new])
-            self.known = np.insert(self.known, at, hashes[new])
-            self.known_counts, self.known_scores = np.insert(self.known_counts, at, counts), np.insert(self.known_scores, at, best)
-            place = np.searchsorted(self.known, hashes)
-        return self.known_counts[place], self.known_scores[place]
+        self.next: dict[int, int] = {}
+        self.score, self.back, self.piece, self.size = array("d", [0.0]), array("l", [0]), array("l", [0]), array("b", [0])
 
     def insert(self, word: str, path: list[int]) -> int:
         """The terminal node of `word`; `path` (the nodes of its prefixes, root first) is filled up on the way."""
-        scores, longest, byte = self.vocabulary.scores, self.vocabulary.longest, self.vocabulary.byte
-        children, score, tokens = self.children, self.score, self.tokens
+        score, extend, following = self.score, self.vocabulary.extend, self.next
         here = path[-1]
         for i in range(len(path) - 1, len(word)):
-            below = children[here]
-            nxt = below.get(word[i]) if below else None
+            step = here << 21 | ord(word[i])
+            nxt = following.get(step)
             if nxt is None:
-                best, count = -math.inf, 0
-                for j in range(max(0, i + 1 - longest), i + 1):  # the longest last piece first
-                    s = scores.get(word[j : i + 1])
-                    if s is not None and score[path[j]] + s > best:
-                        best, count = score[path[j]] + s, tokens[path[j]] + 1
-                if word[i] not in scores:
-                    n = len(word[i].encode("utf-8", "surrogatepass"))
-                    if score[path[i]] + n * byte > best:
-                        best, count = score[path[i]] + n * byte, tokens[path[i]] + n
-                nxt = len(score)
-                if below is None:
-                    children[here] = {word[i]: nxt}
-                else:
-                    below[word[i]] = nxt
-                children.append(None)
+                best, j, k = extend(word, i, path, score)
+                nxt = following[step] = len(score)
                 score.append(best)
-                tokens.append(count)
+                self.back.append(path[j])
+                self.piece.append(k)
+                self.size.append(len(word[i].encode("utf-8", "surrogatepass")) if k == self.vocabulary.byte else 1)
             here = nxt
             path.append(here)
         return here
 
-    def terminals(self, ordered: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens and scores of words in ascending order; neighbours share the path of their common prefix."""
+    def pieces(self, ordered: list[str]) -> list[list[int]]:
+        """The pieces of words in ascending order, last first; neighbours share the path of their common prefix."""
         if len(self.score) > MOST_NODES:
             self.clear()
-        counts, best = np.zeros(len(ordered), np.int64), np.zeros(len(ordered))
-        path, before = [0], ""
-        for k, word in enumerate(ordered):
+        out, path, before = [], [0], ""
+        for word in ordered:
+            if len(word) > MOST_CHARS:
+                out.append(self.vocabulary.long_pieces(word))
+                continue
             shared, most = 0, min(len(word), len(before))
             while shared < most and word[shared] == before[shared]:
                 shared += 1
             del path[shared + 1 :]
-            node = self.insert(word, path)
-            counts[k], best[k], before = self.tokens[node], self.score[node], word
-        return counts, best
+            node, found = self.insert(word, path), []
+            while node:
+                found += [self.piece[node]] * self.size[node]
+                node = self.back[node]
+            out.append(found)
+            before = word
+        return out
+
+    def slots_of(self, hashes: np.ndarray, text_of) -> np.ndarray:
+        """Slots in `known` of distinct pre-tokens by ascending hash; `text_of` gives the texts at some positions."""
+
+        def lists_of(new: np.ndarray) -> tuple[list[int], list[int]]:
+            words = text_of(new)
+            order = sorted(range(len(words)), key=words.__getitem__)
+            found: list = [None] * len(words)
+            for i, x in zip(order, self.pieces([words[i] for i in order]), strict=True):
+                found[i] = x
+            return [k for x in found for k in x], [len(x) for x in found]
 
+        return self.known.slots_of(hashes, lists_of)
 
-_tries: dict[str, Trie] = {}
 
+def look_up(data: np.ndarray, bounds: np.ndarray, own: Trie) -> tuple[W.Words, np.ndarray]:
+    """The pre-tokens of a batch and the slot of each one's pieces."""
+    found = W.find_words(data, bounds, lower=False)
+    if not len(found.hashes):
+        return found, np.zeros(0, np.int64)
+    distinct, first, index = np.unique(found.hashes, return_index=True, return_inverse=True)
+    raw = data.tobytes()
+
+    def text_of(new: np.ndarray) -> list[str]:
+        return [MARK + raw[s:e].decode("utf-8", "replace") for s, e in zip(found.starts[first[new]].tolist(), found.ends[first[new]].tolist(), strict=True)]
 
-def trie(name: str) -> Trie:
-    if name not in _tries:
-        _tries[name] = Trie(Vocabulary.load(name))
-    return _tries[name]
+    return found, own.slots_of(distinct, text_of)[index]
 
 
 def count_rows(data: np.ndarray, bounds: np.ndarray, own: Trie) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pre-tokens, tokens and scores of each row of a batch."""
-    found = W.find_words(data, bounds, lower=False)
     n = len(bounds) - 1
-    if not len(found.hashes):
+    found, slots = look_up(data, bounds, own)
+    if not len(slots):
         return np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
-    distinct, first, index = np.unique(found.hashes, return_index=True, return_inverse=True)
-    raw = data.tobytes()
+    used, index = np.unique(slots, return_inverse=True)
+    start, size = own.known.at[used], own.known.at[used + 1] - own.known.at[used]
+    scores = np.array(own.vocabulary.scores)[own.known.flat[np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)]]
+    best = np.add.reduceat(scores, np.cumsum(size) - size)
+    return np.diff(found.first), np.bincount(found.rows, size[index], n).astype(np.int64), np.bincount(found.rows, best[index], n)
 
-    def text_of(new: np.ndarray) -> list[str]:
-        return [MARK + raw[s:e].decode("utf-8", "replace") for s, e in zip(found.starts[first[new]].tolist(), found.ends[first[new]].tolist(), strict=True)]
 
-    counts, best = own.counts_of(distinct, text_of)
-    counts, best = counts[index], best[index]
-    rows = found.rows
-    return np.diff(found.first), np.bincount(rows, counts, n).astype(np.int64), np.bincount(rows, best, n)
+_tries: dict[str, Trie] = {}
 
 
-def count(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model") -> DataFrame:
+def trie(key: str, vocabulary: Vocabulary) -> Trie:
+    """The worker's trie of one model; those of other models are given up."""
+    if key not in _tries:
+        _tries.clear()
+        _tries[key] = Trie(vocabulary)
+    return _tries[key]
+
+
+def piece_counts(docs: DataFrame, vocabulary: Vocabulary, key: str) -> dict[int, int]:
+    """How often each piece occurs in the likeliest segmentations of all texts; the driver gets a row for each piece."""
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches):
+        own, total = trie(key, sent.value), np.zeros(sent.value.byte + 1, np.int64)
+        for b in batches:
+            data, bounds = W.text_bytes(b.column(0))
+            for i, j in W.slices(bounds):
+                _, slots = look_up(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], own)
+                used, times = np.unique(slots, return_counts=True)
+                start, size = own.known.at[used], own.known.at[used + 1] - own.known.at[used]
+                pieces = own.known.flat[np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)]
+                total += np.bincount(pieces, np.repeat(times, size), len(total)).astype(np.int64)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["piece", "n"])
+
+    found = docs.select("text").mapInArrow(W.tidied(run), "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    return {x["piece"]: x["n"] for x in found.collect()}
+
+
+def fit(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", rounds: int = ROUNDS) -> Vocabulary:
+    """The vocabulary's pieces with scores fitted to `docs`."""
+    model = Vocabulary.load(vocabulary)
+    for _ in range(rounds):
+        counts = piece_counts(docs, model, uuid.uuid4().hex)
+        if not counts:
+            break
+        model = model.refit(counts)
+    return model
+
+
+def count(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", rounds: int = ROUNDS) -> DataFrame:
     """doc_id and COLUMNS of every row of `docs` (doc_id, text, ...)."""
+    sent, key = docs.sparkSession.sparkContext.broadcast(fit(docs, vocabulary, rounds)), uuid.uuid4().hex
 
     def run(batches):
-        own = trie(vocabulary)
+        own = trie(key, sent.value)
         for b in batches:
             data, bounds = W.text_bytes(b.column(1))
             for i, j in W.slices(bounds):

@@ -2,7 +2,8 @@
 
 The vocabulary's normalizer and pre-tokenizer treat the parts of a text between
 white space apart from each other, so the ids of a text are the ids of its
-parts in a row. A part of printable ASCII (without apostrophes and special
+parts in a row (a vocabulary file that says otherwise goes through the library
+text by text). A part of printable ASCII (without apostrophes and special
 tokens) and Latin-1 letters is cut into runs of letters, single digits and runs
 of other characters, as the vocabulary's own pattern cuts it after lower-casing,
 and each distinct piece goes through the library's BPE model once; any other
@@ -13,6 +14,7 @@ Pieces are found and told apart by 64-bit hashes, a batch of bytes at a time.
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
@@ -22,7 +24,7 @@ from meshwright.llm import words as W
 
 END = 1
 #: Pieces that a worker remembers; when there are more it starts afresh.
-REMEMBERED = 3_000_000
+REMEMBERED = 2_000_000
 
 LETTER, DIGIT, MARK, ODD = 1, 2, 3, 4
 CLASS = np.full(256, ODD, np.uint8)
@@ -75,6 +77,17 @@ def find_pieces(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return low, starts, ends, kind[starts] == ODD
 
 
+#: What a vocabulary file must say for its texts to be cut here.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class Encoder:
     """One vocabulary file and the ids of the pieces seen so far."""
 
@@ -83,35 +96,25 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        #: Whether texts may be cut here; special tokens must begin as `find_pieces` takes them to.
+        self.by_pieces = said["normalizer"] == NORMALIZER and said["pre_tokenizer"] == PRE_TOKENIZER and said["post_processor"] is None and all(x["content"].startswith("<|") for x in said["added_tokens"])
         self.model = self.whole.model
         self.symbols = byte_symbols()
-        self.remembered = remembered
-        self.forget()
-
-    def forget(self) -> None:
-        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.flat, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def _learn(self, hashes: np.ndarray, pieces: list[bytes], odd: list[bool]) -> None:
-        """`hashes` ascend."""
-        if len(self.known) + len(hashes) > self.remembered:
-            self.forget()
-        tokenize, symbols, ids, sizes = self.model.tokenize, self.symbols, [], []
-        for piece, whole in zip(pieces, odd, strict=True):
-            if whole:
-                new = self.whole.encode(piece.decode(), add_special_tokens=False).ids
-            else:
-                new = [x.id for x in tokenize("".join([symbols[b] for b in piece]))]
-            ids += new
-            sizes.append(len(new))
-        slots = np.arange(len(self.at) - 1, len(self.at) - 1 + len(hashes))
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
-        self.flat = np.concatenate([self.flat, np.array(ids, np.uint32)])
-        place = np.searchsorted(self.known, hashes)
-        self.known, self.slot = np.insert(self.known, place, hashes), np.insert(self.slot, place, slots)
+        self.known = W.Known(remembered)
+
+    def _ids(self, piece: bytes, odd: bool) -> list[int]:
+        if odd:
+            return self.whole.encode(piece.decode(), add_special_tokens=False).ids
+        return [x.id for x in self.model.tokenize("".join([self.symbols[b] for b in piece]))]
 
     def encode_bytes(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids (uint32) of all rows one after the other, and the n + 1 bounds of the rows."""
+        if not self.by_pieces:
+            raw = data.tobytes()
+            found = [self.whole.encode(raw[a:b].decode(), add_special_tokens=False).ids for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            return np.array([x for ids in found for x in ids], np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(bounds), np.int64)
         low, starts, ends, odd = find_pieces(data, bounds)
@@ -120,21 +123,16 @@ class Encoder:
         hashes = W.span_hashes(low, starts, ends)
         hashes[odd] ^= np.uint64(0xA0761D6478BD642F)
         distinct, first, index = np.unique(hashes, return_index=True, return_inverse=True)
-        for _ in range(2):
-            place = np.minimum(np.searchsorted(self.known, distinct), max(0, len(self.known) - 1))
-            missing = np.flatnonzero(self.known[place] != distinct) if len(self.known) else np.arange(len(distinct))
-            if not len(missing):
-                break
-            if len(self.known) + len(missing) > self.remembered:
-                self.forget()
-                missing = np.arange(len(distinct))
-            at = first[missing]
-            raw = low.tobytes()
-            self._learn(distinct[missing], [raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], odd[at].tolist())
-        slot = self.slot[place][index]
-        start, size = self.at[slot], self.at[slot + 1] - self.at[slot]
+
+        def lists_of(new: np.ndarray) -> tuple[list[int], list[int]]:
+            at, raw = first[new], low.tobytes()
+            found = [self._ids(raw[s:e], whole) for s, e, whole in zip(starts[at].tolist(), ends[at].tolist(), odd[at].tolist(), strict=True)]
+            return [x for ids in found for x in ids], [len(x) for x in found]
+
+        slot = self.known.slots_of(distinct, lists_of)[index]
+        start, size = self.known.at[slot], self.known.at[slot + 1] - self.known.at[slot]
         stops = np.cumsum(size)
-        ids = self.flat[np.arange(stops[-1]) + np.repeat(start - (stops - size), size)]
+        ids = self.known.flat[np.arange(stops[-1]) + np.repeat(start - (stops - size), size)]
         return ids, np.concatenate([[0], stops])[np.searchsorted(starts, bounds)]
 
     def encode_rows(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

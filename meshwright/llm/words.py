@@ -133,6 +133,35 @@ def windows(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+class Known:
+    """Lists of numbers by 64-bit hash. Beyond `most` of them all are forgotten, which bounds memory and changes no result."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.flat, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def slots_of(self, hashes: np.ndarray, lists_of: Callable[[np.ndarray], tuple[list[int], list[int]]]) -> np.ndarray:
+        """The slots of ascending distinct hashes; `lists_of` gives the numbers, one list after the other, and the lists' sizes at some positions."""
+        place = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
+        new = np.flatnonzero(self.hashes[place] != hashes) if len(self.hashes) else np.arange(len(hashes))
+        if len(new):
+            if len(self.hashes) + len(new) > self.most:
+                self.forget()
+                new = np.arange(len(hashes))
+            numbers, sizes = lists_of(new)
+            slots = np.arange(len(self.at) - 1, len(self.at) - 1 + len(new))
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes, dtype=np.int64)])
+            self.flat = np.concatenate([self.flat, np.array(numbers, np.uint32)])
+            at = np.searchsorted(self.hashes, hashes[new])
+            self.hashes, self.slots = np.insert(self.hashes, at, hashes[new]), np.insert(self.slots, at, slots)
+            place = np.searchsorted(self.hashes, hashes)
+        return self.slots[place]
+
+
 def tidy() -> None:
     """Give the memory of finished work back to the system, which the allocators else keep for as long as the worker lives."""
     pa.default_memory_pool().release_unused()
