@@ -203,41 +203,106 @@ def test_round_trip_counts_all_ids_before(docs, library):
         at += len(ids)
     assert records.round_trip(docs([])).count() == 0
     assert records.round_trip(docs([(4, "a"), (4, "a"), (4, "b")])).count() == 3
+    with pytest.raises(ValueError):
+        records.round_trip(docs([("x", "a")], "string"))
+
+
+def test_shuffled_reads_seek_to_the_frames(spark, docs, library, tmp_path):
+    rng = random.Random(43)
+    pairs = [(rng.randrange(10**6), " ".join(rng.choice(["alpha", "Beta", "x1"]) for _ in range(rng.randint(0, 50)))) for _ in range(300)]
+    folder = f"file://{tmp_path}"
+    records.write(docs(pairs), folder, files=7)
+    want = {i: [*library.encode(t, add_special_tokens=False).ids, 1] for i, t in pairs}
+    index = records.shuffled(spark, folder, 5)
+    order = [(r.file, r.position) for r in index.collect()]
+    assert len(order) == 300 and len({f for f, _ in order}) > 3 and order != sorted(order) and order == [(r.file, r.position) for r in records.shuffled(spark, folder, 5).collect()]
+    part = index.limit(40)
+    assert sorted((r.doc_id, r.ids) for r in records.fetch(spark, folder, part).collect()) == sorted((r.doc_id, want[r.doc_id]) for r in part.collect())
+    seeker = records.Seeker(spark, folder)
+    for row in part.collect()[:5]:
+        doc_id, ids = seeker.get(row)
+        assert (doc_id, ids.tolist()) == (row.doc_id, want[row.doc_id])
+    with pytest.raises(records.BadRecord):
+        seeker.get(row.asDict() | {"ids_crc32": 1})
+    at, got = 0, {r.doc_id: r for r in records.read(spark, folder).collect()}
+    for i in sorted(want):
+        assert (got[i].start, got[i].n_tokens) == (at, len(want[i]))
+        at += len(want[i])
+    # An index that says something else is noticed.
+    wrong = spark.read.parquet(f"{folder}/index").withColumn("n_tokens", records.F.col("n_tokens") + 1).collect()
+    spark.createDataFrame(wrong, records.INDEX).write.mode("overwrite").parquet(f"{folder}/index")
+    with pytest.raises(Exception, match="not what the index says"):
+        records.read(spark, folder).collect()
+
+
+def test_files_are_ordered_by_number(spark):
+    names = spark.createDataFrame([(f"part-{i:05d}-x.txt",) for i in (99_999, 100_000, 7)], "file string")
+    assert [r.n for r in names.select(records._number(records.F.col("file")).alias("n")).orderBy("n").collect()] == [7, 99_999, 100_000]
 
 
 # --- token counts
 
 
 def plain_best(word, v):
-    word, best = token_counts.MARK + word, [(0.0, 0)]
+    """Score and pieces of the likeliest segmentation."""
+    word, best = token_counts.MARK + word, [(0.0, [])]
     for i in range(1, len(word) + 1):
-        c = (-math.inf, 0)
-        for j in range(max(0, i - v.longest), i):
-            s = v.scores.get(word[j:i])
-            if s is not None and best[j][0] + s > c[0]:
-                c = (best[j][0] + s, best[j][1] + 1)
-        if word[i - 1] not in v.scores:
+        c = (-math.inf, [])
+        for j in range(i):
+            k = v.ids.get(word[j:i])
+            if k is not None and best[j][0] + v.scores[k] > c[0]:
+                c = (best[j][0] + v.scores[k], [*best[j][1], k])
+        if word[i - 1] not in v.ids:
             n = len(word[i - 1].encode())
-            if best[i - 1][0] + n * v.byte > c[0]:
-                c = (best[i - 1][0] + n * v.byte, best[i - 1][1] + n)
+            if best[i - 1][0] + n * v.scores[v.byte] > c[0]:
+                c = (best[i - 1][0] + n * v.scores[v.byte], [*best[i - 1][1], *[v.byte] * n])
         best.append(c)
     return best[-1]
 
 
 def test_trie_equals_plain_dynamic_program(monkeypatch):
-    own = token_counts.trie("piece_bpe_32k.model")
+    own = token_counts.trie("test", token_counts.Vocabulary.load("piece_bpe_32k.model"))
     monkeypatch.setattr(token_counts, "MOST_NODES", 500)
-    monkeypatch.setattr(token_counts, "MOST_TERMINALS", 700)
-    texts = [*random_texts(200, 6), "the the there then thermal", "x" * 3000, "", None]
+    monkeypatch.setattr(own.known, "most", 700)
+    texts = [*random_texts(200, 6), "the the there then thermal", "x" * 300, "the中" * 100, "", None]
     for t in texts[:50]:  # some are stored, some forgotten again
         token_counts.count_rows(*W.text_bytes(pa.array([t], pa.string())), own)
     words, counts, score = token_counts.count_rows(*W.text_bytes(pa.array(texts, pa.string())), own)
     for i, t in enumerate(texts):
         each = [plain_best(w, own.vocabulary) for w in WORD.findall(t or "")]
-        assert (words[i], counts[i]) == (len(each), sum(n for _, n in each))
+        assert (words[i], counts[i]) == (len(each), sum(len(k) for _, k in each))
         assert score[i] == pytest.approx(sum(s for s, _ in each), abs=1e-6, rel=1e-9)
 
 
+def test_long_words_stay_out_of_the_trie():
+    own = token_counts.Trie(token_counts.Vocabulary.load("piece_bpe_32k.model"))
+    token_counts.count_rows(*W.text_bytes(pa.array(["ab" * 100_000])), own)
+    assert len(own.score) == 1
+
+
+def test_scores_are_fitted_to_the_corpus(docs):
+    rng = random.Random(41)
+    texts = [" ".join(rng.choice(["there", "then", "thermal", "x中y", "été"]) for _ in range(30)) for _ in range(40)] + [None, ""]
+    df = docs(list(enumerate(texts)))
+    start = token_counts.Vocabulary.load("piece_bpe_32k.model")
+    want = Counter(k for t in texts for w in WORD.findall(t or "") for k in plain_best(w, start)[1])
+    assert token_counts.piece_counts(df, start, "t") == want
+    fitted = token_counts.fit(df, rounds=1)
+    total = math.log(sum(math.exp(x) for x in fitted.scores[:-1]) + 256 * math.exp(fitted.scores[-1]))
+    assert total == pytest.approx(0, abs=1e-9) and fitted.pieces == start.pieces
+    by_rounds = [sum(r.score for r in token_counts.count(df, rounds=k).collect()) for k in (0, 1, 2)]
+    assert by_rounds[0] < by_rounds[1] <= by_rounds[2] + 1e-6
+
+
+def test_vocabularies_of_another_form_go_through_the_library():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [*random_texts(100, 3), "Two  Spaces\n\n", "<|endoftext|>"]
+    ids, bounds = tokens.Encoder(path).encode_rows(texts)
+    whole = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    assert [ids[bounds[i] : bounds[i + 1]].tolist() for i in range(len(texts))] == [e.ids for e in whole]
+    assert tokens.Encoder(public_tokenizers.path("word_bpe_49k.json")).by_pieces
+
+
 def test_counts_of_odd_rows(odd, docs):
     rows = token_counts.count(odd).collect()
     assert len(rows) == 8 and {(r.n_words, r.n_tokens, r.score) for r in rows if r.doc_id in (1, 2, 3)} == {(0, 0, 0.0)}
