@@ -131,14 +131,16 @@ def level(found: list[list[int]], sizes: list[int], capacity: int) -> list[list[
 class Block:
     """Pieces whose windows are still to be found: (row's doc_id, start, ids, doc_tokens)."""
 
-    def __init__(self, prefix: int):
+    def __init__(self, prefix: int, with_ids: bool = False):
+        self.with_ids = with_ids
         self.pieces: list[tuple] = []
         self.next_sequence = prefix << 32
         self.out: list[tuple] = []
 
     def _emit(self, piece: tuple, at: int, n: int, offset: int) -> None:
         doc_id, start, ids, total = piece
-        self.out.append((doc_id, start + at, n, zlib.crc32(ids[at : at + n].tobytes()), total, self.next_sequence, offset))
+        part = ids[at : at + n]
+        self.out.append((doc_id, start + at, n, zlib.crc32(part.tobytes()), total, self.next_sequence, offset, *((part,) if self.with_ids else ())))
 
     def add(self, doc_id, ids: np.ndarray, capacity: int) -> None:
         whole = (doc_id, 0, ids, len(ids))
@@ -159,15 +161,18 @@ class Block:
         self.pieces = []
 
 
-def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
-    """One row for each piece of the ids of `docs` (doc_id, text, ...): doc_id and COLUMNS."""
+def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int = CAPACITY, block: int = BLOCK, with_ids: bool = False) -> DataFrame:
+    """One row for each piece of the ids of `docs` (doc_id, text, ...): doc_id, COLUMNS and, `with_ids`, the ids themselves.
+
+    A sequence is its pieces by offset.
+    """
 
     def rows(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     def run(batches):
         path = public_tokenizers.path(vocabulary)
-        own = Block(TaskContext.get().partitionId())
+        own = Block(TaskContext.get().partitionId(), with_ids)
         for b in batches:
             doc_ids = b.column(0).to_pylist()
             for first, ids, bounds in tokens.encoded(b.column(1), path):
@@ -186,6 +191,7 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int =
     id_type = docs.select("doc_id").schema[0]
     from pyspark.sql.pandas.types import to_arrow_type
 
-    types = [to_arrow_type(id_type.dataType), *[pa.int64()] * 6]
-    names = ["doc_id", *(x.split()[0] for x in COLUMNS.split(", "))]
-    return docs.select("doc_id", "text").mapInArrow(W.tidied(run), f"doc_id {id_type.dataType.simpleString()}, {COLUMNS}")
+    columns = COLUMNS + ", ids array<int>" * with_ids
+    types = [to_arrow_type(id_type.dataType), *[pa.int64()] * 6, *([pa.list_(pa.int32())] if with_ids else [])]
+    names = ["doc_id", *(x.split()[0] for x in columns.split(", "))]
+    return docs.select("doc_id", "text").mapInArrow(W.tidied(run), f"doc_id {id_type.dataType.simpleString()}, {columns}")

@@ -2,7 +2,9 @@
 
 import os
 import random
+import zlib
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -33,6 +35,33 @@ def test_stages_on_a_small_corpus(spark, docs, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()} == {1, 2, 5}
 
 
+def test_odd_documents(spark, docs, tmp_path):
+    rng = random.Random(22)
+    prose = lambda n: " ".join("".join(rng.choice(["the", "on", "er", "ti", "re", "an", "st"]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    a, b, c, d = (prose(90) for _ in range(4))
+    # Repeated ids and rows, null ids with texts of their own and with a copy, empty texts.
+    pairs = [(1, a), (1, b), (1, b), (None, c), (None, d), (None, d + " more"), (7, ""), (8, None), (9, a + " too")]
+    folder = str(tmp_path)
+    docs(pairs).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(0, "no such item in any of the texts at all")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, folder).collect()
+    whole = {}
+    for r in sorted(got, key=lambda r: r.start):
+        whole.setdefault((r.doc_id, r.doc_tokens), []).extend(r.ids)
+        assert len(r.ids) == r.length <= 2048 and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+    # One row of each group: a or its near copy, b once, c, and d or its near copy.
+    assert sorted((k[0] for k in whole), key=str) == [1, 1, None, None]
+    assert all(len(v) == k[1] for k, v in whole.items())
+
+
+def test_an_empty_table(spark, docs, tmp_path):
+    folder = str(tmp_path)
+    docs([]).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(0, "an item")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, folder)
+    assert out.count() == 0 and {"doc_id", "sequence_id", "ids"} <= set(out.columns)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 def test_registered_queries_have_their_columns(spark):
     import __spark_entry__
