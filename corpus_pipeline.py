@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept, which is written as Parquet and read again in between. All stages but the
 last return the columns of `documents`.
+
+Defined results: null, empty and blank texts go in the first stage (too few
+words); rows with a null doc_id, and rows that share one, are judged each by its own
+text, and of near duplicates one row stays whatever the ids; extra columns are
+carried along; an empty table gives an empty result of the same columns.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwright.llm import decontamination, near_duplicates, packing, personal_data, quality_rules
-from meshwright.llm.shared import read_table, scratch
+from meshwright.llm.shared import delete, read_table, scratch
 
 #: No stage can be said in SQL whole (zstandard, MinHash, edit distance, a trained classifier, a tokenizer).
 ORACLE_SQL = None
@@ -41,18 +46,21 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' ids in sequences of at most 2048."""
-    return packing.pack(docs)
+    """The documents' ids in sequences of at most 2048: a row for each piece, with its ids and its place."""
+    return packing.pack(docs, with_ids=True)
 
 
 STAGES = [("quality_rules", rules), ("near_dedup", dedup), ("decontamination", decontaminate), ("pii", private), ("packing", packed)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; what each keeps is written to the shared folder and read again."""
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages over `documents`; what each keeps is written to the shared folder, read again, and deleted once the next one is written."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = scratch(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
