@@ -21,7 +21,6 @@ from meshwright.operators import transform as T
 from meshwright.operators.aggregate import aggregate, gather, with_self_loops
 from meshwright.plans.engine import SparkEngine
 from meshwright.plans.verify import verify
-from meshwright.sources import generators
 
 F_IN, HIDDEN, CLASSES = 64, 16, 10
 RELU, SIGMOID = Activation.RELU, Activation.SIGMOID
@@ -246,12 +245,8 @@ add(
 
 
 def _csc_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    """Export to arrays within Spark and read them back."""
-    g = graph(spark, sf, "g2").with_edge_ids()
-    ptr = g.col_ptr().agg(F.array_sort(F.collect_list(F.struct("position", "value"))).alias("p"))
-    ind = g.edges.agg(F.array_sort(F.collect_list(F.struct("edge_id", "src"))).alias("r"))
-    table = ptr.crossJoin(ind).select((F.size("p") - 1).cast("long").alias("num_nodes"), F.size("r").cast("long").alias("num_edges"), F.col("p.value").alias("col_ptr"), F.col("r.src").alias("row_ind"), F.expr("CAST(array() AS array<float>)").alias("weights"))
-    return Graph.from_csc_table(table).edges.select("edge_id", "src", "dst")
+    """Export to the two tables of CSC and read them back."""
+    return Graph.from_csc_tables(*graph(spark, sf, "g2").to_csc_tables()).edges.select("edge_id", "src", "dst")
 
 
 add(
@@ -419,14 +414,6 @@ def _verify_orders(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(got.same, got.rows, got.missing, got.wrong)], "same boolean, n long, missing long, wrong long")
 
 
-# Generators depend on Spark's hash, so they have no SQL; the tests look at their shape.
-add("erdos_renyi", lambda s, d: generators.erdos_renyi(s, 300, 0.02), None)
-add("random_edges", lambda s, d: generators.random_edges(s, 10_000, 50_000), None)
-add("barabasi_albert", lambda s, d: generators.barabasi_albert(s, 500, 3), None)
-add("power_law_graph", lambda s, d: generators.power_law(s, 10_000, 5), None)
-add("watts_strogatz", lambda s, d: generators.watts_strogatz(s, 10_000, 6, 0.1), None)
-
-
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     return _model(spark, sf, "g2", *gcn_layers())
 

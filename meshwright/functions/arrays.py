@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshwright.layers import Activation
@@ -54,3 +54,20 @@ def leaky(z: Column, slope: float) -> Column:
     return F.when(z >= 0, z).otherwise(z * slope)
 
 
+def to_long(df: DataFrame, column: str = "h") -> DataFrame:
+    """id, k and x: a row for each feature."""
+    return df.select("id", F.posexplode(column).alias("k", "x"))
+
+
+def from_long(df: DataFrame) -> DataFrame:
+    """id and h from rows (id, k, x), by k."""
+    return df.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("h")).select("id", F.col("h.x").alias("h"))
+
+
+def to_wide(df: DataFrame, dim: int, column: str = "h") -> DataFrame:
+    """id and x0, x1, ...: a column for each of `dim` features."""
+    return df.select("id", *(F.col(column)[k].alias(f"x{k}") for k in range(dim)))
+
+
+def from_wide(df: DataFrame, dim: int) -> DataFrame:
+    return df.select("id", F.array(*(f"x{k}" for k in range(dim))).alias("h"))

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshwright.functions.storage import cut
+
 
 def running_sum(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
     """`df` with the sum of `value` over all rows before each one in `order` (which must be total).
 
     Rows are dealt to ranges; sums run inside a range, and the totals of the
-    ranges before (one row each) are added. The ranges are kept while they are
-    read twice, so that both passes see the same.
+    ranges before (one row each) are added. The dealt rows are written to the
+    shared folder, so that both passes read the same ranges even where executors
+    are lost in between.
     """
-    dealt = df.withColumn("_v", value).repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).persist()
+    dealt = cut(df.withColumn("_v", value).repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     base = dealt.groupBy("_p").agg(F.sum("_v").alias("_t")).select("_p", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_b"))
     inside = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

@@ -8,6 +8,7 @@ in-neighbours (CSC), grouped by src out-neighbours (CSR).
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 from typing import Protocol, runtime_checkable
 
@@ -21,6 +22,11 @@ BAD_COL_PTR = "colPtr size must be equal to numNodes + 1"
 BAD_WEIGHTS = "weights size must match rowInd size"
 BAD_EDGE_FEATURES = "edgeFeatures rows must match rowInd size"
 
+#: Edge ids of a column that one row writes out.
+SPAN = 4096
+#: Edges of one node that the driver takes.
+MOST_COLLECTED = 1_000_000
+
 
 @runtime_checkable
 class GraphBase(Protocol):
@@ -83,7 +89,7 @@ class Graph:
 
     @classmethod
     def from_csc_table(cls, table: DataFrame) -> Graph:
-        """From one row of arrays (num_nodes, num_edges, col_ptr, row_ind, weights): `posexplode` of the offsets, in Spark."""
+        """From one row of arrays (num_nodes, num_edges, col_ptr, row_ind, weights), for graphs that fit one; else `from_csc_tables`."""
         spans = table.select("row_ind", "weights", F.expr("posexplode(transform(slice(col_ptr, 1, size(col_ptr) - 1), (b, i) -> named_struct('b', b, 'e', col_ptr[i + 1])))").alias("dst", "span"))
         # sequence(5, 4) counts down, so empty columns need the guard.
         each = spans.select("*", F.explode(F.expr("CASE WHEN span.e > span.b THEN sequence(span.b, span.e - 1) ELSE array() END")).alias("edge_id"))
@@ -91,6 +97,20 @@ class Graph:
         nodes = table.select(F.explode(F.expr("CASE WHEN num_nodes > 0 THEN sequence(0L, num_nodes - 1) ELSE array() END")).alias("id"))
         return cls(nodes, edges)
 
+    @classmethod
+    def from_csc_tables(cls, col_ptr: DataFrame, entries: DataFrame) -> Graph:
+        """From two tables of any size: offsets (position, value; N + 1 of them) and entries (edge_id, src[, weight, efeat]).
+
+        A column's span of edge ids is written out in chunks of SPAN, so a node of
+        any in-degree is spread over many rows, and joined with the entries.
+        """
+        after = col_ptr.select((F.col("position") - 1).alias("dst"), F.col("value").alias("e"))
+        spans = col_ptr.select(F.col("position").alias("dst"), F.col("value").alias("b")).join(after, "dst")
+        # sequence(5, 4) counts down, so empty columns are left out first.
+        chunks = spans.where("e > b").select("dst", "b", "e", F.explode(F.expr(f"sequence(b div {SPAN}, (e - 1) div {SPAN})")).alias("c"))
+        ids = chunks.select("dst", F.explode(F.expr(f"sequence(greatest(b, c * {SPAN}), least(e, (c + 1) * {SPAN}) - 1)")).alias("edge_id"))
+        return cls(spans.select(F.col("dst").alias("id")), entries.join(ids, "edge_id").select("edge_id", "src", "dst", *(x for x in ("weight", "efeat") if x in entries.columns)))
+
     # --- metadata
 
     @property
@@ -99,7 +119,8 @@ class Graph:
 
     @property
     def has_edge_features(self) -> bool:
-        return "efeat" in self.edges.columns
+        """Whether edges have features, of at least one number."""
+        return self.edge_feature_dim() > 0
 
     def num_nodes(self) -> int:
         return self.nodes.count()
@@ -114,8 +135,8 @@ class Graph:
         return self.edges.count()
 
     def edge_feature_dim(self) -> int:
-        first = self.edges.select(F.size("efeat")).first() if self.has_edge_features else None
-        return first[0] if first else 0
+        first = self.edges.select(F.size("efeat")).first() if "efeat" in self.edges.columns else None
+        return max(0, first[0]) if first else 0
 
     # --- adjacency
 
@@ -147,14 +168,20 @@ class Graph:
     def out_neighbours(self) -> DataFrame:
         return self._with_ids().select(F.col("src").alias("id"), "edge_id", F.col("dst").alias("neighbour"))
 
-    def in_neighbours_of(self, v: int) -> list[int]:
-        """One node's sources, by edge id."""
+    def in_neighbours_of(self, v: int, most: int = MOST_COLLECTED) -> list[int]:
+        """One node's sources, by edge id; its in-degree is checked first."""
+        self._check_degree(v, most)
         return [x[0] for x in self._with_ids().where(F.col("dst") == v).orderBy("edge_id").select("src").collect()]
 
-    def in_weights_of(self, v: int) -> list[float]:
+    def _check_degree(self, v: int, most: int) -> None:
+        if self.in_degree(v) > most:
+            raise ValueError(f"node {v} has too many incoming edges for the driver")
+
+    def in_weights_of(self, v: int, most: int = MOST_COLLECTED) -> list[float]:
         """One node's incoming weights, by edge id; none where the graph has no weights."""
         if not self.has_edge_weights:
             return []
+        self._check_degree(v, most)
         return [x[0] for x in self._with_ids().where(F.col("dst") == v).orderBy("edge_id").select("weight").collect()]
 
     def in_weights(self) -> DataFrame:
@@ -167,6 +194,14 @@ class Graph:
         e = self._with_ids()
         return e.select("edge_id", (F.coalesce("weight", F.lit(1.0)) if self.has_edge_weights else F.lit(1.0)).cast("double").alias("weight"))
 
+    def weights_data(self) -> DataFrame | None:
+        """edge_id and weight of all edges; None where the graph has no weights."""
+        return self._with_ids().select("edge_id", "weight") if self.has_edge_weights else None
+
+    def edge_feature_data(self) -> DataFrame | None:
+        """edge_id and efeat of all edges; None where the graph has no edge features."""
+        return self._with_ids().select("edge_id", "efeat") if self.has_edge_features else None
+
     def source_of(self, edge_id: int) -> int:
         got = self._with_ids().where(F.col("edge_id") == edge_id).select("src").first()
         if got is None:
@@ -193,6 +228,21 @@ class Graph:
         last = self.nodes.agg(F.count("*").alias("position")).crossJoin(self.edges.agg(F.count("*").alias("value")))  # one row each
         return ranked.unionByName(last)
 
+    def to_csc_tables(self) -> tuple[DataFrame, DataFrame]:
+        """The offsets (position, value) and the entries (edge_id, src, and weight and efeat where there are any), as tables."""
+        numbered = self.with_edge_ids()
+        return numbered.col_ptr(), numbered.edges.select("edge_id", "src", *(x for x in ("weight", "efeat") if x in self.edges.columns))
+
+    @contextmanager
+    def kept(self):
+        """The graph with its edges and nodes in memory, spilling to disk, for as long as the block runs."""
+        nodes, edges = self.nodes.persist(), self.edges.persist()
+        try:
+            yield replace(self, nodes=nodes, edges=edges)
+        finally:
+            edges.unpersist()
+            nodes.unpersist()
+
     def to_csc(self, most_edges: int = 10_000_000) -> dict:
         """The CSC arrays on the driver, of a graph whose size is checked first."""
         n = self.num_directed_entries()
@@ -205,7 +255,7 @@ class Graph:
             "col_ptr": [x[0] for x in self.col_ptr().orderBy("position").select("value").collect()],
             "row_ind": [x["src"] for x in e],
             "weights": [x["weight"] for x in e] if self.has_edge_weights else None,
-            "edge_features": [x["efeat"] for x in e] if self.has_edge_features else None,
+            "edge_features": [x["efeat"] for x in e] if "efeat" in self.edges.columns else None,
         }
 
     def dense_adjacency(self, most_nodes: int = 2000) -> DataFrame:

@@ -75,7 +75,10 @@ class GCNLayer:
 
 @dataclass(frozen=True, eq=False)
 class GraphSAGELayer:
-    """z = h W_self + aggregate(h) W_neigh + b, without the first term where there is no W_self."""
+    """z = h W_self + aggregate(h) W_neigh + aggregate(efeat) W_edge + b, without the terms that have no matrix.
+
+    W_edge makes it a layer that needs edge features; the normalised aggregation has no such form.
+    """
 
     w_neigh: DenseMatrix
     w_self: DenseMatrix | None = None
@@ -83,11 +86,16 @@ class GraphSAGELayer:
     aggregation: Aggregation = Aggregation.MEAN
     activation: Activation = Activation.NONE
     self_loops: bool = True  # of GCN_NORM only
-    needs_edge_features = False
+    w_edge: DenseMatrix | None = None
 
     def __post_init__(self):
         w, b = _checked(self.w_neigh, ())
         object.__setattr__(self, "w_neigh", w)
+        if self.w_edge is not None:
+            edge = as_matrix(self.w_edge)
+            if edge.empty or edge.cols != w.cols or self.aggregation is Aggregation.GCN_NORM:
+                raise ValueError("W_edge must have out_dim columns, and an aggregation other than GCN_NORM")
+            object.__setattr__(self, "w_edge", edge)
         if self.w_self is not None:
             own = as_matrix(self.w_self)
             if (own.rows, own.cols) != (w.rows, w.cols):
@@ -116,6 +124,10 @@ class GraphSAGELayer:
     def has_bias(self) -> bool:
         return bool(self.bias)
 
+    @property
+    def needs_edge_features(self) -> bool:
+        return self.w_edge is not None
+
     @property
     def has_w_self(self) -> bool:
         return self.w_self is not None

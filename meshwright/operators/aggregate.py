@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwright.functions.arrays import zeros
+from meshwright.functions.arrays import dequantise, quantise, zeros
 from meshwright.graph import Graph
 from meshwright.layers import Aggregation
 
@@ -53,6 +53,13 @@ def reduce_by_key(messages: DataFrame, key: str, dim: int, kind: Aggregation) ->
     return whole.select(key, F.slice(F.flatten(F.col("m.m")), 1, dim).alias("m"))
 
 
+def reduce_by_feature(messages: DataFrame, key: str, kind: Aggregation) -> DataFrame:
+    """The same in the long layout: a row for each feature, reduced by key and position, for features of any width."""
+    each = messages.select(key, F.posexplode("h").alias("k", "x")).groupBy(key, "k").agg(_reduce(kind, F.col("x")).alias("x"))
+    # A node's features come together again: as many as its width, whatever its degree.
+    return each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("m")).select(key, F.col("m.x").alias("m"))
+
+
 def aggregate(
     graph: Graph,
     features: DataFrame,
@@ -62,6 +69,7 @@ def aggregate(
     use_edge_weights: bool = False,
     strategy: str = "edge",
     degrees: DataFrame | None = None,
+    compress: bool = False,
 ) -> DataFrame:
     """id and m of every node: its in-neighbours' h reduced, the zero vector where it has none.
 
@@ -72,9 +80,11 @@ def aggregate(
     for several layers. Strategies: "edge" joins by the source and combines
     partial results of edge partitions; "vertex" first deals edges by destination
     and broadcasts the features if their size allows, so that each node is
-    reduced in its own partition without a further shuffle.
+    reduced in its own partition without a further shuffle; "feature" reduces in
+    the long layout, by destination and feature. `compress` sends features to the
+    edges as 8-bit numbers with a scale for each node.
     """
-    if strategy not in ("edge", "vertex"):
+    if strategy not in ("edge", "vertex", "feature"):
         raise ValueError(f"unknown strategy {strategy!r}")
     edges = with_self_loops(graph) if self_loops else graph.edges
     side = features.select("id", "h")
@@ -87,10 +97,16 @@ def aggregate(
         edges = edges.repartition("dst")
         small = features.count() * dim * 8 <= BROADCAST_BYTES
     side = side.withColumnRenamed("id", "src")
+    if compress:
+        side = side.select("src", quantise(F.col("h")).alias("q"))
     messages = edges.join(F.broadcast(side) if small else side, "src")
+    if compress:
+        messages = messages.withColumn("h", dequantise(F.col("q"))).drop("q")
     if use_edge_weights and graph.has_edge_weights:
         messages = messages.withColumn("h", F.transform("h", lambda x: x * F.coalesce(F.col("weight").cast("double"), F.lit(1.0))))
-    found = reduce_by_key(messages.select("dst", "h"), "dst", dim, kind).withColumnRenamed("dst", "id")
+    messages = messages.select("dst", "h")
+    found = reduce_by_feature(messages, "dst", kind) if strategy == "feature" else reduce_by_key(messages, "dst", dim, kind)
+    found = found.withColumnRenamed("dst", "id")
     out = graph.nodes.select("id").join(found, "id", "left")
     if kind is Aggregation.GCN_NORM:
         out = out.join(norm, "id").withColumn("m", F.transform("m", lambda x: x * F.col("inv_sqrt")))

@@ -45,14 +45,24 @@ class Profile:
     nodes_per_s: float
     edges_per_s: float
     parallelism: int
+    #: The most heap that the driver's JVM, in local mode the executors' too, had in use meanwhile.
+    peak_mb: float = 0.0
+
+
+def _heap_pools(df: DataFrame) -> list:
+    beans = df.sparkSession.sparkContext._jvm.java.lang.management.ManagementFactory.getMemoryPoolMXBeans()
+    return [x for x in beans if str(x.getType()) == "Heap memory"]
 
 
 def profile(make: Callable[[], DataFrame], n_nodes: int, n_edges: int) -> Profile:
     started = time.perf_counter()
     df = make()
+    pools = _heap_pools(df)
+    for x in pools:
+        x.resetPeakUsage()
     run_fully(df)
     s = time.perf_counter() - started
-    return Profile(s, n_nodes / s, n_edges / s, df.sparkSession.sparkContext.defaultParallelism)
+    return Profile(s, n_nodes / s, n_edges / s, df.sparkSession.sparkContext.defaultParallelism, sum(x.getPeakUsage().getUsed() for x in pools) / 1e6)
 
 
 def sweep(path: str, choices: dict[str, Iterable], run: Callable[..., Profile], repeat: int = 3) -> list[dict]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meshwright.functions.ordering import position
 from meshwright.graph import Graph
 from meshwright.layers import EGATLayer, GCNLayer, GNNModel, GraphSAGELayer, Activation, Aggregation
 from meshwright.matrix import DenseMatrix
@@ -25,6 +26,56 @@ def read_csc(spark: SparkSession, path: str) -> Graph:
     return Graph.from_csc_table(spark.read.parquet(path))
 
 
+def write_csc_tables(graph: Graph, folder: str) -> None:
+    """A graph of any size as two Parquet tables: `folder`/col_ptr and `folder`/entries."""
+    col_ptr, entries = graph.to_csc_tables()
+    col_ptr.write.parquet(f"{folder}/col_ptr")
+    entries.write.parquet(f"{folder}/entries")
+
+
+def read_csc_tables(spark: SparkSession, folder: str) -> Graph:
+    return Graph.from_csc_tables(spark.read.parquet(f"{folder}/col_ptr"), spark.read.parquet(f"{folder}/entries"))
+
+
+def read_edge_features(spark: SparkSession, path: str, id_column: str = "edge_id", feature_column: str = "efeat") -> DataFrame:
+    """edge_id and efeat of a Parquet table with a list column."""
+    return spark.read.parquet(path).select(F.col(id_column).cast("long").alias("edge_id"), F.col(feature_column).cast("array<double>").alias("efeat"))
+
+
+def _csv_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A gzipped CSV file without a header, with `row`, the line's number: such a file is read as one partition, in order."""
+    return spark.read.csv(path, schema=schema, mode="FAILFAST").withColumn("row", F.monotonically_increasing_id())
+
+
+def ogb_folder(spark: SparkSession, folder: str, dim: int) -> tuple[Graph, DataFrame]:
+    """A graph and its nodes (id, h, label) from the raw CSV files that the Open Graph Benchmark publishes.
+
+    edge.csv.gz holds src,dst; node-feat.csv.gz `dim` features a line and
+    node-label.csv.gz one label, both by node number.
+    """
+    edges = spark.read.csv(f"{folder}/edge.csv.gz", schema="src bigint, dst bigint", mode="FAILFAST")
+    feats = _csv_rows(spark, f"{folder}/node-feat.csv.gz", ", ".join(f"x{k} double" for k in range(dim)))
+    labels = _csv_rows(spark, f"{folder}/node-label.csv.gz", "label int")
+    nodes = feats.select(F.col("row").alias("id"), F.array(*(f"x{k}" for k in range(dim))).alias("h")).join(labels.select(F.col("row").alias("id"), "label"), "id", "left")
+    return Graph.from_edges(edges, nodes), nodes
+
+
+def citation_files(spark: SparkSession, content: str, cites: str) -> tuple[Graph, DataFrame]:
+    """A graph and its nodes (id, name, h, label) from citation files as Planetoid's sources have them.
+
+    A line of `content` is a name, features and a class, between tabs; a line of
+    `cites` the cited name and the citing one. Nodes are numbered by name and
+    classes by theirs; a citation of an unknown name is left out.
+    """
+    parts = spark.read.text(content).select(F.split("value", "\t").alias("p")).where("size(p) > 2")
+    rows = parts.select(F.col("p")[0].alias("name"), F.expr("transform(slice(p, 2, size(p) - 2), x -> CAST(x AS double))").alias("h"), F.element_at("p", -1).alias("class"))
+    classes = position(rows.select("class").distinct(), ["class"], "label")
+    nodes = position(rows, ["name"], "id").join(classes, "class").select("id", "name", "h", F.col("label").cast("int").alias("label"))
+    links = spark.read.csv(cites, schema="cited string, citing string", sep="\t", mode="FAILFAST")
+    src, dst = nodes.select(F.col("name").alias("citing"), F.col("id").alias("src")), nodes.select(F.col("name").alias("cited"), F.col("id").alias("dst"))
+    return Graph.from_edges(links.join(src, "citing").join(dst, "cited").select("src", "dst"), nodes), nodes
+
+
 def csr_to_edges(table: DataFrame) -> DataFrame:
     """edge_id, src, dst, weight from one row of CSR arrays (row_ptr, col_ind, weights)."""
     spans = table.select("col_ind", "weights", F.expr("posexplode(transform(slice(row_ptr, 1, size(row_ptr) - 1), (b, i) -> named_struct('b', b, 'e', row_ptr[i + 1])))").alias("src", "span"))
@@ -49,7 +100,7 @@ def weights_table(spark: SparkSession, model: GNNModel) -> DataFrame:
     for i, layer in enumerate(model.layers):
         kind = type(layer).__name__
         for name in ("w_neigh", "w_self", "w_node", "w_edge", "w_attn"):
-            w = getattr(layer, name, None)
+            w: DenseMatrix | None = getattr(layer, name, None)
             rows += [(i, kind, name, k, w.row(k)) for k in range(w.rows)] if w is not None else []
         rows.append((i, kind, "activation:" + layer.activation.value, None, None))
         if isinstance(layer, EGATLayer):
@@ -92,5 +143,5 @@ def read_weights(spark: SparkSession, path: str, most_rows: int = 1_000_000) ->
         elif kind == "GCNLayer":
             layers.append(GCNLayer(w["w_neigh"], setting.get("bias", ()), act, bool(int(setting["self_loops"]))))
         else:
-            layers.append(GraphSAGELayer(w["w_neigh"], w.get("w_self"), setting.get("bias", ()), Aggregation(setting["aggregation"]), act, bool(int(setting["self_loops"]))))
+            layers.append(GraphSAGELayer(w["w_neigh"], w.get("w_self"), setting.get("bias", ()), Aggregation(setting["aggregation"]), act, bool(int(setting["self_loops"])), w.get("w_edge")))
     return GNNModel(tuple(layers))

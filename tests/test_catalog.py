@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from meshwright import catalog
+from meshwright import api_queries, catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem embeddings".split()
@@ -19,12 +19,19 @@ def db():
     return con
 
 
+QUERIES, SQL = catalog.queries() | api_queries.queries(), catalog.oracle_sql() | api_queries.oracle_sql()
+
+
+def test_every_query_has_sql():
+    assert QUERIES.keys() == SQL.keys()
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
-@pytest.mark.parametrize("name", [n for n in catalog.oracle_sql() if "dense" not in n])
+@pytest.mark.parametrize("name", list(SQL))
 def test_query_gives_the_sql_rows(spark, db, name):
-    got = catalog.queries()[name](spark, SF)
+    got = QUERIES[name](spark, SF)
     order = sorted(got.columns)
-    cursor = db.execute(catalog.oracle_sql()[name])
+    cursor = db.execute(SQL[name])
     names = [d[0] for d in cursor.description]
     assert sorted(names) == order
     wanted = sorted(tuple(r[names.index(c)] for c in order) for r in cursor.fetchall())
@@ -32,6 +39,6 @@ def test_query_gives_the_sql_rows(spark, db, name):
 
 
 def test_no_python_in_plans(spark):
-    for name in ("gcn_2layer", "egat_2head", "sage_2layer"):
-        plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
-        assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+    for name, query in QUERIES.items():
+        plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan, name

@@ -29,6 +29,20 @@ def test_weights_round_trip(spark, tmp_path):
                 assert getattr(a, name, None) == getattr(b, name, None)
 
 
+def test_csc_tables_of_hubs_and_isolated_nodes(spark, tmp_path, monkeypatch):
+    from meshwright import graph as module
+    from meshwright.graph import Graph
+
+    monkeypatch.setattr(module, "SPAN", 7)
+    edges = [(i, 2, float(i)) for i in range(50)] + [(1, 4, 0.5), (2, 4, 1.5)]
+    g = Graph.from_edges(spark.createDataFrame(edges, "src long, dst long, weight double"), spark.range(50).select("id"))
+    files.write_csc_tables(g, str(tmp_path / "csc"))
+    back = files.read_csc_tables(spark, str(tmp_path / "csc"))
+    assert sorted((r.src, r.dst, r.weight) for r in back.edges.collect()) == sorted(edges) and back.num_nodes() == 50
+    ids = [(r.edge_id, r.src) for r in back.edges.orderBy("edge_id").collect()]
+    assert ids == [(i, i) for i in range(50)] + [(50, 1), (51, 2)]
+
+
 def test_generators(spark):
     rows = lambda df: sorted(map(tuple, df.collect()))
     er = rows(generators.erdos_renyi(spark, 60, 0.1, 3))
@@ -36,9 +50,13 @@ def test_generators(spark):
     assert 200 < len(er) < 520 and all(a != b for a, b in er)
     assert 0 < generators.random_edges(spark, 50, 300).count() <= 300
     ba = rows(generators.barabasi_albert(spark, 50, 2, 1))
-    assert len(ba) == 96 and all(b < a for a, b in ba)
+    assert 60 < len(ba) <= 100 and all(b < a for a, b in ba)
+    hubs = generators.barabasi_albert(spark, 5000, 3).groupBy("dst").count().orderBy("count", ascending=False).first()
+    assert hubs["count"] > 60 and hubs["dst"] < 100
     with pytest.raises(ValueError):
         generators.barabasi_albert(spark, 2, 2)
+    with pytest.raises(ValueError):
+        generators.erdos_renyi(spark, 10**6, 0.1)
     ring = rows(generators.watts_strogatz(spark, 20, 4, 0.0))
     assert len(ring) == 40 and (19, 0) in ring and (19, 1) in ring
     assert all(a != b for a, b in rows(generators.watts_strogatz(spark, 20, 4, 1.0)))
