@@ -171,16 +171,18 @@ def linked(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common").cast("long") >= percent * (F.col("n") + F.col("m") - F.col("common"))).select("a", "b")
 
 
-def in_blocks(rows: DataFrame, most: int, weight, schema: str, compare) -> DataFrame:
+def in_blocks(rows: DataFrame, brief: DataFrame, most: int, weight, schema: str, compare) -> DataFrame:
     """Compare the rows that are `away` with all rows of their bucket, in blocks of bounded size.
 
     Both sides of a bucket are dealt to chunks of about `most` in weight by a
     hash; each pair of chunks is a group of its own, whatever the bucket's size,
-    and the groups of a bucket are dealt to tasks one by one.
+    and the groups of a bucket are dealt to tasks one by one. `brief` has the same
+    rows with no more than key, n and away.
     `compare` gets its two sides and returns what it has found, never pairs that
     are no links.
     """
-    chunks = rows.groupBy("key").agg(F.greatest(F.ceil(F.sum(F.when(F.col("away"), weight).otherwise(0)) / most), F.lit(1)).cast("int").alias("i_most"), F.ceil(F.sum(weight) / most).cast("int").alias("j_most"))
+    # Written, so that the join with it can split a large bucket's rows.
+    chunks = cut(brief.groupBy("key").agg(F.greatest(F.ceil(F.sum(F.when(F.col("away"), weight).otherwise(0)) / most), F.lit(1)).cast("int").alias("i_most"), F.ceil(F.sum(weight) / most).cast("int").alias("j_most")))
     dealt = rows.join(chunks, "key")
     spread = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
     left = dealt.where("away").withColumn("i", (spread % F.col("i_most")).cast("int")).withColumn("j", F.explode(F.expr("sequence(0, j_most - 1)"))).withColumn("left", F.lit(True))
@@ -320,8 +322,8 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     # Members that are not in their head's component, with all others of the bucket.
     head_roots = roots.select(F.col("node").alias("head"), F.col("root").alias("head_root"))
     here = shared.join(roots, "node", "left").join(head_roots, "head", "left").select("key", "node", F.coalesce("root", "node").alias("root"), F.coalesce("head_root", "head").alias("head_root"))
-    here = here.withColumn("away", F.col("root") != F.col("head_root")).drop("head_root")
-    odd = here.groupBy("key").agg(F.count("*").alias("size"), F.max("away").alias("any")).where("any").drop("any")
+    here = cut(here.withColumn("away", F.col("root") != F.col("head_root")).drop("head_root"))
+    odd = cut(here.groupBy("key").agg(F.count("*").alias("size"), F.max("away").alias("any")).where("any").drop("any"))
     here = cut(here.join(odd, "key").join(light, "node"))
     if not here.isEmpty():
         few, many = here.where(F.col("size") <= SMALL).drop("size"), here.where(F.col("size") > SMALL).drop("size")
@@ -329,12 +331,12 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
         p, q = few.where("away").alias("p"), few.alias("q")
         fresh = (F.col("p.key") == F.col("q.key")) & (F.col("p.root") != F.col("q.root")) & (~F.col("q.away") | (F.col("p.node") < F.col("q.node")))
         crossed = cut(p.join(q, fresh & close("p", "q", percent)).select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct())
-        partners = cut(in_blocks(many, BLOCK_ROWS, F.lit(1), "node long", _close_ones(percent)).distinct())
+        partners = cut(in_blocks(many, many, BLOCK_ROWS, F.lit(1), "node long", _close_ones(percent)).distinct())
         late = cut(crossed.select(F.explode(F.array("a", "b")).alias("node")).unionByName(partners.select("node")).distinct())
         full = full.join(late, "node", "left_semi").unionByName(_full(docs, classes, late.join(members, "node", "left_anti"), size))
         full = cut(full)
-        fuller = many.select("key", "node", "root", "away", "n").join(partners, ["key", "node"]).join(full, "node")
-        between = in_blocks(fuller, BLOCK_ITEMS, F.greatest("n", F.lit(LEAST_ITEMS)), "a long, b long", _linked_ones(percent))
+        brief = many.select("key", "node", "root", "away", "n").join(partners, ["key", "node"])
+        between = in_blocks(brief.join(full, "node"), brief, BLOCK_ITEMS, F.greatest("n", F.lit(LEAST_ITEMS)), "a long, b long", _linked_ones(percent))
         known = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         roots = cut(components(known.unionByName(linked(crossed, full, percent)).unionByName(between)))
 

@@ -2,66 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from meshwright.functions.storage import cut, delete, scratch, shared_dir, written
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (spark.checkpoint.dir).
-
-    Only in local mode, where one machine does everything, is one of our own set
-    if the session names none; on a cluster that is an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not named:
-        if known.isDefined():
-            return known.get()
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-        named = f"file://{tempfile.mkdtemp(prefix='shared-')}"
-        _delete_at_exit(spark, named)
-    if not known.isDefined():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh folder path in the shared folder, deleted when the application ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    _delete_at_exit(spark, path)
-    return path
-
+__all__ = ["cut", "delete", "read_table", "scratch", "shared_dir", "written"]
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and go on from the copy: lineage ends there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
 
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """`df` written as Parquet to the shared folder and read again: for wide rows, which a checkpoint would not compress."""
-    path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def _place(spark: SparkSession, path: str):
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
-def _delete_at_exit(spark: SparkSession, path: str) -> None:
-    files, where = _place(spark, path)
-    files.deleteOnExit(where)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    files, where = _place(spark, path)
-    files.delete(where, True)
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
