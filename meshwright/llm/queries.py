@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from meshwright.llm import decontamination, near_duplicates, oracles, packing, personal_data, quality_model, quality_rules, quotation, records, site_templates, token_counts
 from meshwright.llm.shared import read_table
@@ -19,7 +20,8 @@ def op2_odd_sketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotation.build(read_table(spark, sf_dir, "conversations"))
+    """Here reply_to is -1 where a message replies to none."""
+    return quotation.build(read_table(spark, sf_dir, "conversations")).withColumn("reply_to", F.coalesce("reply_to", F.lit(-1)).cast("long"))
 
 
 def op4_karmarkar_karp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The other operators use zstandard, tokenizers, trained models or edit distances, which SQL can't express; tests hold them against plain versions."""
-    return {"op2_odd_sketch_near_duplicates": oracles.OP2, "op3_quotation_linking": oracles.OP3}
+    return {"op2_odd_sketch_near_duplicates": oracles.OP2, "op3_quotation_linking": f"select * replace (coalesce(reply_to, -1) as reply_to) from ({oracles.OP3})"}
