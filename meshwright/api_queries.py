@@ -63,7 +63,7 @@ def _pairs_graph(s: SparkSession, d: str) -> Graph:
     f"""select 'g2' as graph, (select count(*) from embeddings) as num_nodes, (select count(*) from ({G('g2')})) as num_edges, (select count(*) from ({G('g2')})) as num_entries, true as directed, false as weighted, false as featured, cast(0 as bigint) as feature_dim
     union all select 'g2e', (select count(*) from embeddings), (select count(*) from ({_E2E})), (select count(*) from ({_E2E})), true, false, true, 3
     union all select 'g4', (select count(*) from nation), (select count(*) from ({_E4})), (select count(*) from ({_E4})), true, true, false, 0
-    union all select 'pairs', (select count(*) from nation), (select count(*) from ({_PAIRS})), (select sum(case when a <> b then 2 else 1 end) from ({_PAIRS})), false, false, false, 0
+    union all select 'pairs', (select count(*) from nation), (select count(*) from ({_PAIRS})), (select cast(sum(case when a <> b then 2 else 1 end) as bigint) from ({_PAIRS})), false, false, false, 0
     union all select 'declared', 4, 5, 5, true, true, false, 0
     union all select 'empty features', 4, 5, 5, true, false, false, 0""",
 )
