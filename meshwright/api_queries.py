@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshwright.catalog import CLASSES, F_IN, HIDDEN, MEAN, NODES, RELU, SUM, V, W, X, G, _GCN2, agg_sql, base, bias, egat, egat_sql, features, gcn_layers, graph, lin_sql, long, matrix, rounded, sage_layers, sql
+from meshwright import catalog
+from meshwright.catalog import CLASSES, F_IN, HIDDEN, MEAN, NODES, RELU, SUM, V, W, X, G, _GCN2, _SAGE2, agg_sql, base, bias, egat, egat_sql, features, gcn_layers, graph, lin_sql, long, matrix, rounded, sage_layers, sql
 from meshwright.functions.arrays import dequantise, from_long, from_wide, quantise, to_long, to_wide
 from meshwright.functions.storage import scratch
 from meshwright.graph import Graph, GraphBase, InNeighbourGraph
@@ -247,6 +248,18 @@ def sage_edge_features(s: SparkSession, d: str) -> DataFrame:
     return _run(s, d, GNNModel((_sage_edge(),)), "g2e")
 
 
+# --- over whole tables: the dense graph of all line items
+
+_DENSE = {"e": G("g1")}
+query("sage_2layer_dense", sql({**_SAGE2, **_DENSE}, "z"))(lambda s, d: _run(s, d, GNNModel(sage_layers()), "g1"))
+query("sage_max_layer_dense", sql({**base("g1"), "m": agg_sql("max", "x", F_IN), "z": lin_sql([("m", W(F_IN, HIDDEN, 0)), ("x", W(F_IN, HIDDEN, 5))], True, "relu")}, "z"))(lambda s, d: _run(s, d, GNNModel((GraphSAGELayer(matrix(F_IN, HIDDEN, 0), matrix(F_IN, HIDDEN, 5), bias(HIDDEN), Aggregation.MAX, RELU),)), "g1"))
+query("egat_2head_dense", egat_sql(2, g="g1e"))(lambda s, d: _run(s, d, GNNModel((egat(2),)), "g1e"))
+query("sage_edge_features_dense", sql({**base("g1e"), "m": agg_sql("sum", "x", F_IN), "ef": _EF.replace(_E2E, G("g1e")), "z": lin_sql([("m", W(F_IN, HIDDEN, 0)), ("ef", W(3, HIDDEN, 3))], False, "none")}, "z"))(lambda s, d: _run(s, d, GNNModel((_sage_edge(),)), "g1e"))
+for _name in ("in_degree", "out_degree", "in_neighbors", "out_neighbors", "edge_source", "csc_colptr", "link_scores", "isolated_nodes", "undirected_mirror"):
+    query(f"{_name}_dense", catalog.oracle_sql()[_name].replace(G("g2"), G("g1")))(lambda s, d, f=catalog.ON_GRAPH[_name]: f(graph(s, d, "g1")))
+query("csc_round_trip_dense", catalog.oracle_sql()["csc_round_trip"].replace(G("g2"), G("g1")))(lambda s, d: Graph.from_csc_tables(*graph(s, d, "g1").to_csc_tables()).edges.select("edge_id", "src", "dst"))
+
+
 # --- layouts, strategies, compression
 
 _Q = "select id, k, round(x / (case when t > 0 then t / 127 else cast(1 as double) end)) * (case when t > 0 then t / 127 else cast(1 as double) end) as x from (select *, max(abs(x)) over (partition by id) as t from ({0}))"

@@ -66,12 +66,14 @@ def graph(spark: SparkSession, sf: str, name: str) -> Graph:
             items = items.where("l_linenumber = 1 AND l_quantity > 40")
             edges = items.select((F.col("l_orderkey") % n).alias("src"), F.floor(part * part / F.lit(n)).alias("dst"))
         return Graph.from_edges(edges.distinct(), nodes)
-    if name == "g2e":  # the sparse graph's line items with edge features, equal pairs and all
+    if name in ("g1e", "g2e"):  # the line items of g1 or g2 with edge features, equal pairs and all
         n = nodes.count()
-        items = _table(spark, sf, "lineitem").where("l_linenumber = 1 AND l_quantity > 40")
+        items = _table(spark, sf, "lineitem")
         part = F.col("l_partkey") % n
+        if name == "g2e":
+            items, part = items.where("l_linenumber = 1 AND l_quantity > 40"), F.floor(part * part / F.lit(n))
         feat = F.array(F.col("l_discount"), F.col("l_tax"), F.col("l_quantity") / 50)
-        return Graph.from_edges(items.select((F.col("l_orderkey") % n).alias("src"), F.floor(part * part / F.lit(n)).alias("dst"), feat.alias("efeat")), nodes)
+        return Graph.from_edges(items.select((F.col("l_orderkey") % n).alias("src"), part.alias("dst"), feat.alias("efeat")), nodes)
     if name == "g3":
         e = _table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).agg(F.sum("l_quantity").alias("weight"))
         shift = _table(spark, sf, "supplier").count()
@@ -102,6 +104,7 @@ def G(name: str) -> str:
     return {
         "g1": f"select distinct l_orderkey % {n} as src, l_partkey % {n} as dst from lineitem",
         "g2": f"select distinct l_orderkey % {n} as src, ((l_partkey % {n}) * (l_partkey % {n})) // {n} as dst from lineitem where l_linenumber = 1 and l_quantity > 40",
+        "g1e": f"select row_number() over () as e, l_orderkey % {n} as src, l_partkey % {n} as dst, l_discount as f0, l_tax as f1, l_quantity / 50 as f2 from lineitem",
         "g2e": f"select row_number() over () as e, l_orderkey % {n} as src, ((l_partkey % {n}) * (l_partkey % {n})) // {n} as dst, l_discount as f0, l_tax as f1, l_quantity / 50 as f2 from lineitem where l_linenumber = 1 and l_quantity > 40",
         "g3": "select l_suppkey as src, l_partkey + (select count(*) from supplier) as dst, sum(l_quantity) as weight from lineitem group by 1, 2",
         "g4": "select cast(s_nationkey as bigint) as src, cast(c_nationkey as bigint) as dst, cast(sum(cast(round(l_extendedprice * 100) as bigint) * cast(round((1 - l_discount) * 100) as bigint)) as double) / 10000 as weight from lineitem join supplier on s_suppkey = l_suppkey join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey group by 1, 2",
@@ -222,19 +225,37 @@ _registry["graph_stats"] = (
         for g in ("g1", "g2")
     ),
 )
+#: Queries of one graph, whichever it is.
+ON_GRAPH: dict[str, Callable[[Graph], DataFrame]] = {
+    "in_degree": lambda g: g.in_degrees(),
+    "out_degree": lambda g: g.out_degrees(),
+    "in_neighbors": lambda g: g.in_neighbours(),
+    "out_neighbors": lambda g: g.out_neighbours(),
+    "edge_source": lambda g: g.with_edge_ids().edges.select("edge_id", "src"),
+    "csc_colptr": lambda g: g.col_ptr(),
+    "link_scores": lambda g: T.link_scores(g.edges, g.nodes).select("src", "dst", rounded(F.col("score")).alias("v")),
+    "isolated_nodes": lambda g: g.nodes.select("id").join(g.edges, F.col("dst") == F.col("id"), "left_anti"),
+    "undirected_mirror": lambda g: Graph.undirected(g.edges, g.nodes).edges.select("src", "dst"),
+}
+
+
+def _on_sparse(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda s, d: ON_GRAPH[name](graph(s, d, "g2"))
+
+
 for _side, _col in (("in", "dst"), ("out", "src")):
-    add(f"{_side}_degree", lambda s, d, side=_side: getattr(graph(s, d, "g2"), f"{side}_degrees")(), f"with e as ({G('g2')}) select vec_id as id, cast(coalesce(n, 0) as bigint) as degree from embeddings left join (select {_col}, count(*) as n from e group by {_col}) on {_col} = vec_id")
-add("in_neighbors", lambda s, d: graph(s, d, "g2").in_neighbours(), f"with e as ({G('g2')}) select dst as id, row_number() over (order by dst, src) - 1 as edge_id, src as neighbour from e")
-add("out_neighbors", lambda s, d: graph(s, d, "g2").out_neighbours(), f"with e as ({G('g2')}) select src as id, row_number() over (order by dst, src) - 1 as edge_id, dst as neighbour from e")
+    add(f"{_side}_degree", _on_sparse(f"{_side}_degree"), f"with e as ({G('g2')}) select vec_id as id, cast(coalesce(n, 0) as bigint) as degree from embeddings left join (select {_col}, count(*) as n from e group by {_col}) on {_col} = vec_id")
+add("in_neighbors", _on_sparse("in_neighbors"), f"with e as ({G('g2')}) select dst as id, row_number() over (order by dst, src) - 1 as edge_id, src as neighbour from e")
+add("out_neighbors", _on_sparse("out_neighbors"), f"with e as ({G('g2')}) select src as id, row_number() over (order by dst, src) - 1 as edge_id, dst as neighbour from e")
 add("in_weights", lambda s, d: graph(s, d, "g4").in_weights(), f"with e as ({G('g4')}) select dst as id, row_number() over (order by dst, src) - 1 as edge_id, weight from e")
 add("edge_weights", lambda s, d: graph(s, d, "g3").weights(), f"with e as ({G('g3')}) select row_number() over (order by dst, src) - 1 as edge_id, weight from e")
 add("edge_weight_default", lambda s, d: graph(s, d, "g2").weights(), f"with e as ({G('g2')}) select row_number() over (order by dst, src) - 1 as edge_id, cast(1 as double) as weight from e")
-add("edge_source", lambda s, d: graph(s, d, "g2").with_edge_ids().edges.select("edge_id", "src"), f"with e as ({G('g2')}) select row_number() over (order by dst, src) - 1 as edge_id, src from e")
+add("edge_source", _on_sparse("edge_source"), f"with e as ({G('g2')}) select row_number() over (order by dst, src) - 1 as edge_id, src from e")
 for _loops in (False, True):
     add("inv_sqrt_degree" + "_selfloop" * _loops, lambda s, d, loops=_loops: graph(s, d, "g2").inv_sqrt_degrees(loops).select("id", rounded(F.col("inv_sqrt")).alias("v")), f"with nodes as ({NODES}), e as ({G('g2')}) select id, {V.format('f')} as v from ({inv(_loops)})")
 add(
     "csc_colptr",
-    lambda s, d: graph(s, d, "g2").col_ptr(),
+    _on_sparse("csc_colptr"),
     f"with e as ({G('g2')}), p as (select vec_id as v, (select count(*) from e where dst < vec_id) as c, vec_id - (select min(vec_id) from embeddings) as r from embeddings) select cast(r as bigint) as position, c as value from p union all select (select count(*) from embeddings), (select count(*) from e)",
 )
 add(
@@ -251,7 +272,7 @@ def _csc_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 add(
     "undirected_mirror",
-    lambda s, d: Graph.undirected((g := graph(s, d, "g2")).edges, g.nodes).edges.select("src", "dst"),
+    _on_sparse("undirected_mirror"),
     f"with e as ({G('g2')}) select src, dst from e union all select dst, src from e where src <> dst",
 )
 add(
@@ -338,11 +359,11 @@ def egat(heads: int, out: int = 4) -> EGATLayer:
     return EGATLayer(matrix(F_IN, out, 0), matrix(3, out, 3), matrix(3 * out // heads, heads, 7), heads)
 
 
-def egat_sql(heads: int, out: int = 4) -> str:
+def egat_sql(heads: int, out: int = 4, g: str = "g2e") -> str:
     d = out // heads
     ctes = {
         "nodes": NODES,
-        "e": G("g2e"),
+        "e": G(g),
         "x": X,
         "g": lin_sql([("x", W(F_IN, out, 0))], False, "none"),
         "ef": "select e, cast(0 as bigint) as k, f0 as x from e union all select e, 1, f1 from e union all select e, 2, f2 from e",
@@ -386,8 +407,8 @@ def _accuracy(s: SparkSession, d: str) -> DataFrame:
 
 
 add("logit_softmax", lambda s, d: long(T.probabilities(_logits(s, d))), sql({**_GCN2, "u": "select id, k, exp(x - max(x) over (partition by id)) as x from z", "s": "select id, k, x / sum(x) over (partition by id) as x from u"}, "s"))
-add("link_scores", lambda s, d: T.link_scores((g := graph(s, d, "g2")).edges, g.nodes).select("src", "dst", rounded(F.col("score")).alias("v")), f"with e as ({G('g2')}), x as ({X}) select src, dst, {V.format('sum(a.x * b.x)')} as v from e join x a on a.id = src join x b on b.id = dst and b.k = a.k group by src, dst")
-add("isolated_nodes", lambda s, d: (g := graph(s, d, "g2")).nodes.select("id").join(g.edges, F.col("dst") == F.col("id"), "left_anti"), f"select vec_id as id from embeddings where vec_id not in (select dst from ({G('g2')}))")
+add("link_scores", _on_sparse("link_scores"), f"with e as ({G('g2')}), x as ({X}) select src, dst, {V.format('sum(a.x * b.x)')} as v from e join x a on a.id = src join x b on b.id = dst and b.k = a.k group by src, dst")
+add("isolated_nodes", _on_sparse("isolated_nodes"), f"select vec_id as id from embeddings where vec_id not in (select dst from ({G('g2')}))")
 add(
     "gather",
     lambda s, d: gather(g := graph(s, d, "g2"), g.nodes).select("src", "dst", F.posexplode("h").alias("k", "v")).select("src", "dst", F.col("k").cast("long").alias("k"), rounded(F.col("v")).alias("v")),
