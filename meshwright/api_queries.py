@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from meshwright import catalog
 from meshwright.catalog import CLASSES, F_IN, HIDDEN, MEAN, NODES, RELU, SUM, V, W, X, G, _GCN2, _SAGE2, agg_sql, base, bias, egat, egat_sql, features, gcn_layers, graph, lin_sql, long, matrix, rounded, sage_layers, sql
 from meshwright.functions.arrays import dequantise, from_long, from_wide, quantise, to_long, to_wide
-from meshwright.functions.storage import scratch
+from meshwright.functions.storage import cut, scratch
 from meshwright.graph import Graph, GraphBase, InNeighbourGraph
 from meshwright.layers import Activation, Aggregation, EGATLayer, GCNLayer, GNNBuilder, GNNModel, GraphSAGELayer, SupportsLayers
 from meshwright.matrix import DenseMatrix
@@ -303,7 +303,7 @@ def kept_graph(s: SparkSession, d: str) -> DataFrame:
     """Held in memory for as long as its degrees and its sums are computed."""
     with graph(s, d, "g2").kept() as g:
         assert g.in_degrees().agg(F.sum("degree")).first()[0] == g.num_edges()
-        return long(aggregate(g, g.nodes, SUM, F_IN), "m").checkpoint()
+        return cut(long(aggregate(g, g.nodes, SUM, F_IN), "m"))
 
 
 # --- files

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         if known.isDefined():
             return known.get()
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         named = f"file://{tempfile.mkdtemp(prefix='shared-')}"
         _delete_at_exit(spark, named)

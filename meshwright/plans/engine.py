@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshwright.functions.arrays import activate, zeros
+from meshwright.functions.storage import cut
 from meshwright.graph import Graph
 from meshwright.layers import KNOWN_LAYERS, Aggregation, EGATLayer, GNNModel, Layer
 from meshwright.operators.aggregate import aggregate, reduce_by_key
@@ -26,8 +27,7 @@ class SparkEngine:
     """`strategy`: edge, vertex, feature, or auto (edge; Spark broadcasts what it knows to be small).
 
     `order`: auto, transform_first or aggregate_first. `checkpoint_every`: cut the
-    lineage after so many layers by checkpoint() into the session's checkpoint
-    folder (0: never). `validate`: look at the features' size before running.
+    lineage after so many layers by checkpoint() into the shared folder (0: never). `validate`: look at the features' size before running.
     `compress`: features meet edges as 8-bit numbers, within half a 127th of each
     node's greatest (attention layers excepted).
     """
@@ -61,7 +61,7 @@ class SparkEngine:
         for i, layer in enumerate(self.model.layers):
             state = self.step(graph, state, layer, norms)
             if self.checkpoint_every and (i + 1) % self.checkpoint_every == 0 and i + 1 < len(self.model):
-                state = state.checkpoint(eager=True)
+                state = cut(state)
         return state
 
     def transforms_first(self, layer: Layer) -> bool:
