@@ -15,17 +15,17 @@ pre-token whose pieces are stored is not walked again. A pre-token of more than
 MOST_CHARS characters is not put in the trie but gets arrays of its own.
 
 The vocabulary is a public one of 32,000 pieces, read as it is; no piece is added
-or taken away. The pieces' log-probabilities are fitted to the corpus: they start
-from the ranks of the file (Zipf's law, -log(r + 1) up to a constant), and ROUNDS
-times all documents are segmented by them, the pieces counted (a row for each
-piece and task, summed in Spark) and the scores set to the pieces' smoothed shares,
-which is expectation-maximisation with likeliest segmentations. Characters that no
-piece covers cost one token for each UTF-8 byte, and all bytes share one count.
-Ties go to the longer last piece.
+or taken away. The pieces' log-probabilities are fitted to the corpus: all
+documents are segmented as the public model itself does it, the pieces counted (a
+row for each piece and task, summed in Spark) and the scores set to the pieces'
+smoothed shares; ROUNDS times more the same is done with the likeliest
+segmentations by the scores so far, which is expectation-maximisation. Characters
+that no piece covers cost one token for each UTF-8 byte, and all bytes share one
+count. Ties go to the longer last piece.
 
 Defined results: a null or empty text has 0 pre-tokens, 0 tokens and score 0.0;
 rows with equal or null doc_id are counted each on its own; other columns are
-ignored; an empty table gives an empty result, and scores as the ranks say.
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ MARK = "▁"
 MOST_NODES = 500_000
 MOST_TERMINALS = 3_000_000
 MOST_CHARS = 256
-ROUNDS = 1
+ROUNDS = 0
 #: Added to each piece's count.
 SMOOTHING = 0.1
 COLUMNS = "n_words long, n_tokens long, score double"
@@ -58,6 +58,7 @@ class Vocabulary:
     def __init__(self, pieces: list[str], scores: list[float], byte: float):
         self.ids = {x: i for i, x in enumerate(pieces)}
         self.pieces, self.scores, self.byte = pieces, [*scores, byte], len(pieces)
+        self.table = np.array(self.scores)
         #: The number of each piece, and -1 for what only longer pieces end in.
         self.endings: dict[str, int] = {}
         for x in pieces:
@@ -65,18 +66,6 @@ class Vocabulary:
                 self.endings.setdefault(x[i:], -1)
         self.endings |= self.ids
 
-    @classmethod
-    def load(cls, name: str) -> Vocabulary:
-        """With the scores of Zipf's law by rank."""
-        import sentencepiece
-
-        model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name))
-        n = model.get_piece_size()
-        total = math.log(sum(1 / (i + 1) for i in range(n)))
-        logp = [-math.log(i + 1) - total for i in range(n)]
-        plain = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-        return cls([model.id_to_piece(i) for i in plain], [logp[i] for i in plain], min((logp[i] for i in range(n) if model.is_byte(i)), default=logp[-1]))
-
     def refit(self, counts: dict[int, int]) -> Vocabulary:
         """The same pieces with the scores of their counts; the bytes' count is that of 256 pieces."""
         n = [counts.get(i, 0) + SMOOTHING for i in range(self.byte)]
@@ -118,6 +107,29 @@ class Vocabulary:
         return out
 
 
+class Given:
+    """The public model's own segmentation of pre-tokens, remembered by hash."""
+
+    def __init__(self, name: str):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name))
+        n = self.model.get_piece_size()
+        plain = [i for i in range(n) if not (self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_byte(i) or self.model.is_unused(i))]
+        self.vocabulary = Vocabulary([self.model.id_to_piece(i) for i in plain], [-math.log(len(plain) + 256)] * len(plain), -math.log(len(plain) + 256))
+        #: The model's number of a piece to ours; all others are bytes.
+        self.number = np.full(n, self.vocabulary.byte, np.int64)
+        self.number[plain] = np.arange(len(plain))
+        self.known = W.Known(MOST_TERMINALS)
+
+    def slots_of(self, hashes: np.ndarray, text_of) -> np.ndarray:
+        def lists_of(new: np.ndarray) -> tuple[np.ndarray, list[int]]:
+            found = self.model.encode([x[len(MARK) :] for x in text_of(new)], num_threads=1)
+            return self.number[[k for x in found for k in x]], [len(x) for x in found]
+
+        return self.known.slots_of(hashes, lists_of)
+
+
 class Trie:
     """Nodes by number: best score of the prefix that ends there, the node where its last piece begins, and that piece."""
 
@@ -183,58 +195,64 @@ class Trie:
         return self.known.slots_of(hashes, lists_of)
 
 
-def look_up(data: np.ndarray, bounds: np.ndarray, own: Trie) -> tuple[W.Words, np.ndarray]:
-    """The pre-tokens of a batch and the slot of each one's pieces."""
+def look_up(data: np.ndarray, bounds: np.ndarray, own: Trie | Given) -> tuple[W.Words, np.ndarray, np.ndarray]:
+    """The pre-tokens of a batch, the slots of the distinct ones' pieces, and which of these each one is."""
     found = W.find_words(data, bounds, lower=False)
     if not len(found.hashes):
-        return found, np.zeros(0, np.int64)
+        return found, np.zeros(0, np.int64), np.zeros(0, np.int64)
     distinct, first, index = np.unique(found.hashes, return_index=True, return_inverse=True)
     raw = data.tobytes()
 
     def text_of(new: np.ndarray) -> list[str]:
         return [MARK + raw[s:e].decode("utf-8", "replace") for s, e in zip(found.starts[first[new]].tolist(), found.ends[first[new]].tolist(), strict=True)]
 
-    return found, own.slots_of(distinct, text_of)[index]
+    return found, own.slots_of(distinct, text_of), index
+
+
+def pieces_of(slots: np.ndarray, own: Trie | Given) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of some slots, one list after the other, and the lists' sizes."""
+    start, size = own.known.at[slots], own.known.at[slots + 1] - own.known.at[slots]
+    return own.known.flat[np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)], size
 
 
 def count_rows(data: np.ndarray, bounds: np.ndarray, own: Trie) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pre-tokens, tokens and scores of each row of a batch."""
     n = len(bounds) - 1
-    found, slots = look_up(data, bounds, own)
+    found, slots, index = look_up(data, bounds, own)
     if not len(slots):
         return np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
-    used, index = np.unique(slots, return_inverse=True)
-    start, size = own.known.at[used], own.known.at[used + 1] - own.known.at[used]
-    scores = np.array(own.vocabulary.scores)[own.known.flat[np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)]]
+    pieces, size = pieces_of(slots, own)
+    scores = own.vocabulary.table[pieces]
     best = np.add.reduceat(scores, np.cumsum(size) - size)
     return np.diff(found.first), np.bincount(found.rows, size[index], n).astype(np.int64), np.bincount(found.rows, best[index], n)
 
 
-_tries: dict[str, Trie] = {}
+_made: dict[str, Trie | Given] = {}
+
 
+def made(key: str, make) -> Trie | Given:
+    """What the worker remembers for one model; what it has of other models is given up."""
+    if key not in _made:
+        _made.clear()
+        _made[key] = make()
+    return _made[key]
 
-def trie(key: str, vocabulary: Vocabulary) -> Trie:
-    """The worker's trie of one model; those of other models are given up."""
-    if key not in _tries:
-        _tries.clear()
-        _tries[key] = Trie(vocabulary)
-    return _tries[key]
 
+def piece_counts(docs: DataFrame, segment, pieces: int) -> dict[int, int]:
+    """How often each piece occurs in the segmentations of all texts; the driver gets a row for each piece.
 
-def piece_counts(docs: DataFrame, vocabulary: Vocabulary, key: str) -> dict[int, int]:
-    """How often each piece occurs in the likeliest segmentations of all texts; the driver gets a row for each piece."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    `segment` makes what segments, on a worker.
+    """
+    key = uuid.uuid4().hex
 
     def run(batches):
-        own, total = trie(key, sent.value), np.zeros(sent.value.byte + 1, np.int64)
+        own, total = made(key, segment), np.zeros(pieces + 1, np.int64)
         for b in batches:
             data, bounds = W.text_bytes(b.column(0))
             for i, j in W.slices(bounds):
-                _, slots = look_up(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], own)
-                used, times = np.unique(slots, return_counts=True)
-                start, size = own.known.at[used], own.known.at[used + 1] - own.known.at[used]
-                pieces = own.known.flat[np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)]
-                total += np.bincount(pieces, np.repeat(times, size), len(total)).astype(np.int64)
+                _, slots, index = look_up(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], own)
+                found, size = pieces_of(slots, own)
+                total += np.bincount(found, np.repeat(np.bincount(index, minlength=len(slots)), size), len(total)).astype(np.int64)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["piece", "n"])
 
@@ -244,12 +262,11 @@ def piece_counts(docs: DataFrame, vocabulary: Vocabulary, key: str) -> dict[int,
 
 def fit(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", rounds: int = ROUNDS) -> Vocabulary:
     """The vocabulary's pieces with scores fitted to `docs`."""
-    model = Vocabulary.load(vocabulary)
+    model = Given(vocabulary).vocabulary
+    model = model.refit(piece_counts(docs, lambda: Given(vocabulary), model.byte))
     for _ in range(rounds):
-        counts = piece_counts(docs, model, uuid.uuid4().hex)
-        if not counts:
-            break
-        model = model.refit(counts)
+        sent = docs.sparkSession.sparkContext.broadcast(model)
+        model = model.refit(piece_counts(docs, lambda sent=sent: Trie(sent.value), model.byte))
     return model
 
 
@@ -258,7 +275,7 @@ def count(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", rounds: int
     sent, key = docs.sparkSession.sparkContext.broadcast(fit(docs, vocabulary, rounds)), uuid.uuid4().hex
 
     def run(batches):
-        own = trie(key, sent.value)
+        own = made(key, lambda: Trie(sent.value))
         for b in batches:
             data, bounds = W.text_bytes(b.column(1))
             for i, j in W.slices(bounds):

@@ -24,7 +24,7 @@ from meshwright.llm import words as W
 
 END = 1
 #: Pieces that a worker remembers; when there are more it starts afresh.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_000_000
 
 LETTER, DIGIT, MARK, ODD = 1, 2, 3, 4
 CLASS = np.full(256, ODD, np.uint8)
@@ -96,13 +96,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            said = json.load(f)
+        own = self.whole
+        said = [None if x is None else json.loads(x.__getstate__()) for x in (own.normalizer, own.pre_tokenizer, own.post_processor)]
         #: Whether texts may be cut here; special tokens must begin as `find_pieces` takes them to.
-        self.by_pieces = said["normalizer"] == NORMALIZER and said["pre_tokenizer"] == PRE_TOKENIZER and said["post_processor"] is None and all(x["content"].startswith("<|") for x in said["added_tokens"])
+        self.by_pieces = said == [NORMALIZER, PRE_TOKENIZER, None] and all(x.content.startswith("<|") for x in own.get_added_tokens_decoder().values())
         self.model = self.whole.model
         self.symbols = byte_symbols()
         self.known = W.Known(remembered)
+        W.tidy()
 
     def _ids(self, piece: bytes, odd: bool) -> list[int]:
         if odd:

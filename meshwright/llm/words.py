@@ -141,25 +141,55 @@ class Known:
         self.forget()
 
     def forget(self) -> None:
-        self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.flat, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        #: Ascending hashes with their slots: nearly all of them, and those that came since.
+        self.levels = [none, none]
+        self._flat, self._at, self.n = np.zeros(1 << 10, np.uint32), np.zeros(1 << 8, np.int64), 0
 
-    def slots_of(self, hashes: np.ndarray, lists_of: Callable[[np.ndarray], tuple[list[int], list[int]]]) -> np.ndarray:
+    @property
+    def at(self) -> np.ndarray:
+        """Where each slot's list begins, and where the last one ends."""
+        return self._at[: self.n + 1]
+
+    @property
+    def flat(self) -> np.ndarray:
+        return self._flat[: self._at[self.n]]
+
+    def _append(self, numbers: list[int] | np.ndarray, sizes: list[int]) -> np.ndarray:
+        """The slots of some new lists."""
+        n, end = self.n + len(sizes), int(self._at[self.n])
+        while n + 1 > len(self._at):
+            self._at = np.concatenate([self._at, np.zeros_like(self._at)])
+        while end + len(numbers) > len(self._flat):
+            self._flat = np.concatenate([self._flat, np.zeros_like(self._flat)])
+        self._flat[end : end + len(numbers)] = numbers
+        self._at[self.n + 1 : n + 1] = end + np.cumsum(sizes, dtype=np.int64)
+        slots, self.n = np.arange(self.n, n), n
+        return slots
+
+    def slots_of(self, hashes: np.ndarray, lists_of: Callable[[np.ndarray], tuple[list[int] | np.ndarray, list[int]]]) -> np.ndarray:
         """The slots of ascending distinct hashes; `lists_of` gives the numbers, one list after the other, and the lists' sizes at some positions."""
-        place = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
-        new = np.flatnonzero(self.hashes[place] != hashes) if len(self.hashes) else np.arange(len(hashes))
+        out = np.full(len(hashes), -1, np.int64)
+        for known, slots in self.levels:
+            if len(known):
+                place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                hit = known[place] == hashes
+                out[hit] = slots[place[hit]]
+        new = np.flatnonzero(out < 0)
         if len(new):
-            if len(self.hashes) + len(new) > self.most:
+            if self.n + len(new) > self.most:
                 self.forget()
                 new = np.arange(len(hashes))
-            numbers, sizes = lists_of(new)
-            slots = np.arange(len(self.at) - 1, len(self.at) - 1 + len(new))
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes, dtype=np.int64)])
-            self.flat = np.concatenate([self.flat, np.array(numbers, np.uint32)])
-            at = np.searchsorted(self.hashes, hashes[new])
-            self.hashes, self.slots = np.insert(self.hashes, at, hashes[new]), np.insert(self.slots, at, slots)
-            place = np.searchsorted(self.hashes, hashes)
-        return self.slots[place]
+            out[new] = self._append(*lists_of(new))
+            self.levels[1] = _merged(self.levels[1], hashes[new], out[new])
+            if len(self.levels[1][0]) > max(1 << 16, len(self.levels[0][0]) // 8):
+                self.levels = [_merged(self.levels[0], *self.levels[1]), (np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        return out
+
+
+def _merged(level: tuple[np.ndarray, np.ndarray], hashes: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.searchsorted(level[0], hashes)
+    return np.insert(level[0], at, hashes), np.insert(level[1], at, slots)
 
 
 def tidy() -> None:
