@@ -8,6 +8,8 @@ in-degree is reduced by partial sums before the shuffle, never collected.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,10 +43,14 @@ def _reduce(kind: Aggregation, x: Column) -> Column:
     return F.sum(x)
 
 
-def reduce_by_key(messages: DataFrame, key: str, dim: int, kind: Aggregation) -> DataFrame:
-    """`key` and m: the messages' h arrays of each key reduced feature by feature."""
+def _feature(k: int) -> Column:
+    return F.col("h")[k]
+
+
+def reduce_by_key(messages: DataFrame, key: str, dim: int, kind: Aggregation, feature: Callable[[int], Column] = _feature) -> DataFrame:
+    """`key` and m: the messages' h arrays of each key reduced feature by feature; up to BLOCK features may be other expressions."""
     if dim <= BLOCK:
-        sums = messages.groupBy(key).agg(*(_reduce(kind, F.col("h")[k]).alias(f"s{k}") for k in range(dim)))
+        sums = messages.groupBy(key).agg(*(_reduce(kind, feature(k)).alias(f"s{k}") for k in range(dim)))
         return sums.select(key, F.array(*(f"s{k}" for k in range(dim))).alias("m") if dim else zeros(0).alias("m"))
     blocks = -(-dim // BLOCK)
     parts = messages.select(key, F.posexplode(F.array(*(F.slice("h", b * BLOCK + 1, BLOCK) for b in range(blocks)))).alias("b", "h"))
@@ -95,17 +101,21 @@ def aggregate(
     small = False
     if strategy == "vertex":
         edges = edges.repartition("dst")
-        small = features.count() * dim * 8 <= BROADCAST_BYTES
+        # A row for every node, so the features needn't be computed to be counted.
+        small = graph.num_nodes() * dim * 8 <= BROADCAST_BYTES
     side = side.withColumnRenamed("id", "src")
     if compress:
         side = side.select("src", quantise(F.col("h")).alias("q"))
     messages = edges.join(F.broadcast(side) if small else side, "src")
-    if compress:
-        messages = messages.withColumn("h", dequantise(F.col("q"))).drop("q")
-    if use_edge_weights and graph.has_edge_weights:
-        messages = messages.withColumn("h", F.transform("h", lambda x: x * F.coalesce(F.col("weight").cast("double"), F.lit(1.0))))
-    messages = messages.select("dst", "h")
-    found = reduce_by_feature(messages, "dst", kind) if strategy == "feature" else reduce_by_key(messages, "dst", dim, kind)
+    weight = F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if use_edge_weights and graph.has_edge_weights else None
+    if strategy != "feature" and dim <= BLOCK:
+        # Scales and weights go into the sums' terms, in generated code.
+        of = (lambda k: F.col("q.q")[k].cast("double") * F.col("q.scale")) if compress else _feature
+        found = reduce_by_key(messages, "dst", dim, kind, of if weight is None else lambda k: of(k) * weight)
+    else:
+        h = dequantise(F.col("q")) if compress else F.col("h")
+        messages = messages.select("dst", (h if weight is None else F.transform(h, lambda x: x * weight)).alias("h"))
+        found = reduce_by_feature(messages, "dst", kind) if strategy == "feature" else reduce_by_key(messages, "dst", dim, kind)
     found = found.withColumnRenamed("dst", "id")
     out = graph.nodes.select("id").join(found, "id", "left")
     if kind is Aggregation.GCN_NORM:
