@@ -14,7 +14,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     Large-star and small-star steps in turn: each node hooks its greater
     neighbours, then all of its smaller ones, to the least it knows. The links
     of a round are written to the shared folder; rounds grow with the logarithm
-    of the longest chain. Loops are ignored; an empty table gives an empty one.
+    of the longest chain. A node's least neighbours are written too, so that Spark
+    can split the links of a node with very many of them. Loops are ignored; an
+    empty table gives an empty one.
     """
     ordered = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
     now = cut(ordered)
@@ -22,9 +24,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not mark[0]:
             break
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # The greater neighbours of a node without smaller ones stay where they are.
+        least = cut(now.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m")))
+        large = now.join(least, "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(small, "a")
         now = cut(joined.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a > b").distinct())
