@@ -138,7 +138,8 @@ def _features() -> str:
 def with_candidates(docs: DataFrame) -> DataFrame:
     """`docs` and an array column `cands`: kind, s, e (code points, end exclusive), base and votes of each candidate.
 
-    Card-like runs of fewer than 14 or more than 19 digits are no candidates.
+    Card-like runs of fewer than 14 or more than 19 digits are no candidates. No
+    other column of `docs` may bear the name of one made here (`redact` sees to that).
     """
     own = docs.columns
     df = docs.withColumn("t", F.coalesce(F.col("text"), F.lit("")))
@@ -260,7 +261,9 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Candidates are looked for once: rows and candidates are written to the shared folder.
     """
-    found = written(with_candidates(docs), "pii")
+    # The caller's columns travel by number, so that none can meet a column made on the way.
+    numbered = docs.toDF(*("text" if c.lower() == "text" else f"own{i}" for i, c in enumerate(docs.columns)))
+    found = written(with_candidates(numbered), "pii")
     df = with_spans(found, fit(found))
     names = ", ".join(f"'<{k.upper()}>'" for k in KINDS)
     # Chunk by chunk, so that a long text with many spans isn't walked from its start for each of them.
@@ -270,4 +273,4 @@ def redact(docs: DataFrame) -> DataFrame:
     masked = f"""array_join(transform(transform(regexp_extract_all(text, '(?s).{{1,{CHUNK}}}', 0), (t, i) -> named_struct('t', t, 'at', i * {CHUNK})), c ->
         transform(array(aggregate({inside}, named_struct('at', greatest(c.at, coalesce(array_max(transform(filter(spans, x -> x.s < c.at), x -> x.e)), 0)), 'out', CAST(array() AS array<string>)), (a, x) -> {step})),
         z -> concat(array_join(z.out, ''), CASE WHEN z.at < c.at + {CHUNK} THEN substring(c.t, z.at - c.at + 1) ELSE '' END))[0]), '')"""
-    return df.withColumn("text", F.when(F.size("spans") > 0, F.expr(masked)).otherwise(F.col("text"))).select(*docs.columns)
+    return df.withColumn("text", F.when(F.size("spans") > 0, F.expr(masked)).otherwise(F.col("text"))).select(*numbered.columns).toDF(*docs.columns)

@@ -180,6 +180,17 @@ def test_redaction_and_odd_rows(docs, odd):
     assert personal_data.find(docs([])).count() == 0
 
 
+def test_redaction_leaves_clashing_columns_alone(spark):
+    made = [n for name, *_ in personal_data.PATTERNS for n in (name, f"{name}_v", f"{name}_p")]
+    names = ["t", "raw", "cands", "base", "added", "spans", "own1", "a.b", *made]
+    rows = [(1, "mail jo@x.org or +1 212 555 0199", *names), (2, None, *[None] * len(names))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    out = personal_data.redact(df)
+    assert out.schema == df.schema
+    got = {r[0]: tuple(r) for r in out.collect()}
+    assert got == {1: (1, "mail <EMAIL> or <PHONE>", *names), 2: rows[1]}
+
+
 def test_redaction_of_long_texts_and_overlaps(docs, monkeypatch):
     rng = random.Random(23)
     texts = ["".join(rng.choice(["a@b.cd", " 1.2.3.4", "+1 (212) 555-0199", "x", "é👍 ", ". ", "4111 1111 1111 1111"]) for _ in range(rng.randint(0, 40))) for _ in range(60)] + ["jo@x.org " * 3000]
