@@ -293,8 +293,10 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The columns of `groups`, with h, the text's hash, and root, the component's number (null for rows without a set)."""
-    # Texts are found again by this key; where ids are null it comes from the text.
-    docs = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("place"), F.xxhash64("text").alias("h"))
+    # Texts are found again by this key; where ids are null it comes from the text, where they aren't whole numbers from a hash.
+    whole = dict(docs.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint")
+    number = F.col("doc_id").cast("long") if whole else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
+    docs = docs.select("doc_id", "text", F.coalesce(number, F.xxhash64("text")).alias("place"), F.xxhash64("text").alias("h"))
     bits = [f"s{i}" for i in range(BITS // 64)]
     rows = cut(signatures(docs, size))
     classes = rows.where("n_shingles > 0").groupBy("d0", "d1").agg(F.min("place").alias("place"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))

@@ -116,6 +116,13 @@ def test_keep_one_of_rows_without_ids(docs):
     assert sorted(got, key=repr) == sorted([(1, a), (None, b), (None, c), (None, ""), (None, "")], key=repr)
 
 
+def test_groups_and_keep_one_of_text_ids(docs):
+    rows = [("b7", "one two three four five six seven"), ("a", "one two three four five six seven"), ("x-1", "quite another text of seven words here"), (None, "one two three four five six seven")]
+    got = {r.doc_id: (r.component_id, r.kept) for r in near_duplicates.groups(docs(rows, "string"), size=2).collect()}
+    assert got == {"b7": ("a", False), "a": ("a", True), "x-1": ("x-1", True), None: ("a", False)}
+    assert {r.doc_id for r in near_duplicates.keep_one(docs(rows, "string"), size=2).collect()} == {"a", "x-1"}
+
+
 def test_intersections():
     rng = np.random.default_rng(1)
     a = [np.unique(rng.integers(0, 50, 20)) for _ in range(7)]
