@@ -78,3 +78,14 @@ select m.conv_id, m.turn, m.role, r.reply_to, coalesce(t.depth, 0) as depth, coa
 from m left join bodies b on b.rid = m.rid left join counts c on c.rid = m.rid
 left join replies r on r.conv_id = m.conv_id and r.turn = m.turn left join tops t on t.conv_id = m.conv_id and t.turn = m.turn
 """
+
+#: Archives: digests in base32, the largest page_id of each payload.
+OP13 = """
+with d as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as x from pages),
+m as (select x, max(page_id) as original from d group by x),
+j as (select d.*, case when page_id is null or page_id < original then original end as refers_to from d join m on m.x = d.x)
+select page_id, payload_bytes,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((cast('0x' || substr(x, 1 + 5 * (i // 4), 5) as int) >> cast(15 - 5 * (i % 4) as int)) & 31), 1)), '') as payload_digest,
+    case when refers_to is null then 'response' else 'revisit' end as record_type, refers_to
+from j
+"""
