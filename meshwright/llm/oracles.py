@@ -89,3 +89,28 @@ select page_id, payload_bytes,
     case when refers_to is null then 'response' else 'revisit' end as record_type, refers_to
 from j
 """
+
+#: Source divergence: all pairs of a language's groups over all its kept terms.
+OP11 = rf"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') as t from documents),
+w as (select r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+kept as (select lang, term, count(*) as n_lang from w group by 1, 2 having count(distinct r) >= 30),
+langs as (select lang, count(*) as v, cast(sum(n_lang) as bigint) as n_kept from kept group by 1),
+groups as (select distinct lang, source from d),
+n as (select lang, source, term, count(*) as n from w join kept using (lang, term) group by all),
+totals as (select g.lang, g.source, cast(coalesce(sum(n.n), 0) as bigint) + 5 * coalesce(any_value(l.v), 0) as total from groups g left join n using (lang, source) left join langs l on l.lang = g.lang group by 1, 2),
+p as (
+    select lang, source, term, coalesce(n.n, 0) as n, 1 + cast((cast(1000000000 as hugeint) * (coalesce(n.n, 0) + 5)) // total as bigint) as p,
+        1 + cast((cast(1000000000 as hugeint) * (n_lang + 5)) // (n_kept + 5 * v) as bigint) as q
+    from totals join kept using (lang) join langs using (lang) left join n using (lang, source, term)
+),
+sums as (select a.lang, a.source, b.source as item, cast(sum(abs(a.p - b.p)) as bigint) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+pairs as (select a.lang, a.source, b.source as item, coalesce(s.value, 0) as value from groups a join groups b on a.lang = b.lang and a.source <> b.source left join sums s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+parts as (
+    select lang, source, 'pair' as part, item, value from pairs
+    union all
+    select lang, source, 'term' as part, term as item, p - q as value from p where n > 0 and p > q
+),
+ranked as (select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as int) as rank from parts)
+select * from ranked where part = 'pair' or rank <= 50
+"""
