@@ -114,3 +114,36 @@ parts as (
 ranked as (select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as int) as rank from parts)
 select * from ranked where part = 'pair' or rank <= 50
 """
+
+#: Spelling variants: CRC-32 byte by byte, then all pairs of near words by wildcards and deletions.
+OP12 = rf"""
+with recursive steps as (select i, i as c, 0 as k from range(256) t(i) union all select i, case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end, k + 1 from steps where k < 8),
+crc as (select i, c from steps where k = 8),
+runs as (select coalesce(cast(doc_id as varchar), '') as d, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[A-Za-zÀ-ÿ]+')) as run from documents),
+pairs as (select d, run, count(*) as n from runs where length(run) >= 6 group by 1, 2),
+numbered as (select row_number() over () as r, run, n, hex(encode(d || ':' || run)) as x from pairs),
+bytes as (
+    select r, x, 0 as k, 4294967295 as h from numbered
+    union all
+    select r, x, k + 1, xor(c, h >> 8) from bytes join crc on i = xor(h, cast('0x' || substr(x, 2 * k + 1, 2) as bigint)) & 255 where 2 * k < length(x)
+),
+hashed as (select r, xor(h, 4294967295) as h from bytes where 2 * k = length(x)),
+words as (
+    select case when h % 199 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, cast(sum(n) as bigint) as n
+    from numbered join hashed using (r) group by 1
+    having length(word) >= 6 and sum(n) >= 5
+),
+places as (select word, n, unnest(range(1, length(word) + 1)) as i from words),
+wild as (select word, n, substr(word, 1, i - 1) || '*' || substr(word, i + 1) as k from places),
+fewer as (select distinct word, n, substr(word, 1, i - 1) || substr(word, i + 1) as k from places),
+links as (
+    select a.word, b.word as other, b.n as m from wild a join wild b on a.k = b.k and a.word <> b.word
+    union all select f.word, w.word, w.n from fewer f join words w on w.word = f.k
+    union all select w.word, f.word, f.n from fewer f join words w on w.word = f.k
+),
+best as (select word, count(*) as n_near, arg_min(other, (-m, other)) as other, max(m) as m from links group by 1),
+forms as (select w.word, w.n, coalesce(b.n_near, 0) as n_near, case when m >= 5 * n then other end as form, case when m >= 5 * n then m end as form_n from words w left join best b on b.word = w.word),
+up as (select word, form as root, 1 as k from forms where form is not null union all select u.word, f.form, k + 1 from up u join forms f on f.word = u.root where f.form is not null),
+tops as (select word, arg_max(root, k) as root from up group by 1)
+select f.word, form, coalesce(t.root, f.word) as root, n, n_near, form_n from forms f left join tops t on t.word = f.word
+"""

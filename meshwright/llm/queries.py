@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshwright.llm import decontamination, divergence, near_duplicates, oracles, packing, personal_data, quality_model, quality_rules, quotation, records, site_templates, token_counts, warc
+from meshwright.llm import decontamination, divergence, near_duplicates, oracles, packing, personal_data, quality_model, quality_rules, quotation, records, site_templates, spelling, token_counts, warc
 from meshwright.llm.shared import read_table
 
 
@@ -56,6 +56,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read_table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(read_table(spark, sf_dir, "documents"))
+
+
 def op13_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages"))
 
@@ -72,6 +76,7 @@ OPERATORS = (
     op9_compression_bands,
     op10_trie_token_counts,
     op11_source_divergence,
+    op12_spelling_groups,
     op13_warc_transactions,
 )
 
@@ -86,5 +91,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_odd_sketch_near_duplicates": oracles.OP2,
         "op3_quotation_linking": f"select * replace (coalesce(reply_to, -1) as reply_to) from ({oracles.OP3})",
         "op11_source_divergence": oracles.OP11,
+        "op12_spelling_groups": oracles.OP12,
         "op13_warc_transactions": oracles.OP13,
     }
