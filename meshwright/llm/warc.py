@@ -117,26 +117,37 @@ def transaction(page_id: int | None, url: str, html: bytes, digest: str, origina
     return [request, reply, record(head("metadata", "application/warc-fields", ("WARC-Concurrent-To", main)), said)]
 
 
-def _originals(keyed: DataFrame, least_bytes: int) -> DataFrame:
+def _originals(narrow: DataFrame) -> DataFrame:
     """digest, original and hot of each payload that several pages have: the page_id of its response, and whether one in HOT of such pages has it."""
-    narrow = keyed.where(F.octet_length("html") >= least_bytes).select("page_id", "digest")
     found = cut(narrow.groupBy("digest").agg(F.max("page_id").alias("original"), F.count("*").alias("pages")).where("pages > 1 AND original IS NOT NULL"))
     total = found.agg(F.sum("pages")).first()[0] or 0
     return found.select("digest", "original", (F.col("pages") * HOT > total).alias("hot"))
 
 
-def with_original(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """page_id, url, html, digest (hexadecimal) and original of `pages` (page_id, url, html): the page_id of the response that a page revisits, null where it is a response itself."""
-    keyed = pages.select("page_id", "url", "html", F.sha1("html").alias("digest"))
-    originals = _originals(keyed, least_bytes)
+def _revisits(narrow: DataFrame) -> DataFrame:
+    """key, digest and original of the pages (key, page_id, digest) that revisit another."""
+    originals = _originals(narrow)
     # Fewer than HOT payloads are hot; they are sent to all tasks, so no task gets all pages of one.
     hot = originals.where("hot").select("digest", F.col("original").alias("hot_original"))
-    rest = originals.where("NOT hot").select(F.col("digest").alias("key"), F.col("original").alias("cold_original"))
-    known = keyed.join(F.broadcast(hot), "digest", "left")
-    key = F.when(F.col("hot_original").isNull(), F.col("digest")).otherwise(F.concat_ws(" ", "page_id", "url"))
-    known = known.withColumn("key", key).join(rest, "key", "left")
-    original = F.coalesce("hot_original", "cold_original")
-    return known.select("page_id", "url", "html", "digest", F.when(F.col("page_id").isNull() | (F.col("page_id") < original), original).alias("original"))
+    rest = originals.where("NOT hot").select(F.col("digest").alias("payload"), F.col("original").alias("cold_original"))
+    known = narrow.join(F.broadcast(hot), "digest", "left")
+    payload = F.when(F.col("hot_original").isNull(), F.col("digest")).otherwise(F.col("key").cast("string"))
+    known = known.withColumn("payload", payload).join(rest, "payload", "left").withColumn("original", F.coalesce("hot_original", "cold_original"))
+    return known.where("original IS NOT NULL AND (page_id IS NULL OR page_id < original)").select("key", "digest", "original")
+
+
+def with_original(pages: DataFrame, files: int, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """page_id, url, html, digest (hexadecimal) and original of `pages` (page_id, url, html), dealt to `files` partitions: the page_id of the response that a page revisits, null where it is a response itself.
+
+    Rows of one id and payload meet in a partition. Payloads travel once.
+    """
+    keyed = pages.select("page_id", "url", "html", F.sha1("html").alias("digest")).withColumn("key", F.coalesce("page_id", F.xxhash64("digest", "url")))
+    narrow = keyed.where(F.octet_length("html") >= least_bytes).select("key", "page_id", "digest")
+    # An id has several entries only where it has several payloads.
+    entry = F.collect_set(F.struct("digest", "original"))
+    revisits = _revisits(narrow).repartition(files, "key").groupBy("key").agg(F.map_from_entries(entry).alias("originals"))
+    dealt = keyed.repartition(files, "key").join(revisits.hint("shuffle_hash"), "key", "left")
+    return dealt.select("page_id", "url", "html", "digest", F.try_element_at("originals", "digest").alias("original"))
 
 
 def write(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES, files: int | None = None) -> None:
@@ -164,9 +175,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES, files:
                 frames = [m[:-1] for r in transaction(page_id, url, html, digest, original, copy) for m in members(r)]
                 yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
 
-    # Rows of one id and payload meet in a file; those without an id are dealt by their payload and url.
-    dealt = with_original(pages, least_bytes).repartition(files, F.coalesce("page_id", F.xxhash64("digest", "url")))
-    dealt.mapInArrow(W.tidied(run), "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\x00").text(folder)
+    with_original(pages, files, least_bytes).mapInArrow(W.tidied(run), "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\x00").text(folder)
 
 
 # --- reading
