@@ -36,7 +36,7 @@ def _score_weights(layer: EGATLayer) -> tuple[DenseMatrix, DenseMatrix, DenseMat
 
 def attend(graph: Graph, features: DataFrame, layer: EGATLayer) -> DataFrame:
     """id and h of every node; the zero vector (activated) without incoming edges. Each of several equal edges is an entry of its own."""
-    if not graph.has_edge_features:
+    if "efeat" not in graph.edges.columns:
         raise ValueError("the layer requires edge features")
     heads, d = layer.heads, layer.out_dim // layer.heads
     at_dst, at_src, at_edge = _score_weights(layer)

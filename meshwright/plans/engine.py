@@ -19,6 +19,7 @@ from meshwright.graph import Graph
 from meshwright.layers import KNOWN_LAYERS, Aggregation, EGATLayer, GNNModel, Layer
 from meshwright.operators.aggregate import aggregate, reduce_by_key
 from meshwright.operators.attention import attend
+from meshwright.operators.frontier import blocks
 from meshwright.operators.transform import linear
 
 
@@ -42,11 +43,12 @@ class SparkEngine:
 
     supported_layers = KNOWN_LAYERS
 
-    def run(self, graph: Graph, features: DataFrame, edge_features: DataFrame | None = None) -> DataFrame:
-        """id and h of every node after all layers.
+    def run(self, graph: Graph, features: DataFrame, edge_features: DataFrame | None = None, seeds: DataFrame | None = None) -> DataFrame:
+        """id and h of every node after all layers, or of the `seeds` (id) only.
 
         `features` (id, h) must have a row for every node; `edge_features`
-        (edge_id, efeat) go before those that the graph holds.
+        (edge_id, efeat) go before those that the graph holds. With seeds, each
+        layer takes just the nodes and edges that they need of it.
         """
         if edge_features is not None:
             graph = replace(graph, edges=graph.with_edge_ids().edges.drop("efeat").join(edge_features.select("edge_id", "efeat"), "edge_id"))
@@ -57,6 +59,8 @@ class SparkEngine:
             bad = state.agg(F.min(F.size("h")), F.max(F.size("h")), F.count("*")).first()
             if tuple(bad) != (self.model.input_dim, self.model.input_dim, graph.num_nodes()):
                 raise ValueError("node features must have a row for every node and the model's input dimension")
+        if seeds is not None:
+            return self._run_seeds(graph, state, seeds)
         norms: dict[bool, DataFrame] = {}
         for i, layer in enumerate(self.model.layers):
             state = self.step(graph, state, layer, norms)
@@ -64,6 +68,21 @@ class SparkEngine:
                 state = cut(state)
         return state
 
+    def _run_seeds(self, graph: Graph, state: DataFrame, seeds: DataFrame) -> DataFrame:
+        parts = blocks(graph, seeds, len(self.model))
+        if not parts:
+            return state.join(seeds.select("id").distinct(), "id", "left_semi")
+        needed = parts[0].sources
+        # All later nodes are among the first layer's, and their degrees are those of the whole graph.
+        near = replace(graph, nodes=needed.ids, edges=needed.keep(graph.edges, "dst"))
+        norms = {x.self_loops: cut(near.inv_sqrt_degrees(x.self_loops)) for x in self.model.layers if getattr(x, "aggregation", None) is Aggregation.GCN_NORM}
+        state = needed.keep(state, "id")
+        for i, (layer, block) in enumerate(zip(self.model.layers, parts, strict=True)):
+            state = self.step(block.of(graph), state, layer, norms)
+            if self.checkpoint_every and (i + 1) % self.checkpoint_every == 0 and i + 1 < len(parts):
+                state = cut(state)
+        return state
+
     def transforms_first(self, layer: Layer) -> bool:
         """Whether the narrower side is the layer's output; equal sides aggregate first."""
         if not layer.aggregation.linear or self.order == "aggregate_first":

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from meshwright import api_queries, catalog
+from meshwright import api_queries, catalog, scale_queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem embeddings".split()
@@ -19,7 +19,8 @@ def db():
     return con
 
 
-QUERIES, SQL = catalog.queries() | api_queries.queries(), catalog.oracle_sql() | api_queries.oracle_sql()
+QUERIES = catalog.queries() | api_queries.queries() | scale_queries.queries()
+SQL = catalog.oracle_sql() | api_queries.oracle_sql() | scale_queries.oracle_sql()
 
 
 def test_every_query_has_sql():
