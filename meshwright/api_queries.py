@@ -365,20 +365,19 @@ def weights_file(s: SparkSession, d: str) -> DataFrame:
     return _run(s, d, files.read_weights(s, path))
 
 
-@query("ogb_files", sql({**base("g2"), "m": agg_sql("sum", "x", 4).replace("x x ", "(select * from x where k < 4) x ")}, "m"))
+@query("ogb_files", sql({**base("g1"), "m": agg_sql("sum", "x", F_IN)}, "m"))
 def ogb_files(s: SparkSession, d: str) -> DataFrame:
-    """Written as the benchmark publishes them, converted, and aggregated."""
-    g, folder = graph(s, d, "g2"), scratch(s, "ogb")
-    rows = features(s, d).orderBy("id").coalesce(1)
-
-    def one(df: DataFrame, name: str) -> None:
-        df.coalesce(1).write.csv(f"{folder}/{name}.csv.gz", compression="gzip")
-
-    one(g.edges.select("src", "dst"), "edge")
-    one(rows.select(*(F.col("h")[k] for k in range(4))), "node-feat")
-    one(rows.select("label"), "node-label")
-    got, nodes = files.ogb_folder(s, folder, 4)
-    return long(aggregate(got, nodes, SUM, 4), "m")
+    """Written as the benchmark publishes them, features and labels in several files, converted, and aggregated."""
+    g, folder = graph(s, d, "g1"), scratch(s, "ogb")
+
+    def put(df: DataFrame, name: str) -> None:
+        df.write.csv(f"{folder}/{name}.csv.gz", compression="gzip")
+
+    put(g.edges.select("src", "dst"), "edge")
+    for name, parts, columns in (("node-feat", 3, [F.col("h")[k] for k in range(F_IN)]), ("node-label", 2, ["label"])):
+        put(features(s, d).repartitionByRange(parts, "id").sortWithinPartitions("id").select(*columns), name)
+    got, nodes = files.ogb_folder(s, folder, F_IN)
+    return long(aggregate(got, nodes, SUM, F_IN), "m")
 
 
 @query("citation_files", f"with n as (select vec_id, row_number() over (order by 'p' || vec_id) - 1 as id, label from embeddings), l as (select label, row_number() over (order by 'c' || label) - 1 as c from (select distinct label from embeddings)) select a.id as src, b.id as dst, cast(l.c as int) as label, cast(3 as bigint) as dim from ({G('g2')}) e join n a on a.vec_id = e.src join n b on b.vec_id = e.dst join l on l.label = b.label")

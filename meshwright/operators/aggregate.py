@@ -14,12 +14,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshwright.functions.arrays import dequantise, quantise, zeros
+from meshwright.functions.storage import cut
 from meshwright.graph import Graph
 from meshwright.layers import Aggregation
 
 BLOCK = 64
 #: Features of at most this many bytes may be broadcast (their size is checked first).
 BROADCAST_BYTES = 64 << 20
+#: A source of more than one edge in so many is a hub.
+HUBS = 1024
+STRATEGIES = ("edge", "vertex", "feature", "split", "colocated")
 
 
 def gather(graph: Graph, features: DataFrame, broadcast: bool = False) -> DataFrame:
@@ -35,6 +39,21 @@ def with_self_loops(graph: Graph) -> DataFrame:
     return graph.edges.select(*keep).unionByName(loops)
 
 
+def hubs(edges: DataFrame, dim: int, most: int = HUBS) -> DataFrame:
+    """src: the sources of more than one edge in `most`, of which there are fewer than that; fewer still where their features would exceed BROADCAST_BYTES."""
+    most = max(1, min(most, BROADCAST_BYTES // (8 * max(dim, 1))))
+    counts = cut(edges.groupBy("src").agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.where(F.col("n") * most > total).select("src")
+
+
+def _split(edges: DataFrame, side: DataFrame, heavy: DataFrame) -> DataFrame:
+    """`edges` with `side` (src, ...): the features of `heavy` sources are sent to their edges, all others are joined by the source."""
+    heavy = F.broadcast(heavy)
+    sent = edges.join(F.broadcast(side.join(heavy, "src", "left_semi")), "src")
+    return sent.unionByName(edges.join(heavy, "src", "left_anti").join(side, "src"))
+
+
 def _reduce(kind: Aggregation, x: Column) -> Column:
     if kind is Aggregation.MAX:
         return F.max(x)
@@ -76,6 +95,7 @@ def aggregate(
     strategy: str = "edge",
     degrees: DataFrame | None = None,
     compress: bool = False,
+    heavy: DataFrame | None = None,
 ) -> DataFrame:
     """id and m of every node: its in-neighbours' h reduced, the zero vector where it has none.
 
@@ -87,18 +107,25 @@ def aggregate(
     partial results of edge partitions; "vertex" first deals edges by destination
     and broadcasts the features if their size allows, so that each node is
     reduced in its own partition without a further shuffle; "feature" reduces in
-    the long layout, by destination and feature. `compress` sends features to the
-    edges as 8-bit numbers with a scale for each node.
+    the long layout, by destination and feature; "split" broadcasts the features of
+    `heavy` (src; by default the `hubs`) and joins the others by the source, so no
+    task gets all edges of a hub; "colocated" is for graphs in that layout: features
+    are joined where the edges lie. `compress` sends features to the edges as 8-bit
+    numbers with a scale for each node.
     """
-    if strategy not in ("edge", "vertex", "feature"):
+    if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}")
-    edges = with_self_loops(graph) if self_loops else graph.edges
+    # Where a node's own message is just added to the sum, the edges stay in their layout.
+    own = self_loops and strategy == "colocated" and kind in (Aggregation.SUM, Aggregation.GCN_NORM)
+    edges = with_self_loops(graph) if self_loops and not own else graph.edges
     side = features.select("id", "h")
     if kind is Aggregation.GCN_NORM:
         # The source's factor goes into its features, the destination's into the sum.
         norm = degrees if degrees is not None else graph.inv_sqrt_degrees(self_loops)
         side = side.join(norm, "id").select("id", F.transform("h", lambda x: x * F.col("inv_sqrt")).alias("h"))
-    small = False
+    if strategy == "split":
+        side, heavy = cut(side), heavy if heavy is not None else hubs(edges, dim)
+    scaled, small = side, False
     if strategy == "vertex":
         edges = edges.repartition("dst")
         # A row for every node, so the features needn't be computed to be counted.
@@ -106,7 +133,10 @@ def aggregate(
     side = side.withColumnRenamed("id", "src")
     if compress:
         side = side.select("src", quantise(F.col("h")).alias("q"))
-    messages = edges.join(F.broadcast(side) if small else side, "src")
+    if strategy == "split":
+        messages = _split(edges, side, heavy)
+    else:
+        messages = edges.join(F.broadcast(side) if small else side.hint("shuffle_hash") if strategy == "colocated" else side, "src")
     weight = F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if use_edge_weights and graph.has_edge_weights else None
     if strategy != "feature" and dim <= BLOCK:
         # Scales and weights go into the sums' terms, in generated code.
@@ -118,6 +148,9 @@ def aggregate(
         found = reduce_by_feature(messages, "dst", kind) if strategy == "feature" else reduce_by_key(messages, "dst", dim, kind)
     found = found.withColumnRenamed("dst", "id")
     out = graph.nodes.select("id").join(found, "id", "left")
+    if own:
+        mine = scaled.select("id", F.col("h").alias("mine"))
+        out = out.join(mine, "id").select("id", F.when(F.col("m").isNull(), F.col("mine")).otherwise(F.zip_with("m", "mine", lambda a, b: a + b)).alias("m"))
     if kind is Aggregation.GCN_NORM:
         out = out.join(norm, "id").withColumn("m", F.transform("m", lambda x: x * F.col("inv_sqrt")))
     return out.select("id", F.coalesce("m", zeros(dim)).alias("m"))

@@ -17,7 +17,7 @@ from meshwright.functions.arrays import activate, zeros
 from meshwright.functions.storage import cut
 from meshwright.graph import Graph
 from meshwright.layers import KNOWN_LAYERS, Aggregation, EGATLayer, GNNModel, Layer
-from meshwright.operators.aggregate import aggregate, reduce_by_key
+from meshwright.operators.aggregate import aggregate, hubs, reduce_by_key
 from meshwright.operators.attention import attend
 from meshwright.operators.frontier import blocks
 from meshwright.operators.transform import linear
@@ -25,7 +25,7 @@ from meshwright.operators.transform import linear
 
 @dataclass(frozen=True)
 class SparkEngine:
-    """`strategy`: edge, vertex, feature, or auto (edge; Spark broadcasts what it knows to be small).
+    """`strategy`: edge, vertex, feature, split (hubs' features broadcast), colocated (for graphs in that layout), or auto (edge; Spark broadcasts what it knows to be small).
 
     `order`: auto, transform_first or aggregate_first. `checkpoint_every`: cut the
     lineage after so many layers by checkpoint() into the shared folder (0: never). `validate`: look at the features' size before running.
@@ -61,7 +61,7 @@ class SparkEngine:
                 raise ValueError("node features must have a row for every node and the model's input dimension")
         if seeds is not None:
             return self._run_seeds(graph, state, seeds)
-        norms: dict[bool, DataFrame] = {}
+        norms: dict[bool | str, DataFrame] = {}
         for i, layer in enumerate(self.model.layers):
             state = self.step(graph, state, layer, norms)
             if self.checkpoint_every and (i + 1) % self.checkpoint_every == 0 and i + 1 < len(self.model):
@@ -89,7 +89,7 @@ class SparkEngine:
             return False
         return self.order == "transform_first" or layer.out_dim < layer.in_dim
 
-    def step(self, graph: Graph, state: DataFrame, layer: Layer, norms: dict[bool, DataFrame]) -> DataFrame:
+    def step(self, graph: Graph, state: DataFrame, layer: Layer, norms: dict[bool | str, DataFrame]) -> DataFrame:
         if isinstance(layer, EGATLayer):
             return attend(graph, state, layer)
         kind = layer.aggregation
@@ -97,6 +97,10 @@ class SparkEngine:
         if kind is Aggregation.GCN_NORM and loops not in norms:
             norms[loops] = graph.inv_sqrt_degrees(loops)
         options = {"self_loops": loops, "use_edge_weights": self.use_edge_weights, "strategy": "edge" if self.strategy == "auto" else self.strategy, "degrees": norms.get(loops), "compress": self.compress}
+        if self.strategy == "split":
+            if "hubs" not in norms:
+                norms["hubs"] = hubs(graph.edges, max(x for y in self.model.layers for x in (y.in_dim, y.out_dim)))
+            options["heavy"] = norms["hubs"]
         own = getattr(layer, "w_self", None)
         if getattr(layer, "w_edge", None) is not None:
             # Edge features are reduced like messages: W (h, e) = W_neigh h + W_edge e, whatever is added up.

@@ -11,12 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshwright.catalog import MEAN, NORM, RELU, SUM, V, W, G, agg_sql, base, bias, egat, egat_sql, graph, lin_sql, long, matrix, sql
+from meshwright.catalog import MEAN, RELU, SUM, W, G, _GCN2, agg_sql, base, bias, egat, egat_sql, features, gcn_layers, graph, lin_sql, long, matrix, sql
 from meshwright.functions.storage import cut
 from meshwright.graph import Graph
 from meshwright.layers import GCNLayer, GNNModel, GraphSAGELayer
 from meshwright.operators import frontier, partition
+from meshwright.operators.aggregate import aggregate
 from meshwright.plans.engine import SparkEngine
+from meshwright.sources import layout
 
 _registry: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
 
@@ -164,6 +166,58 @@ def partition_quality(s: SparkSession, d: str) -> DataFrame:
     return rows[0].unionByName(rows[1])
 
 
+# --- layouts and hubs
+
+_DEEP5 = {
+    **SAGE5,
+    "m3": agg_sql("sum", "h2", LAST),
+    "h2": f"select id, k, greatest(x, cast(0 as double)) as x from ({lin_sql([('m2', W(MIDDLE, LAST, 0)), ('h1', W(MIDDLE, LAST, 5))], True, 'none')})",
+    "y": lin_sql([("m3", W(LAST, LAST, 0))], False, "none"),
+}
+_DEEP5 = {k: _DEEP5[k] for k in ("nodes", "e", "x", "m", "h1", "m2", "h2", "m3", "y")}
+
+
+def deep5() -> GNNModel:
+    first, second = sage5().layers
+    return GNNModel((first, GraphSAGELayer(second.w_neigh, second.w_self, second.bias, MEAN, RELU), GraphSAGELayer(matrix(LAST, LAST, 0), None, (), SUM)))
+
+
+@query("colocated_sage", sql(_DEEP5, "y"))
+def colocated_sage(s: SparkSession, d: str) -> DataFrame:
+    """Three layers over edges that stay in their buckets."""
+    g = layout.colocated(orders_and_parts(s, d))
+    return long(SparkEngine(deep5(), strategy="colocated").run(g, g.nodes))
+
+
+@query("colocated_gcn", sql(GCN5, "z"))
+def colocated_gcn(s: SparkSession, d: str) -> DataFrame:
+    g = layout.colocated(orders_and_parts(s, d))
+    return long(SparkEngine(gcn5(), strategy="colocated").run(g, g.nodes))
+
+
+#: All line items, those that are first in their order from one source.
+_HUB = G("g1").replace("select distinct l_orderkey %", "select case when l_linenumber = 1 then 0 else l_orderkey %", 1).replace(" as src", " end as src", 1)
+
+
+def hub_graph(s: SparkSession, d: str) -> Graph:
+    nodes = features(s, d)
+    n = nodes.count()
+    items = s.read.parquet(f"{d}/lineitem.parquet")
+    return Graph.from_edges(items.select(F.when(F.col("l_linenumber") == 1, F.lit(0).cast("long")).otherwise(F.col("l_orderkey") % n).alias("src"), (F.col("l_partkey") % n).alias("dst")), nodes)
+
+
+@query("agg_hub_source", sql({**base("g1"), "e": _HUB, "m": agg_sql("avg", "x", 64)}, "m"))
+def agg_hub_source(s: SparkSession, d: str) -> DataFrame:
+    g = hub_graph(s, d)
+    return long(aggregate(g, g.nodes, MEAN, 64, strategy="split"), "m")
+
+
+@query("gcn_hub_source", sql({**_GCN2, "e": _HUB}, "z"))
+def gcn_hub_source(s: SparkSession, d: str) -> DataFrame:
+    g = hub_graph(s, d)
+    return long(SparkEngine(GNNModel(gcn_layers()), strategy="split").run(g, g.nodes))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: q for k, (q, _) in _registry.items()}
 

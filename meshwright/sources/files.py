@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshwright.functions.ordering import position
+from meshwright.functions.storage import cut
 from meshwright.graph import Graph
 from meshwright.layers import EGATLayer, GCNLayer, GNNModel, GraphSAGELayer, Activation, Aggregation
 from meshwright.matrix import DenseMatrix
 
+#: File splits whose first line numbers are sent to all tasks.
+MOST_SPLITS = 100_000
+
 
 def edge_list(spark: SparkSession, path: str, sep: str = "\t", weighted: bool = False, comment: str = "#") -> DataFrame:
     """src, dst (and weight) of a text edge list, as public graph collections publish them."""
@@ -42,20 +46,32 @@ def read_edge_features(spark: SparkSession, path: str, id_column: str = "edge_id
     return spark.read.parquet(path).select(F.col(id_column).cast("long").alias("edge_id"), F.col(feature_column).cast("array<double>").alias("efeat"))
 
 
-def _csv_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A gzipped CSV file without a header, with `row`, the line's number: such a file is read as one partition, in order."""
-    return spark.read.csv(path, schema=schema, mode="FAILFAST").withColumn("row", F.monotonically_increasing_id())
+def numbered_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The lines of CSV files without a header, with `row`, their number from 0 over all files in the order of the names.
+
+    Spark reads each split of a file in order and numbers the rows of a partition by
+    position, whatever splits it holds; so a line's number is that of its split's
+    first line, plus how far it is behind it. Only counts of the splits are shuffled.
+    """
+    split = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from")]
+    lines = spark.read.csv(path, schema=schema, mode="FAILFAST").select("*", *split, F.monotonically_increasing_id().alias("_at"))
+    splits = lines.groupBy("_file", "_from").agg(F.min("_at").alias("_first"), F.count("*").alias("_lines"))
+    before = Window.orderBy("_file", "_from").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    starts = cut(splits.select("_file", "_from", (F.coalesce(F.sum("_lines").over(before), F.lit(0)) - F.col("_first")).alias("_start")))
+    side = F.broadcast(starts) if starts.count() <= MOST_SPLITS else starts
+    return lines.join(side, ["_file", "_from"]).withColumn("row", F.col("_start") + F.col("_at")).drop("_file", "_from", "_at", "_start")
 
 
 def ogb_folder(spark: SparkSession, folder: str, dim: int) -> tuple[Graph, DataFrame]:
     """A graph and its nodes (id, h, label) from the raw CSV files that the Open Graph Benchmark publishes.
 
     edge.csv.gz holds src,dst; node-feat.csv.gz `dim` features a line and
-    node-label.csv.gz one label, both by node number.
+    node-label.csv.gz one label, both by node number. Each may be a file or a
+    folder of files, whose lines are numbered in the order of their names.
     """
     edges = spark.read.csv(f"{folder}/edge.csv.gz", schema="src bigint, dst bigint", mode="FAILFAST")
-    feats = _csv_rows(spark, f"{folder}/node-feat.csv.gz", ", ".join(f"x{k} double" for k in range(dim)))
-    labels = _csv_rows(spark, f"{folder}/node-label.csv.gz", "label int")
+    feats = numbered_csv(spark, f"{folder}/node-feat.csv.gz", ", ".join(f"x{k} double" for k in range(dim)))
+    labels = numbered_csv(spark, f"{folder}/node-label.csv.gz", "label int")
     nodes = feats.select(F.col("row").alias("id"), F.array(*(f"x{k}" for k in range(dim))).alias("h")).join(labels.select(F.col("row").alias("id"), "label"), "id", "left")
     return Graph.from_edges(edges, nodes), nodes
 

@@ -1,17 +1,20 @@
 """Seeds, partitions, layouts and hubs: results against whole runs, and what their plans do."""
 
+import gzip
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from meshwright.catalog import egat, gcn_layers, matrix, sage_layers
 from meshwright.graph import Graph
-from meshwright.layers import GCNLayer, GNNModel, GraphSAGELayer
+from meshwright.layers import Aggregation, GCNLayer, GNNModel, GraphSAGELayer
+from meshwright.operators import aggregate as aggregates
 from meshwright.operators import frontier, partition
+from meshwright.operators.aggregate import aggregate
 from meshwright.plans.engine import SparkEngine
 from meshwright.plans.verify import verify
+from meshwright.sources import files, layout
 
 
 def made(spark, n=60, m=150, seed=5, dim=64):
@@ -121,3 +124,119 @@ def test_a_hub_and_loops_and_equal_edges(spark, monkeypatch, sent):
 def test_partition_of_an_empty_graph(spark):
     g = Graph.from_edges(spark.createDataFrame([], "src long, dst long"))
     assert partition.partition(g, 3).count() == 0
+
+
+# --- layouts and hubs
+
+
+def walk(node):
+    """A plan's nodes with their children, through adaptive wrappers."""
+    if node.nodeName() == "AdaptiveSparkPlan":
+        node = node.executedPlan()
+    children = node.children()
+    below = [walk(children.apply(i)) for i in range(children.size())]
+    return node.nodeName(), node.simpleString(1000), below
+
+
+def raw_scans(tree, table, shuffled=False):
+    """How many scans of `table` have their rows shuffled before they are aggregated."""
+    name, text, below = tree
+    if "Aggregate" in name:
+        shuffled = False
+    elif name.startswith("Exchange"):
+        shuffled = True
+    own = int(shuffled and table in name + text)
+    return own + sum(raw_scans(x, table, shuffled) for x in below)
+
+
+def count_of(tree, name):
+    return int(tree[0].startswith(name)) + sum(count_of(x, name) for x in tree[2])
+
+
+@pytest.mark.parametrize("name", ["gcn", "sage"])
+def test_colocated_edges_stay_where_they_are(spark, tmp_path, name):
+    g = made(spark, n=300, m=2000)
+    laid = layout.colocated(g, prefix=f"laid_{name}")
+    three = {"gcn": (*gcn_layers(), GCNLayer(matrix(10, 4, 0))), "sage": (*sage_layers(), GraphSAGELayer(matrix(10, 4, 0), matrix(10, 4, 5)))}[name]
+    model = GNNModel(three)
+    out = SparkEngine(model, strategy="colocated", use_edge_weights=name == "sage").run(laid, laid.nodes)
+    assert verify(out, SparkEngine(model, use_edge_weights=name == "sage").run(g, g.nodes)).same
+    g.edges.write.option("path", f"file://{tmp_path}/usual").saveAsTable(f"usual_{name}_edges")
+    usual = Graph(g.nodes, spark.table(f"usual_{name}_edges"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [walk(SparkEngine(model, strategy=how).run(x, x.nodes)._jdf.queryExecution().executedPlan()) for x, how in ((laid, "colocated"), (usual, "edge"))]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # No row of the edges is shuffled before it is part of a sum.
+    assert raw_scans(plans[0], f"laid_{name}_edges") == 0 < raw_scans(plans[1], f"usual_{name}_edges")
+    if name == "sage":
+        assert count_of(plans[0], "Exchange") < count_of(plans[1], "Exchange")
+    again = layout.opened(spark, f"laid_{name}")
+    assert again.edges.count() == 2000
+    layout.drop(spark, f"laid_{name}")
+    spark.sql(f"DROP TABLE usual_{name}_edges")
+
+
+@pytest.mark.parametrize("kind", list(Aggregation))
+@pytest.mark.parametrize("loops", [False, True])
+def test_strategies_agree(spark, kind, loops):
+    g = made(spark, dim=5)
+    laid = layout.colocated(g, buckets=3)
+    want = {r.id: r.m for r in aggregate(g, g.nodes, kind, 5, loops, kind is Aggregation.SUM).collect()}
+    for graph, strategy in ((laid, "colocated"), (g, "split")):
+        got = {r.id: r.m for r in aggregate(graph, graph.nodes, kind, 5, loops, kind is Aggregation.SUM, strategy=strategy).collect()}
+        assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
+
+
+def test_hubs_are_few_and_their_edges_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(aggregates, "HUBS", 20)
+    edges = spark.range(40_000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 500).cast("long").alias("src"), (F.col("id") % 211).alias("dst")).repartition(16)
+    side = spark.range(500).select(F.col("id").alias("src"), F.array(F.lit(1.0)).alias("h"))
+    heavy = aggregates.hubs(edges, 1, 20)
+    assert [r.src for r in heavy.collect()] == [7]
+    assert aggregates.hubs(edges, aggregates.BROADCAST_BYTES).count() == 0  # features of any hub would be too large
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        of = lambda df: [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        joined, split = of(edges.join(side, "src")), of(aggregates._split(edges, side, heavy))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sum(joined) == sum(split) == 40_000
+    assert max(joined) > 3 * sorted(joined)[len(joined) // 2]
+    assert max(split) <= 3 * sorted(split)[len(split) // 2]
+
+
+def test_lines_are_numbered_over_files_and_splits(spark, tmp_path):
+    def put(name, lines, pack=gzip.compress):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(pack("".join(f"{x}\n" for x in lines).encode()))
+
+    put("feat.csv.gz/part-00000.csv.gz", ["0,0.5", "1,1.5"])
+    put("feat.csv.gz/part-00001.csv.gz", [f"{i},{i + 0.5}" for i in range(2, 6)])
+    put("plain/b.csv", range(3000, 20_000), bytes)
+    put("plain/a.csv", range(3000), bytes)
+    put("plain/c.csv", range(20_000, 20_002), bytes)
+    rows = files.numbered_csv(spark, f"file://{tmp_path}/feat.csv.gz", "n long, x double").collect()
+    assert sorted((r.row, r.n, r.x) for r in rows) == [(i, i, i + 0.5) for i in range(6)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        plain = files.numbered_csv(spark, f"file://{tmp_path}/plain", "n long")
+        assert plain.rdd.getNumPartitions() > 5 and plain.where("row <> n").count() == 0 and plain.count() == 20_002
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert files.numbered_csv(spark, f"file://{tmp_path}/plain", "n long").where("row <> n").count() == 0
+
+
+def test_ogb_folder_of_several_parts(spark, tmp_path):
+    for name, parts in {"edge": [["0,1", "5,2"]], "node-feat": [["0.0", "0.5"], ["1.0", "1.5", "2.0", "2.5"]], "node-label": [["10", "11", "12", "13"], ["14", "15"]]}.items():
+        (tmp_path / f"{name}.csv.gz").mkdir()
+        for i, lines in enumerate(parts):
+            (tmp_path / f"{name}.csv.gz" / f"part-0000{i}.csv.gz").write_bytes(gzip.compress("\n".join([*lines, ""]).encode()))
+    g, nodes = files.ogb_folder(spark, f"file://{tmp_path}", 1)
+    assert sorted((r.id, r.h, r.label) for r in nodes.collect()) == [(i, [i / 2], 10 + i) for i in range(6)]
+    assert g.num_edges() == 2
