@@ -39,19 +39,20 @@ def with_self_loops(graph: Graph) -> DataFrame:
     return graph.edges.select(*keep).unionByName(loops)
 
 
-def hubs(edges: DataFrame, dim: int, most: int = HUBS) -> DataFrame:
-    """src: the sources of more than one edge in `most`, of which there are fewer than that; fewer still where their features would exceed BROADCAST_BYTES."""
-    most = max(1, min(most, BROADCAST_BYTES // (8 * max(dim, 1))))
+def hubs(edges: DataFrame, most: int = HUBS) -> DataFrame:
+    """src: the sources of more than one edge in `most`, of which there are fewer than that."""
     counts = cut(edges.groupBy("src").agg(F.count("*").alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    return counts.where(F.col("n") * most > total).select("src")
+    return counts.where(F.col("n") * most > total).select("src", F.lit(True).alias("hub"))
 
 
 def _split(edges: DataFrame, side: DataFrame, heavy: DataFrame) -> DataFrame:
-    """`edges` with `side` (src, ...): the features of `heavy` sources are sent to their edges, all others are joined by the source."""
-    heavy = F.broadcast(heavy)
-    sent = edges.join(F.broadcast(side.join(heavy, "src", "left_semi")), "src")
-    return sent.unionByName(edges.join(heavy, "src", "left_anti").join(side, "src"))
+    """`edges` with `side` (src, ...), joined by the source: of `heavy` sources (src, hub) each partition gets a copy and its share of the edges."""
+    heavy, copies = F.broadcast(heavy), int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = edges.join(heavy, "src", "left").withColumn("copy", F.when(F.col("hub"), F.pmod(F.xxhash64("dst"), F.lit(copies)).cast("int")).otherwise(0)).drop("hub")
+    last = F.when(F.col("hub"), F.lit(copies - 1)).otherwise(0)
+    each = side.join(heavy, "src", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), last))).drop("hub")
+    return dealt.join(each, ["src", "copy"]).drop("copy")
 
 
 def _reduce(kind: Aggregation, x: Column) -> Column:
@@ -107,9 +108,9 @@ def aggregate(
     partial results of edge partitions; "vertex" first deals edges by destination
     and broadcasts the features if their size allows, so that each node is
     reduced in its own partition without a further shuffle; "feature" reduces in
-    the long layout, by destination and feature; "split" broadcasts the features of
-    `heavy` (src; by default the `hubs`) and joins the others by the source, so no
-    task gets all edges of a hub; "colocated" is for graphs in that layout: features
+    the long layout, by destination and feature; "split" deals copies of
+    the features of `heavy` sources (by default the `hubs`) and their edges to all
+    partitions, so no task gets all edges of a hub; "colocated" is for graphs in that layout: features
     are joined where the edges lie. `compress` sends features to the edges as 8-bit
     numbers with a scale for each node.
     """
@@ -123,8 +124,6 @@ def aggregate(
         # The source's factor goes into its features, the destination's into the sum.
         norm = degrees if degrees is not None else graph.inv_sqrt_degrees(self_loops)
         side = side.join(norm, "id").select("id", F.transform("h", lambda x: x * F.col("inv_sqrt")).alias("h"))
-    if strategy == "split":
-        side, heavy = cut(side), heavy if heavy is not None else hubs(edges, dim)
     scaled, small = side, False
     if strategy == "vertex":
         edges = edges.repartition("dst")
@@ -134,7 +133,7 @@ def aggregate(
     if compress:
         side = side.select("src", quantise(F.col("h")).alias("q"))
     if strategy == "split":
-        messages = _split(edges, side, heavy)
+        messages = _split(edges, side, heavy if heavy is not None else hubs(edges))
     else:
         messages = edges.join(F.broadcast(side) if small else side.hint("shuffle_hash") if strategy == "colocated" else side, "src")
     weight = F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if use_edge_weights and graph.has_edge_weights else None

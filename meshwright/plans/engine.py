@@ -25,7 +25,7 @@ from meshwright.operators.transform import linear
 
 @dataclass(frozen=True)
 class SparkEngine:
-    """`strategy`: edge, vertex, feature, split (hubs' features broadcast), colocated (for graphs in that layout), or auto (edge; Spark broadcasts what it knows to be small).
+    """`strategy`: edge, vertex, feature, split (hubs' edges dealt to all tasks), colocated (for graphs in that layout), or auto (edge; Spark broadcasts what it knows to be small).
 
     `order`: auto, transform_first or aggregate_first. `checkpoint_every`: cut the
     lineage after so many layers by checkpoint() into the shared folder (0: never). `validate`: look at the features' size before running.
@@ -99,7 +99,7 @@ class SparkEngine:
         options = {"self_loops": loops, "use_edge_weights": self.use_edge_weights, "strategy": "edge" if self.strategy == "auto" else self.strategy, "degrees": norms.get(loops), "compress": self.compress}
         if self.strategy == "split":
             if "hubs" not in norms:
-                norms["hubs"] = hubs(graph.edges, max(x for y in self.model.layers for x in (y.in_dim, y.out_dim)))
+                norms["hubs"] = cut(hubs(graph.edges))
             options["heavy"] = norms["hubs"]
         own = getattr(layer, "w_self", None)
         if getattr(layer, "w_edge", None) is not None:

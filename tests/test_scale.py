@@ -1,6 +1,7 @@
 """Seeds, partitions, layouts and hubs: results against whole runs, and what their plans do."""
 
 import gzip
+import math
 import random
 
 import pytest
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 
 from meshwright.catalog import egat, gcn_layers, matrix, sage_layers
 from meshwright.graph import Graph
-from meshwright.layers import Aggregation, GCNLayer, GNNModel, GraphSAGELayer
+from meshwright.layers import Aggregation, EGATLayer, GCNLayer, GNNModel, GraphSAGELayer
+from meshwright.matrix import DenseMatrix
 from meshwright.operators import aggregate as aggregates
 from meshwright.operators import frontier, partition
 from meshwright.operators.aggregate import aggregate
@@ -189,13 +191,11 @@ def test_strategies_agree(spark, kind, loops):
         assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
 
 
-def test_hubs_are_few_and_their_edges_are_spread(spark, monkeypatch):
-    monkeypatch.setattr(aggregates, "HUBS", 20)
+def test_hubs_are_few_and_their_edges_are_spread(spark):
     edges = spark.range(40_000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 500).cast("long").alias("src"), (F.col("id") % 211).alias("dst")).repartition(16)
     side = spark.range(500).select(F.col("id").alias("src"), F.array(F.lit(1.0)).alias("h"))
-    heavy = aggregates.hubs(edges, 1, 20)
+    heavy = aggregates.hubs(edges, 20)
     assert [r.src for r in heavy.collect()] == [7]
-    assert aggregates.hubs(edges, aggregates.BROADCAST_BYTES).count() == 0  # features of any hub would be too large
     settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
     for k, v in settings.items():
         spark.conf.set(k, v)
@@ -240,3 +240,29 @@ def test_ogb_folder_of_several_parts(spark, tmp_path):
     g, nodes = files.ogb_folder(spark, f"file://{tmp_path}", 1)
     assert sorted((r.id, r.h, r.label) for r in nodes.collect()) == [(i, [i / 2], 10 + i) for i in range(6)]
     assert g.num_edges() == 2
+
+
+def test_attention_joins_the_edges_once(spark):
+    g = made(spark)
+    plan = walk(SparkEngine(GNNModel((egat(2),))).run(g, g.nodes)._jdf.queryExecution().executedPlan())
+
+    def joins(tree):
+        return int("Join" in tree[0] and ("src" in tree[1] or "dst" in tree[1])) + sum(map(joins, tree[2]))
+
+    assert joins(plan) <= 3  # by source, by destination, and the sums with the nodes
+
+
+def test_attention_over_scores_far_apart(spark):
+    """Scores from -1e4 to 1e4: the softmax neither overflows nor vanishes."""
+    layer = EGATLayer(DenseMatrix.from_rows([[1.0]]), DenseMatrix.from_rows([[1.0]]), DenseMatrix.from_rows([[0.0], [0.0], [1.0]]))
+    scores = [1e4, 1e4 - 1, -1e4, 31.9, 32.1, 0.0, -0.5]
+    edges = [(i, 100, [s]) for i, s in enumerate(scores)] + [(2, 101, [-1e6]), (3, 101, [-1e6 + 5])]
+    g = Graph.from_edges(spark.createDataFrame(edges, "src long, dst long, efeat array<double>"))
+    h = g.nodes.select("id", F.array(F.col("id").cast("double") + 1).alias("h"))
+    got = {r.id: r.h[0] for r in SparkEngine(GNNModel((layer,))).run(g, h).collect()}
+    leaky = lambda x: x if x >= 0 else 0.2 * x
+    for v in (100, 101):
+        own = [(leaky(e[0]), s + 1) for s, d, e in edges if d == v]
+        top = max(x for x, _ in own)
+        weights = [math.exp(x - top) for x, _ in own]
+        assert got[v] == pytest.approx(sum(w * y for w, (_, y) in zip(weights, own, strict=True)) / sum(weights), abs=1e-9)
