@@ -15,11 +15,12 @@ pre-token whose pieces are stored is not walked again. A pre-token of more than
 MOST_CHARS characters is not put in the trie but gets arrays of its own.
 
 The vocabulary is a public one of 32,000 pieces, read as it is; no piece is added
-or taken away. The pieces' log-probabilities are fitted to the corpus: all
-documents are segmented as the public model itself does it, the pieces counted (a
-row for each piece and task, summed in Spark) and the scores set to the pieces'
-smoothed shares; ROUNDS times more the same is done with the likeliest
-segmentations by the scores so far, which is expectation-maximisation. Characters
+or taken away. The pieces' log-probabilities are fitted to the corpus: the distinct
+pre-tokens of all documents are counted once, in Spark, and segmented as the public
+model itself does it; the pieces are counted (a row for each piece and task, summed
+in Spark) and the scores set to the pieces' smoothed shares. ROUNDS times more the
+same is done with the likeliest segmentations by the scores so far, through the
+trie, which is expectation-maximisation. Characters
 that no piece covers cost one token for each UTF-8 byte, and all bytes share one
 count. Ties go to the longer last piece.
 
@@ -41,12 +42,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshwright.llm import words as W
+from meshwright.llm.shared import written
 
 MARK = "▁"
 MOST_NODES = 500_000
 MOST_TERMINALS = 3_000_000
 MOST_CHARS = 256
-ROUNDS = 0
+#: Rounds of expectation-maximisation after the public model's own segmentation.
+ROUNDS = 2
+#: Bytes of text whose distinct pre-tokens are counted at once.
+SLICE = 8 << 20
 #: Added to each piece's count.
 SMOOTHING = 0.1
 COLUMNS = "n_words long, n_tokens long, score double"
@@ -238,35 +243,58 @@ def made(key: str, make) -> Trie | Given:
     return _made[key]
 
 
-def piece_counts(docs: DataFrame, segment, pieces: int) -> dict[int, int]:
-    """How often each piece occurs in the segmentations of all texts; the driver gets a row for each piece.
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word and n: the distinct pre-tokens of all texts (without the mark) and how often each occurs."""
+
+    def run(batches):
+        for b in batches:
+            data, bounds = W.text_bytes(b.column(0))
+            for i, j in W.slices(bounds, SLICE):
+                part = data[bounds[i] : bounds[j]]
+                found = W.find_words(part, bounds[i : j + 1] - bounds[i], lower=False)
+                _, first, n = np.unique(found.hashes, return_index=True, return_counts=True)
+                raw = part.tobytes()
+                words = [raw[s:e].decode("utf-8", "replace") for s, e in zip(found.starts[first].tolist(), found.ends[first].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n, pa.int64())], names=["word", "n"])
+
+    return docs.select("text").mapInArrow(W.tidied(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def weighted_counts(words: DataFrame, segment, pieces: int) -> dict[int, int]:
+    """How often each piece occurs in the segmentations of some pre-tokens (word, n), each n times; the driver gets a row for each piece.
 
     `segment` makes what segments, on a worker.
     """
     key = uuid.uuid4().hex
 
     def run(batches):
-        own, total = made(key, segment), np.zeros(pieces + 1, np.int64)
+        own, total = made(key, segment), np.zeros(pieces + 1)
         for b in batches:
             data, bounds = W.text_bytes(b.column(0))
+            times = b.column(1).to_numpy()
             for i, j in W.slices(bounds):
                 _, slots, index = look_up(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], own)
                 found, size = pieces_of(slots, own)
-                total += np.bincount(found, np.repeat(np.bincount(index, minlength=len(slots)), size), len(total)).astype(np.int64)
+                total += np.bincount(found, np.repeat(np.bincount(index, times[i:j], len(slots)), size), len(total))  # whole numbers below 2**53
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["piece", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at].astype(np.int64), pa.int64())], names=["piece", "n"])
 
-    found = docs.select("text").mapInArrow(W.tidied(run), "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    found = words.select("word", "n").mapInArrow(W.tidied(run), "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     return {x["piece"]: x["n"] for x in found.collect()}
 
 
+def piece_counts(docs: DataFrame, segment, pieces: int) -> dict[int, int]:
+    """How often each piece occurs in the segmentations of all texts."""
+    return weighted_counts(word_counts(docs), segment, pieces)
+
+
 def fit(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", rounds: int = ROUNDS) -> Vocabulary:
-    """The vocabulary's pieces with scores fitted to `docs`."""
-    model = Given(vocabulary).vocabulary
-    model = model.refit(piece_counts(docs, lambda: Given(vocabulary), model.byte))
+    """The vocabulary's pieces with scores fitted to `docs`: texts are read once, the rounds go over the distinct pre-tokens."""
+    model, words = Given(vocabulary).vocabulary, written(word_counts(docs), "pretokens")
+    model = model.refit(weighted_counts(words, lambda: Given(vocabulary), model.byte))
     for _ in range(rounds):
         sent = docs.sparkSession.sparkContext.broadcast(model)
-        model = model.refit(piece_counts(docs, lambda sent=sent: Trie(sent.value), model.byte))
+        model = model.refit(weighted_counts(words, lambda sent=sent: Trie(sent.value), model.byte))
     return model
 
 
