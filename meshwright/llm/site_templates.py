@@ -1,21 +1,25 @@
 """Main text of web pages by site template removal (operator 8).
 
 Every page is parsed into a tree and the subtrees of its container elements are
-hashed. Spark counts, for each host, on how many pages of different content a
-subtree occurs; one that recurs on LEAST_PAGES of them, however many pages the
-host has, is part of the site's template. Template subtrees are deleted first,
-wherever they lie; then the article is chosen among what is left: the marked
-articles, or else the main elements, or else the whole body. Pages with the same
-content count once, so that copies of an article don't turn the article into
-template; prose inside a marked article is never deleted so, nor are its lists
-and tables, and an element that holds a marked article isn't template.
+hashed, each with its place (the elements that it lies in). Spark counts, for each
+host, on how many pages of different content a subtree occurs in that place; one
+that recurs on LEAST_PAGES of them and on one in MOST_RARE of the host's pages is
+part of the site's template. Template subtrees are deleted first; then the article
+is chosen among what is left: the marked articles, or else the main elements, or
+else the whole body. Pages with the same content count once, so that copies of an
+article don't turn the article into template. Headings and paragraphs go only as
+parts of a recurring container, however often they recur ("References"); a marked
+article's lists and tables never do, and an element that holds a marked article
+isn't template.
 
 A site that shows too few pages for its template to recur is left to what the
 markup itself says: elements and roles that HTML defines as something else than
 the article go (menus, headers, footers, sidebars, adverts, forms, scripts), and
-so do containers whose class or id names such a part. Within a marked article a
-container goes by its name only where that is a whole class (not a part of one)
-and it holds less than half of the article's text, and prose never does.
+so do containers whose class or id names such a part. A name is a whole class or
+id of such words and of words about place and shape only ("comments-list", not
+"social-history"). Within a marked article a container that isn't named for
+comments goes only if it holds less than half of the article's text, and prose
+only if it is named an advert.
 
 Hashes are counted with partial sums before the shuffle. Where the templates of
 all hosts are few enough (MOST_SENT, looked at first) they go to the pages, and no
@@ -43,6 +47,10 @@ from meshwright.llm.html_tree import BLOCK, Node, parse
 from meshwright.llm.shared import cut
 
 LEAST_PAGES = 5
+#: A template recurs on one in so many of its host's pages, at least.
+MOST_RARE = 200
+#: Parts into which the subtrees of a host are dealt when they meet its number of pages.
+SALTS = 64
 #: Template subtrees of all hosts that may be broadcast.
 MOST_SENT = 200_000
 #: Elements whose subtrees are hashed and counted.
@@ -53,15 +61,31 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 DROPPED = frozenset("head script style noscript template iframe object embed svg canvas audio video map button select textarea input form nav footer aside dialog menu title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 # Words of class and id attributes that name parts other than the article.
-NAMES = frozenset(
-    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion promotions banner cookie cookies consent gdpr notice notices popup modal overlay "
-    "newsletter subscribe subscription signup login comment comments respond disqus replies sidebar widget widgets related recommended recommendations share sharing social "
-    "breadcrumb breadcrumbs menu nav navbar navigation pager pagination footer masthead toolbar copyright disclaimer".split()
+COMMENTS = frozenset("comment comments commenting respond disqus replies".split())
+ADVERTS = frozenset("ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion promotions".split())
+NAMES = COMMENTS | ADVERTS | frozenset(
+    "banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login sidebar widget widgets related recommended recommendations "
+    "share sharing social breadcrumb breadcrumbs menu nav navbar navigation pager pagination footer masthead toolbar copyright disclaimer".split()
+)
+OUTSIDE_NAMES = NAMES | {"header"}
+# Words that say where or in what shape a part is, not what it is.
+NEUTRAL = frozenset(
+    "area bar block bottom box button buttons column container first global group holder inner item items js last layer left links list main mobile module outer page panel primary reader readers right row secondary "
+    "section site slot sticky strip thread top tree unit user users view wrap wrapper zone".split()
 )
-OUTSIDE_NAMES = frozenset(("header",))
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
 
 
+def named(node: Node, names: frozenset[str]) -> bool:
+    """Whether a class or the id is made of `names` and neutral words or numbers only, one of `names` at least."""
+    for key in ("class", "id"):
+        for token in node.attrs.get(key, "").split():
+            parts = {x.lower() for x in _WORD.findall(token)} - NEUTRAL
+            if token.lower() in names or parts & names and all(x in names or x.isdigit() for x in parts):
+                return True
+    return False
+
+
 def host_of(url: str | None) -> str:
     m = re.match(r"(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
     return m[1].lower() if m else ""
@@ -78,11 +102,11 @@ def unwanted(node: Node, article: Node | None) -> bool:
         return True
     if node.tag in ("html", "body"):
         return False
-    if article is not None:
-        names = {x for k in ("class", "id") for x in a.get(k, "").lower().split()}
-        return node.tag not in PROSE and node.tag in BLOCK and bool(names & NAMES) and 2 * n_chars(node) < n_chars(article)
-    names = {x.lower() for k in ("class", "id") if k in a for x in _WORD.findall(a[k])}
-    return bool(names & (NAMES | OUTSIDE_NAMES))
+    if article is None:
+        return named(node, OUTSIDE_NAMES)
+    if node.tag in PROSE:
+        return named(node, ADVERTS)
+    return node.tag in BLOCK and (named(node, COMMENTS) or named(node, NAMES) and 2 * n_chars(node) < n_chars(article))
 
 
 def n_chars(node: Node) -> int:
@@ -124,11 +148,11 @@ def hashes(root: Node) -> dict[int, int]:
     return out
 
 
-def candidates(root: Node) -> list[tuple[Node, bool]]:
-    """The elements that may be template, and whether each lies in a marked article; none that holds one."""
-    out: list[tuple[Node, bool, int]] = []
+def candidates(root: Node, own: dict[int, int]) -> dict[int, int]:
+    """The elements that may be template, by id(node), with a hash of subtree (from `own`) and place; none that holds a marked article."""
+    out: dict[int, int] = {}
     holding: set[int] = set()
-    inside, open_ones = 0, []
+    inside, open_ones, places = 0, [], [0]
     for node, entering in walk(root):
         if node.tag == "article":
             if entering and not inside:
@@ -136,15 +160,17 @@ def candidates(root: Node) -> list[tuple[Node, bool]]:
             inside += 1 if entering else -1
         if entering:
             open_ones.append(id(node))
-            if node.tag in CONTAINERS and not (inside and node.tag in CONTENT) or not inside and node.tag in PROSE:
-                out.append((node, bool(inside)))
+            if node.tag in CONTAINERS and not (inside and node.tag in CONTENT):
+                out[id(node)] = xxhash.xxh64_intdigest(own[id(node)].to_bytes(8, "little"), places[-1])
+            places.append(xxhash.xxh64_intdigest(node.tag.encode("utf-8", "surrogatepass"), places[-1]))
         else:
             open_ones.pop()
-    return [x for x in out if id(x[0]) not in holding]
+            places.pop()
+    return {k: x for k, x in out.items() if k not in holding}
 
 
-def roots(root: Node, gone: set[int] = frozenset()) -> list[Node]:
-    """The marked articles (or else main elements) that lie in nothing unwanted or deleted (`gone`); none: empty."""
+def roots(root: Node, gone: set[int] = frozenset(), comments: bool = False) -> list[Node]:
+    """The marked articles (or else main elements) that lie in nothing unwanted or deleted (`gone`), those named as comments only if `comments`; none: empty."""
     for wanted in (lambda x: x.tag == "article", lambda x: x.tag == "main" or x.attrs.get("role", "").lower() == "main"):
         found, shut = [], None
         for node, entering in walk(root):
@@ -152,7 +178,7 @@ def roots(root: Node, gone: set[int] = frozenset()) -> list[Node]:
                 shut = None if node is shut and not entering else shut
             elif entering and id(node) in gone:
                 shut = node
-            elif entering and wanted(node) and not unwanted(node, node):
+            elif entering and wanted(node) and (not unwanted(node, node) or comments and named(node, COMMENTS)):
                 found.append(node)
                 shut = node
             elif entering and unwanted(node, None):
@@ -169,7 +195,7 @@ def subtrees(text: str | None) -> tuple[int, list[int]]:
     about = xxhash.xxh64()
     for x in roots(tree) or [x for x in tree.children if isinstance(x, Node)]:
         about.update(own[id(x)].to_bytes(8, "little"))
-    return about.intdigest(), sorted({own[id(x)] for x, _ in candidates(tree)})
+    return about.intdigest(), sorted(set(candidates(tree, own).values()))
 
 
 def main_text(text: str | None, template: frozenset[int] = frozenset()) -> tuple[str, int]:
@@ -178,8 +204,13 @@ def main_text(text: str | None, template: frozenset[int] = frozenset()) -> tuple
     gone: set[int] = set()
     if template:
         own = hashes(tree)
-        gone = {id(x) for x, _ in candidates(tree) if own[id(x)] in template}
-    marked = roots(tree, gone)
+        gone = {k for k, x in candidates(tree, own).items() if x in template}
+    # A column of comments may be an article that is named so: where nothing else is there, it is taken.
+    return "\n".join(blocks_of(tree, gone, False) or blocks_of(tree, gone, True)), len(gone)
+
+
+def blocks_of(tree: Node, gone: set[int], comments: bool) -> list[str]:
+    marked = roots(tree, gone, comments)
     blocks: list[str] = []
     line: list[str] = []
 
@@ -210,11 +241,11 @@ def main_text(text: str | None, template: frozenset[int] = frozenset()) -> tuple
                     stack.append(None)
                 stack += reversed(x.children)
         flush()
-    return "\n".join(blocks), len(gone)
+    return blocks
 
 
-def templates(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """host and subtree (its hash) of what recurs on `least_pages` pages of different content of a host."""
+def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, most_rare: int = MOST_RARE) -> DataFrame:
+    """host and subtree (its hash) of what recurs on `least_pages`, and one in `most_rare`, of a host's pages of different content."""
 
     def count(batches):
         for b in batches:
@@ -222,11 +253,17 @@ def templates(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
             for url, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 about, found = subtrees(text)
                 host = host_of(url)
-                rows += [(host, about - (1 << 63), x - (1 << 63)) for x in found]
+                rows += [(host, about - (1 << 63), None if x is None else x - (1 << 63)) for x in (None, *found)]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True) if rows else [()] * 3, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["host", "about", "subtree"])
 
     found = pages.select("url", "html").mapInArrow(W.tidied(count), "host string, about long, subtree long").distinct()
-    return found.groupBy("host", "subtree").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages).select("host", "subtree")
+    # The row without a subtree counts the host's pages.
+    counts = cut(found.groupBy("host", "subtree").agg(F.count("*").alias("pages")).where(F.col("subtree").isNull() | (F.col("pages") >= least_pages)))
+    salt = F.pmod(F.col("subtree"), F.lit(SALTS)).cast("int").alias("salt")
+    often = counts.where("subtree is not null").select("host", "subtree", "pages", salt)
+    # Only hosts of more pages than this ask for more than `least_pages`.
+    large = counts.where(F.col("subtree").isNull() & (F.col("pages") > least_pages * most_rare)).select("host", F.col("pages").alias("all_pages"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return often.join(large, ["host", "salt"], "left").where(F.col("all_pages").isNull() | (F.col("pages") * most_rare >= F.col("all_pages"))).select("host", "subtree")
 
 
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, most_sent: int = MOST_SENT) -> DataFrame:

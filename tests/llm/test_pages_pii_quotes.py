@@ -27,9 +27,16 @@ from meshwright.llm import oracles, personal_data, quotation, site_templates
         ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"),
         ("<p>1 < 2 and <3</p><p title='a>b'>q", "1 < 2 and <3\nq"),
         ("</p></div><p>x</b></i>", "x"),
-        # Names within a marked article: whole classes of containers that hold less than half of it.
+        # Names within a marked article: containers that hold less than half of it, comments of any size, prose only as adverts.
         ("<article><p class=notice>one two three</p><div class='related-work'>four</div><div class=related>no</div><p>five</article>", "one two three\nfour\nfive"),
-        ("<article><div class='share comment'>all of the text lies in here</div><p>end</article>", "all of the text lies in here\nend"),
+        ("<article><div class='share notice'>all of the text lies in here</div><p>end</article>", "all of the text lies in here\nend"),
+        ("<article><p>one<div class=comments-list><p>z z z z z z z z</div><div id=user-comments>z</div><ul class='comment-thread x'><li>z</ul><p>end</article>", "one\nend"),
+        ("<article><p>one two three four<div class='ad-slot ad-slot-2'>z</div><p class=advert>z<p class=comment>kept<p>end</article>", "one two three four\nkept\nend"),
+        ("<article class=comment><p>An opinion.</article>", "An opinion."),
+        ("<div id=story><p>Told.</div><article class=comment>z</article>", "Told."),
+        # Names elsewhere: whole ones, or made of words of place and shape.
+        ("<div class='social-history'><p>a</div><div id=share-prices>b</div><div class=relatedWork>c</div>", "a\nb\nc"),
+        ("<div class=socialBar>z</div><div class=cookie-notice>z</div><div class=site-header>z</div><div class=article-header>t</div><div id=comments2>z</div><p>x", "t\nx"),
     ],
 )
 def test_main_text(html, text):
@@ -63,16 +70,41 @@ def test_recurring_subtrees_are_deleted_per_host(spark):
     assert site_templates.extract(pages(spark, [])).count() == 0
 
 
-def plain_templates(rows, least):
-    """Host -> hashes of the subtrees on `least` pages of different content, by counting them one by one."""
-    seen = {}
+@pytest.mark.parametrize("page", ["<body><main>{}</main></body>", "<body>{}</body>", "<body><div class=story>{}</div></body>", "<article>{}</article>"])
+def test_recurring_headings_and_paragraphs_are_content(spark, page):
+    """Only recurring containers are template, not what pages happen to say alike."""
+    own = "<h2>Introduction</h2><p>Tale {0} begins.</p><p>* * *</p><p>And ends, {0}.</p><h2>References</h2><p>Thanks for reading.</p>"
+    rows = [(i, "http://x.example/", page.format(own.format(i))) for i in range(12)]
+    got = {r.page_id: (r.text, r.n_template) for r in site_templates.extract(pages(spark, rows)).collect()}
+    assert got == {i: (f"Introduction\nTale {i} begins.\n* * *\nAnd ends, {i}.\nReferences\nThanks for reading.", 0) for i in range(12)}
+
+
+def test_a_template_recurs_in_one_place_and_on_many_of_a_large_host_s_pages(spark):
+    """A box on five pages is template where the host has few pages or the box one place, but not on a host of many."""
+    box = "<div><p>As seen before.</p></div>"
+    page = lambda i, x: f"<body>{x}<p>Tale {i}.</p></body>"
+    rows = [(i, "http://few.example/", page(i, box)) for i in range(5)]
+    rows += [(100 + i, "http://many.example/", page(i, box if i < 5 else "")) for i in range(1300)]
+    rows += [(2000 + i, "http://places.example/", page(i, "<section>" * i + box + "</section>" * i)) for i in range(6)]
+    got = {r.page_id: r.text for r in site_templates.extract(pages(spark, rows)).collect()}
+    assert all(got[i] == f"Tale {i}." for i in range(5))
+    assert all(got[100 + i] == f"As seen before.\nTale {i}." for i in range(5)) and got[1000] == "Tale 900."
+    assert all(got[2000 + i] == f"As seen before.\nTale {i}." for i in range(6))
+    found = {(r.host, r.subtree) for r in site_templates.templates(pages(spark, rows)).collect()}
+    assert found == {(h, x - (1 << 63)) for h, v in plain_templates(rows, 5).items() for x in v} and {h for h, _ in found} == {"few.example"}
+
+
+def plain_templates(rows, least, rare=200):
+    """Host -> hashes of the subtrees on `least` and one in `rare` of its pages of different content, by counting them one by one."""
+    seen, all_pages = {}, {}
     for _, url, html in rows:
         about, found = site_templates.subtrees(html)
+        all_pages.setdefault(site_templates.host_of(url), set()).add(about)
         for x in found:
             seen.setdefault((site_templates.host_of(url), x), set()).add(about)
     out = {}
     for (host, x), pages_of in seen.items():
-        if len(pages_of) >= least:
+        if len(pages_of) >= max(least, len(all_pages[host]) / rare):
             out.setdefault(host, set()).add(x)
     return out
 
@@ -102,7 +134,7 @@ def test_a_template_around_the_article_goes_before_the_article_is_chosen(spark):
     box = "<div><article><h2>Subscribe to us</h2><p>Every week.</p></article></div>"
     rows = [(i, "http://x.example/", f"<body><section><p>Plain boilerplate text.</p></section><article><p>Tale {i}.</p></article></body>") for i in range(6)]
     got = site_templates.extract(pages(spark, rows)).collect()
-    assert {r.text for r in got} == {f"Tale {i}." for i in range(6)} and {r.n_template for r in got} == {2}
+    assert {r.text for r in got} == {f"Tale {i}." for i in range(6)} and {r.n_template for r in got} == {1}
     assert site_templates.main_text(box)[0] == "Subscribe to us\nEvery week."
 
 
