@@ -59,6 +59,11 @@ def _delete_at_exit(spark: SparkSession, path: str) -> None:
     files.deleteOnExit(where)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    files, where = _place(spark, path)
+    return files.exists(where)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     files, where = _place(spark, path)
     files.delete(where, True)

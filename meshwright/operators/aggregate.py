@@ -17,12 +17,15 @@ from meshwright.functions.arrays import dequantise, quantise, zeros
 from meshwright.functions.storage import cut
 from meshwright.graph import Graph
 from meshwright.layers import Aggregation
+from meshwright.operators import packed
 
 BLOCK = 64
 #: Features of at most this many bytes may be broadcast (their size is checked first).
 BROADCAST_BYTES = 64 << 20
 #: A source of more than one edge in so many is a hub.
 HUBS = 1024
+#: Features of a row that is summed as packed whole numbers.
+PACKED = 128
 STRATEGIES = ("edge", "vertex", "feature", "split", "colocated")
 
 
@@ -95,7 +98,8 @@ def aggregate(
     use_edge_weights: bool = False,
     strategy: str = "edge",
     degrees: DataFrame | None = None,
-    compress: bool = False,
+    compress: bool | str = False,
+    most_messages: int | None = None,
     heavy: DataFrame | None = None,
 ) -> DataFrame:
     """id and m of every node: its in-neighbours' h reduced, the zero vector where it has none.
@@ -112,7 +116,10 @@ def aggregate(
     the features of `heavy` sources (by default the `hubs`) and their edges to all
     partitions, so no task gets all edges of a hub; "colocated" is for graphs in that layout: features
     are joined where the edges lie. `compress` sends features to the edges as 8-bit
-    numbers with a scale for each node.
+    numbers with a scale for each node; compress="columns" has a scale for each column, so
+    that sums are of whole numbers, several to a long, no node having more than
+    `most_messages` (counted unless given). Weighted messages, maxima, rows of more than
+    PACKED features and strategies other than "edge" take the scale for each node.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}")
@@ -129,6 +136,11 @@ def aggregate(
         edges = edges.repartition("dst")
         # A row for every node, so the features needn't be computed to be counted.
         small = graph.num_nodes() * dim * 8 <= BROADCAST_BYTES
+    if compress == "columns" and strategy == "edge" and kind is not Aggregation.MAX and not (use_edge_weights and graph.has_edge_weights) and dim <= PACKED:
+        if most_messages is None:
+            most_messages = most_in(edges)
+        found = packed.reduce_packed(edges, side, kind, dim, most_messages)
+        return _finished(graph, found, norm if kind is Aggregation.GCN_NORM else None, scaled if own else None, dim)
     side = side.withColumnRenamed("id", "src")
     if compress:
         side = side.select("src", quantise(F.col("h")).alias("q"))
@@ -145,11 +157,20 @@ def aggregate(
         h = dequantise(F.col("q")) if compress else F.col("h")
         messages = messages.select("dst", (h if weight is None else F.transform(h, lambda x: x * weight)).alias("h"))
         found = reduce_by_feature(messages, "dst", kind) if strategy == "feature" else reduce_by_key(messages, "dst", dim, kind)
-    found = found.withColumnRenamed("dst", "id")
-    out = graph.nodes.select("id").join(found, "id", "left")
-    if own:
-        mine = scaled.select("id", F.col("h").alias("mine"))
+    return _finished(graph, found, norm if kind is Aggregation.GCN_NORM else None, scaled if own else None, dim)
+
+
+def most_in(edges: DataFrame) -> int:
+    """The greatest number of edges that one node gets."""
+    return edges.groupBy("dst").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def _finished(graph: Graph, found: DataFrame, norm: DataFrame | None, own: DataFrame | None, dim: int) -> DataFrame:
+    """id and m of every node from the reduced messages (dst, m), with the nodes' `own` features added and the destination's factor."""
+    out = graph.nodes.select("id").join(found.withColumnRenamed("dst", "id"), "id", "left")
+    if own is not None:
+        mine = own.select("id", F.col("h").alias("mine"))
         out = out.join(mine, "id").select("id", F.when(F.col("m").isNull(), F.col("mine")).otherwise(F.zip_with("m", "mine", lambda a, b: a + b)).alias("m"))
-    if kind is Aggregation.GCN_NORM:
+    if norm is not None:
         out = out.join(norm, "id").withColumn("m", F.transform("m", lambda x: x * F.col("inv_sqrt")))
     return out.select("id", F.coalesce("m", zeros(dim)).alias("m"))

@@ -17,20 +17,22 @@ from meshwright.functions.arrays import activate, zeros
 from meshwright.functions.storage import cut
 from meshwright.graph import Graph
 from meshwright.layers import KNOWN_LAYERS, Aggregation, EGATLayer, GNNModel, Layer
-from meshwright.operators.aggregate import aggregate, hubs, reduce_by_key
+from meshwright.operators.aggregate import aggregate, hubs, most_in, reduce_by_key
 from meshwright.operators.attention import attend
 from meshwright.operators.frontier import blocks
 from meshwright.operators.transform import linear
+from meshwright.plans import cost
 
 
 @dataclass(frozen=True)
 class SparkEngine:
-    """`strategy`: edge, vertex, feature, split (hubs' edges dealt to all tasks), colocated (for graphs in that layout), or auto (edge; Spark broadcasts what it knows to be small).
+    """`strategy`: edge, vertex, feature, split (hubs' edges dealt to all tasks), colocated (for graphs in that layout), or auto (by the cost of each, where `statistics` of the graph are given; else edge, and Spark broadcasts what it knows to be small).
 
     `order`: auto, transform_first or aggregate_first. `checkpoint_every`: cut the
     lineage after so many layers by checkpoint() into the shared folder (0: never). `validate`: look at the features' size before running.
     `compress`: features meet edges as 8-bit numbers, within half a 127th of each
-    node's greatest (attention layers excepted).
+    node's greatest (attention layers excepted), or with "columns" of each column's
+    greatest, and are summed as whole numbers.
     """
 
     model: GNNModel = GNNModel()
@@ -39,7 +41,8 @@ class SparkEngine:
     use_edge_weights: bool = False
     checkpoint_every: int = 0
     validate: bool = False
-    compress: bool = False
+    compress: bool | str = False
+    statistics: cost.Statistics | None = None
 
     supported_layers = KNOWN_LAYERS
 
@@ -89,6 +92,17 @@ class SparkEngine:
             return False
         return self.order == "transform_first" or layer.out_dim < layer.in_dim
 
+    def strategy_of(self, layer: Layer, graph: Graph) -> str:
+        """The layer's strategy: the one that was named, or the cheapest for the width of what is shuffled."""
+        if self.strategy != "auto":
+            return self.strategy
+        if self.statistics is None:
+            return "edge"
+        spark = graph.edges.sparkSession
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        machines = -(-spark.sparkContext.defaultParallelism // int(spark.conf.get("spark.executor.cores", "8")))
+        return cost.choose(self.statistics, layer.out_dim if self.transforms_first(layer) else layer.in_dim, tasks, machines)
+
     def step(self, graph: Graph, state: DataFrame, layer: Layer, norms: dict[bool | str, DataFrame]) -> DataFrame:
         if isinstance(layer, EGATLayer):
             return attend(graph, state, layer)
@@ -96,8 +110,13 @@ class SparkEngine:
         loops = kind is Aggregation.GCN_NORM and layer.self_loops
         if kind is Aggregation.GCN_NORM and loops not in norms:
             norms[loops] = graph.inv_sqrt_degrees(loops)
-        options = {"self_loops": loops, "use_edge_weights": self.use_edge_weights, "strategy": "edge" if self.strategy == "auto" else self.strategy, "degrees": norms.get(loops), "compress": self.compress}
-        if self.strategy == "split":
+        strategy = self.strategy_of(layer, graph)
+        options = {"self_loops": loops, "use_edge_weights": self.use_edge_weights, "strategy": strategy, "degrees": norms.get(loops), "compress": self.compress}
+        if self.compress == "columns":
+            if "most_in" not in norms:
+                norms["most_in"] = self.statistics.most_in if self.statistics else most_in(graph.edges)
+            options["most_messages"] = norms["most_in"] + int(loops)
+        if strategy == "split":
             if "hubs" not in norms:
                 norms["hubs"] = cut(hubs(graph.edges))
             options["heavy"] = norms["hubs"]

@@ -1,4 +1,4 @@
-"""Queries of what makes large graphs cheaper: batches of seeds, partitions, layouts, hubs. Each has SQL.
+"""Queries of what makes large graphs cheaper: seeds, partitions, layouts, hubs, batches, compression, costs. Each has SQL.
 
 The graph g5 is that of all orders and parts, with an edge in either direction for
 each part of an order: orders have even ids, parts odd ones. Nodes have three features.
@@ -11,14 +11,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshwright.catalog import MEAN, RELU, SUM, W, G, _GCN2, agg_sql, base, bias, egat, egat_sql, features, gcn_layers, graph, lin_sql, long, matrix, sql
-from meshwright.functions.storage import cut
+from meshwright.catalog import MEAN, NODES, NORM, RELU, SUM, W, G, _GCN2, agg_sql, base, bias, egat, egat_sql, features, gcn_layers, graph, lin_sql, long, matrix, sql
+from meshwright.functions.storage import cut, scratch
 from meshwright.graph import Graph
 from meshwright.layers import GCNLayer, GNNModel, GraphSAGELayer
-from meshwright.operators import frontier, partition
-from meshwright.operators.aggregate import aggregate
+from meshwright.operators import batches, frontier, packed, partition
+from meshwright.operators.aggregate import BROADCAST_BYTES, HUBS, aggregate
+from meshwright.plans import cost
 from meshwright.plans.engine import SparkEngine
-from meshwright.sources import layout
+from meshwright.sources import clustered, layout
 
 _registry: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
 
@@ -218,6 +219,116 @@ def gcn_hub_source(s: SparkSession, d: str) -> DataFrame:
     return long(SparkEngine(GNNModel(gcn_layers()), strategy="split").run(g, g.nodes))
 
 
+# --- batches of destinations, point reads
+
+_BUDGET = 1 << 20
+_EACH5 = 8 * WIDTH + batches.MESSAGE
+_RANGES5 = f"with nodes as ({_NODES5}), e as ({_E5}), d as (select id, count(dst) as degree from nodes left join e on dst = id group by id), b as (select id, degree, coalesce(sum(degree * {_EACH5}) over (order by id rows between unbounded preceding and 1 preceding), 0) as before from d)"
+
+
+@query(
+    "batch_ranges",
+    f"{_RANGES5} select min(id) as first, max(id) as last, count(*) as nodes, cast(sum(degree) as bigint) as messages, cast(sum(degree) * {_EACH5} as bigint) as message_bytes from b group by before // {_BUDGET // 2}, degree * {_EACH5} > {_BUDGET - _BUDGET // 2}",
+)
+def batch_ranges(s: SparkSession, d: str) -> DataFrame:
+    """Ranges of orders and parts whose messages take a megabyte at most."""
+    return batches.ranges(orders_and_parts(s, d), WIDTH, _BUDGET)
+
+
+def _batched(kind, loops: bool) -> Callable[[SparkSession, str], DataFrame]:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        g = orders_and_parts(s, d)
+        whole = g.nodes.select("id", F.expr("transform(h, x -> floor(x * 262144) / 262144D)").alias("h"))
+        g = Graph(cut(whole), cut(g.edges), g.directed)
+        budget = max(1, g.edges.count() * _EACH5 // 2)  # some four ranges, at every size
+        return long(batches.aggregate_in_batches(g, g.nodes, kind, WIDTH, budget, scratch(s, "ranges"), self_loops=loops), "m")
+
+    return run
+
+
+# Features of few binary digits, so that sums are exact in any order.
+_WHOLE5 = {**_BASE5, "x": f"select id, k, floor(x * 262144) / cast(262144 as double) as x from ({_X5})"}
+query("batched_mean", sql({**_WHOLE5, "m": agg_sql("avg", "x", WIDTH)}, "m"))(_batched(MEAN, False))
+query("batched_gcn_norm", sql({**_WHOLE5, "m": agg_sql("norm", "x", WIDTH, True)}, "m"))(_batched(NORM, True))
+
+
+@query("clustered_in_edges", f"select row_number() over (order by dst, src) - 1 as edge_id, src, dst from ({G('g1')})")
+def clustered_in_edges(s: SparkSession, d: str) -> DataFrame:
+    """All edges, numbered, from files by destination."""
+    folder = scratch(s, "clustered")
+    clustered.write(graph(s, d, "g1"), folder)
+    return clustered.Clustered.open(s, folder).graph.edges.select("edge_id", "src", "dst")
+
+
+# --- compression by columns
+
+_Q64 = f"select id, k, round(x / s) * s as x from (select *, case when t > 0 then t / {packed.LEVELS} else cast(1 as double) end as s from (select *, max(abs(x)) over (partition by k) as t from (select id, k, x from x)))"
+
+
+def _columns(name: str, kind, loops: bool = False):
+    def run(s: SparkSession, d: str) -> DataFrame:
+        g = graph(s, d, name)
+        return long(aggregate(g, g.nodes, kind, 64, self_loops=loops, compress="columns"), "m")
+
+    return run
+
+
+query("agg_sum_columns", sql({**base("g1"), "y": _Q64, "m": agg_sql("sum", "y", 64)}, "m"))(_columns("g1", SUM))
+query("agg_mean_columns", sql({**base("g1"), "y": _Q64, "m": agg_sql("avg", "y", 64)}, "m"))(_columns("g1", MEAN))
+
+
+@query("columns_error", f"with x as (select vec_id as id, cast(unnest(range(64)) as bigint) as k, cast(unnest(embedding) as double) as x from embeddings), y as ({_Q64}) select x.k, round(max(abs(x.x - y.x)), 9) + cast(0 as double) as error, round(max(abs(x.x)) / {2 * packed.LEVELS}, 9) + cast(0 as double) as bound from x join y on x.id = y.id and x.k = y.k group by x.k")
+def columns_error(s: SparkSession, d: str) -> DataFrame:
+    """The greatest error of each compressed column, and its bound."""
+    x = features(s, d)
+    of = packed.scales(x, 64)
+    sums = packed.pack(x, of, 21)
+    back = packed.unpack([F.col("p")[j] for j in range(22)], of, 21)
+    both = x.join(sums, "id").select(F.posexplode(F.arrays_zip("h", F.array(*back).alias("b"))).alias("k", "z"))
+    found = both.groupBy(F.col("k").cast("long").alias("k")).agg(F.max(F.abs(F.col("z.h") - F.col("z.b"))).alias("error"), (F.max(F.abs("z.h")) / (2 * packed.LEVELS)).alias("bound"))
+    return found.select("k", *((F.round(c, 9) + F.lit(0.0)).alias(c) for c in ("error", "bound")))
+
+
+# --- costs
+
+_TASKS, _MACHINES = 200, 25
+
+
+def _cost_sql(name: str, nodes: str, edges: str, width: int) -> str:
+    row, t = cost.row_bytes(width), _TASKS
+    counts = f"(select count(*) as n from ({nodes})) n, (select sum(d) as e, max(d) as i from (select count(*) as d from ({edges}) group by dst)) i, (select max(d) as o, count(*) filter (where d * {HUBS} > all_edges) as h from (select count(*) as d, sum(count(*)) over () as all_edges from ({edges}) group by src)) o"
+    sums = f"least(e, n * {t}) * {row}"
+    formulas = {
+        "edge": f"n * {row} + e * {cost.EDGE} + greatest(e, o * {t}) * {row} + {sums}",
+        "vertex": f"e * {cost.EDGE} + n * {row * _MACHINES} + greatest(e, i * {t}) * {row}",
+        "split": f"n * {row} + 2 * e * {cost.EDGE} + h * {t * row} + e * {row} + {sums}",
+    }
+    rows = " union all ".join(f"select {r} as r, '{k}' as strategy, cast({f} as bigint) as cost from {counts}" + (f" where n * {width * 8} <= {BROADCAST_BYTES}" if k == "vertex" else "") for r, (k, f) in enumerate(formulas.items()))
+    return f"select '{name}' as graph, cast({width} as bigint) as width, strategy, cost, row_number() over (order by cost, r) = 1 as chosen from ({rows})"
+
+
+_NATIONS = "select n_nationkey as id from nation"
+_COSTED = [("g1", NODES, G("g1"), 64), ("g1", NODES, G("g1"), 16), ("g2", NODES, G("g2"), 64), ("g4", _NATIONS, G("g4"), 64), ("g5", _NODES5, _E5, WIDTH), ("hub", NODES, _HUB, 64)]
+
+
+@query("strategy_costs", " union all ".join(f"({_cost_sql(*x)})" for x in _COSTED))
+def strategy_costs(s: SparkSession, d: str) -> DataFrame:
+    """What each strategy would cost on a cluster of 25 machines, and which is chosen."""
+    made = {"g5": orders_and_parts, "hub": hub_graph}
+    known = {name: cost.Statistics.of(made[name](s, d) if name in made else graph(s, d, name)) for name in dict.fromkeys(x[0] for x in _COSTED)}
+    rows = []
+    for name, _, _, width in _COSTED:
+        best = cost.choose(known[name], width, _TASKS, _MACHINES)
+        rows += [(name, width, k, v, k == best) for k, v in cost.costs(known[name], width, _TASKS, _MACHINES).items()]
+    return s.createDataFrame(rows, "graph string, width long, strategy string, cost long, chosen boolean")
+
+
+@query("sage_auto", sql(SAGE5, "z"))
+def sage_auto(s: SparkSession, d: str) -> DataFrame:
+    g = orders_and_parts(s, d)
+    return long(SparkEngine(sage5(), statistics=cost.Statistics.of(g)).run(g, g.nodes))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: q for k, (q, _) in _registry.items()}
 
