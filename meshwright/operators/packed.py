@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshwright.functions.arrays import zeros
+from meshwright.functions.storage import cut
 from meshwright.layers import Aggregation
 
 LEVELS = 127
@@ -37,7 +38,8 @@ def scales(features: DataFrame, dim: int) -> list[float]:
 def pack(features: DataFrame, of: list[float], bits: int) -> DataFrame:
     """id and p: the features as whole numbers of scales, in longs."""
     lanes = 64 // bits
-    whole = [F.round(F.col("h")[k] / F.lit(x)).cast("long") for k, x in enumerate(of)]
+    # Not round(), which goes through decimals.
+    whole = [F.floor(F.col("h")[k] / F.lit(x) + F.lit(0.5)).cast("long") for k, x in enumerate(of)]
     longs = []
     for at in range(0, len(whole), lanes):
         together = whole[at]
@@ -63,6 +65,8 @@ def unpack(sums: list[Column], of: list[float], bits: int) -> list[Column]:
 
 def reduce_packed(edges: DataFrame, features: DataFrame, kind: Aggregation, dim: int, most_messages: int) -> DataFrame:
     """dst and m: the sums or means of the sources' features (id, h), which no node gets more than `most_messages` of."""
+    # Read twice, for the scales and for the packing.
+    features = cut(features)
     of, bits = scales(features, dim), bits_for(most_messages)
     messages = edges.select("src", "dst").join(pack(features, of, bits).withColumnRenamed("id", "src"), "src")
     n = -(-dim // (64 // bits))

@@ -262,7 +262,7 @@ def clustered_in_edges(s: SparkSession, d: str) -> DataFrame:
 
 # --- compression by columns
 
-_Q64 = f"select id, k, round(x / s) * s as x from (select *, case when t > 0 then t / {packed.LEVELS} else cast(1 as double) end as s from (select *, max(abs(x)) over (partition by k) as t from (select id, k, x from x)))"
+_Q64 = f"select id, k, floor(x / s + 0.5) * s as x from (select *, case when t > 0 then t / {packed.LEVELS} else cast(1 as double) end as s from (select *, max(abs(x)) over (partition by k) as t from (select id, k, x from x)))"
 
 
 def _columns(name: str, kind, loops: bool = False):
