@@ -6,10 +6,11 @@ differencing: partial partitions lie in a heap by the spread of their sums, the
 two of the largest spread are merged with opposing order (the fullest window of
 one with the emptiest of the other) until one partition is left. k starts at the
 least number that could hold the block and rises whenever the capacity is
-exceeded, as long as the windows' padding stays within SLACK of the ids. What
-exceeds the capacity then is little, as the windows are nearly equal: it is cut
-off pieces of the windows that are too full and put into those that have room.
-So most documents stay whole, and a window has about one cut piece at most.
+exceeded, until no window exceeds it. The windows are nearly equal then and all
+have a little room, some 5 % of the ids together. Of windows beyond those that
+SLACK allows, the ones of fewest pieces are taken apart, and their pieces fill
+that room, cut where they don't fit whole. So all other documents stay whole, as
+differencing put them, and a sequence has about one cut piece.
 
 A block is a run of rows of one input partition, so nothing is shuffled and a
 task holds one block at a time; sequence ids carry the partition's number.
@@ -36,7 +37,7 @@ from meshwright.llm import words as W
 CAPACITY = 2048
 #: Pieces that make a block.
 BLOCK = 1024
-#: Padding, as a part of the ids, up to which more windows are taken rather than pieces cut.
+#: Padding, as a part of the ids, up to which windows are left as they are; beyond it some are taken apart to fill the others.
 SLACK = 0.005
 COLUMNS = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -83,46 +84,39 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return out
 
 
+def fitting(sizes: list[int], capacity: int) -> list[list[int]]:
+    """Windows by differencing, none over the capacity: their number rises whenever one is."""
+    k = max(1, -(-sum(sizes) // capacity))
+    while True:
+        found = differencing(sizes, k)
+        over = [n - capacity for n in (sum(sizes[i] for i in x) for x in found) if n > capacity]
+        if not over:
+            return found
+        # What the excess would fill, or a window for eight that exceed: few rounds even where hardly any two pieces fit together.
+        k += max(-(-sum(over) // capacity), len(over) // 8, 1)
+
+
 def windows(sizes: list[int], capacity: int, slack: float = SLACK) -> list[list[tuple[int, int, int]]]:
     """Near-equal windows of at most `capacity`: (position in `sizes`, start, length) of each part in them; no size exceeds the capacity."""
     total = sum(sizes)
-    k = max(1, -(-total // capacity))
-    most = max(k, int(total * (1 + slack)) // capacity)
-    while True:
-        found = differencing(sizes, k)
-        over = sum(max(0, sum(sizes[i] for i in x) - capacity) for x in found)
-        if not over or k == most:
-            return level(found, sizes, capacity)
-        k = min(most, k + -(-over // capacity))  # as many as the excess would fill, one at least
-
-
-def level(found: list[list[int]], sizes: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
-    """The windows with what exceeds the capacity cut off and put where there is room; all sizes together fit."""
-    out, loose, room = [], [], []
-    for members in found:
-        parts = sorted(((sizes[i], i) for i in members), reverse=True)
-        over = sum(n for n, _ in parts) - capacity
-        while over > 0:
-            fits = [x for x in parts if x[0] <= over]
-            if fits:  # a whole piece goes rather than a part of a larger one
-                parts.remove(fits[0])
-                loose.append((fits[0][0], fits[0][1], 0))
-                over -= fits[0][0]
-            else:
-                n, i = parts[0]
-                parts[0] = (n - over, i)
-                loose.append((over, i, n - over))
-                over = 0
-        if over < 0:
-            room.append((over, len(out)))
-        out.append([(i, 0, n) for n, i in sorted(parts, key=lambda x: x[1])])
+    most = max(1, -(-total // capacity), int(total * (1 + slack)) // capacity)
+    found = sorted(fitting(sizes, capacity), key=lambda x: (-len(x), -sum(sizes[i] for i in x)))
+    return fill(found[:most], [i for x in found[most:] for i in x], sizes, capacity)
+
+
+def fill(found: list[list[int]], loose: list[int], sizes: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
+    """The windows with the pieces `loose`, longest first, put where there is most room, and cut there; all together fit."""
+    out = [[(i, 0, sizes[i]) for i in x] for x in found]
+    room = [(sum(sizes[i] for i in x) - capacity, k) for k, x in enumerate(found)]
     heapq.heapify(room)
-    for n, i, at in sorted(loose, reverse=True):
-        while n:
+    for n, i in sorted(((sizes[i], i) for i in loose), reverse=True):
+        at = 0
+        while at < n:
             free, k = heapq.heappop(room)
-            part = min(n, -free)
-            out[k].append((i, at, part))
-            n, at = n - part, at + part
+            part = min(n - at, -free)
+            if part:
+                out[k].append((i, at, part))
+            at += part
             if free + part < 0:
                 heapq.heappush(room, (free + part, k))
     return out

@@ -148,6 +148,25 @@ def test_windows_hold_all_parts_and_cut_few():
         assert len(found) * 2048 - sum(sizes) <= 2048 + packing.SLACK * sum(sizes)
 
 
+def test_differencing_makes_nearly_all_windows():
+    rng = random.Random(8)
+    sizes = [min(2048, int(rng.lognormvariate(6.3, 0.8)) + 1) for _ in range(3000)]
+    fit = packing.fitting(sizes, 2048)
+    assert all(sum(sizes[i] for i in x) <= 2048 for x in fit)
+    found = packing.windows(sizes, 2048)
+    # Windows taken apart, documents cut and padding are all few, and the other windows still hold what they held, and little else.
+    assert len(fit) - len(found) <= 0.06 * len(fit) and len(found) * 2048 <= 1.01 * sum(sizes)
+    assert sum(n > 1 for n in Counter(i for x in found for i, _, _ in x).values()) <= 0.05 * len(sizes)
+    whole = {frozenset(i for i, at, n in x if n == sizes[i]) for x in found}
+    assert sum(frozenset(x) in whole for x in fit) >= 0.94 * len(fit)
+
+
+def test_hardly_any_two_pieces_fit_together():
+    for size, n in ((1100, 500), (2048, 300), (700, 500)):
+        found = packing.windows([size] * n, 2048)
+        assert sum(m for x in found for _, _, m in x) == size * n and len(found) <= 1 + 1.005 * size * n / 2048
+
+
 def test_pack_covers_every_id_once(docs, library):
     rng = random.Random(5)
     pairs = [(i, " ".join(rng.choice(["alpha", "Beta!", "x1"]) for _ in range(rng.choice([0, 1, 30, 700, 5000])))) for i in range(40)] + [(None, "no id"), (99, None), (7, "again")]
