@@ -53,6 +53,21 @@ class SparkEngine:
         (edge_id, efeat) go before those that the graph holds. With seeds, each
         layer takes just the nodes and edges that they need of it.
         """
+        graph, state = self.prepared(graph, features, edge_features)
+        if seeds is not None:
+            return self._run_seeds(graph, state, seeds)
+        norms: dict[bool | str, DataFrame] = {}
+        for i, layer in enumerate(self.model.layers):
+            state = self.step(graph, state, layer, norms)
+            if self.checkpoint_every and (i + 1) % self.checkpoint_every == 0 and i + 1 < len(self.model):
+                state = cut(state)
+        return state
+
+    def with_model(self, model: GNNModel) -> SparkEngine:
+        return replace(self, model=model)
+
+    def prepared(self, graph: Graph, features: DataFrame, edge_features: DataFrame | None = None) -> tuple[Graph, DataFrame]:
+        """The graph with the edge features, and the state (id, h) before the first layer, both checked against the model."""
         if edge_features is not None:
             graph = replace(graph, edges=graph.with_edge_ids().edges.drop("efeat").join(edge_features.select("edge_id", "efeat"), "edge_id"))
         if self.model.needs_edge_features and not graph.has_edge_features:
@@ -62,14 +77,7 @@ class SparkEngine:
             bad = state.agg(F.min(F.size("h")), F.max(F.size("h")), F.count("*")).first()
             if tuple(bad) != (self.model.input_dim, self.model.input_dim, graph.num_nodes()):
                 raise ValueError("node features must have a row for every node and the model's input dimension")
-        if seeds is not None:
-            return self._run_seeds(graph, state, seeds)
-        norms: dict[bool | str, DataFrame] = {}
-        for i, layer in enumerate(self.model.layers):
-            state = self.step(graph, state, layer, norms)
-            if self.checkpoint_every and (i + 1) % self.checkpoint_every == 0 and i + 1 < len(self.model):
-                state = cut(state)
-        return state
+        return graph, state
 
     def _run_seeds(self, graph: Graph, state: DataFrame, seeds: DataFrame) -> DataFrame:
         parts = blocks(graph, seeds, len(self.model))

@@ -17,7 +17,7 @@ from meshwright.graph import Graph
 from meshwright.layers import GCNLayer, GNNModel, GraphSAGELayer
 from meshwright.operators import batches, frontier, packed, partition
 from meshwright.operators.aggregate import BROADCAST_BYTES, HUBS, aggregate
-from meshwright.plans import cost
+from meshwright.plans import cost, stages
 from meshwright.plans.engine import SparkEngine
 from meshwright.sources import clustered, layout
 
@@ -329,6 +329,37 @@ def sage_auto(s: SparkSession, d: str) -> DataFrame:
     return long(SparkEngine(sage5(), statistics=cost.Statistics.of(g)).run(g, g.nodes))
 
 
+# --- layer by layer
+
+
+@query("staged_sage", sql(SAGE5, "z"))
+def staged_sage(s: SparkSession, d: str) -> DataFrame:
+    """Two layers, the first one's rows written and deleted when the second one's are there."""
+    g = orders_and_parts(s, d)
+    return long(stages.run_in_stages(SparkEngine(sage5()), g, g.nodes).result)
+
+
+_WIDTHS, _DEPTHS = (4, 16), (1, 2)
+
+
+@query(
+    "layer_sweep",
+    " union all ".join(f"select '{name}' as graph, w as width, d as depth, l as layer, (select count(*) from ({nodes})) as nodes, (select count(*) from ({edges})) as edges, true as measured from (values (4::bigint), (16::bigint)) a(w), (values (1::bigint), (2::bigint)) b(d), range(2) c(l) where l < d" for name, nodes, edges in (("g1", NODES, G("g1")), ("g5", _NODES5, _E5))),
+)
+def layer_sweep(s: SparkSession, d: str) -> DataFrame:
+    """A row for each layer of models of two widths and depths over two graphs; what was measured is reduced to whether it makes sense."""
+    graphs = {"g1": graph(s, d, "g1"), "g5": orders_and_parts(s, d)}
+    found = stages.sweep_models(
+        scratch(s, "sweep"),
+        {k: Graph.from_edges(cut(g.edges.select("src", "dst")), cut(g.nodes.select("id"))) for k, g in graphs.items()},
+        {"sage": lambda a, b: GraphSAGELayer(matrix(a, b, 0), None, bias(b), MEAN, RELU)},
+        _WIDTHS,
+        _DEPTHS,
+    )
+    sane = (F.col("tasks") > 0) & (F.col("failed_tasks") == 0) & (F.col("task_seconds") > 0) & (F.col("peak_task_mb") > 0) & (F.col("skew") >= 1) & (F.col("nodes_per_s") > 0) & (F.col("edges_per_s") > 0)
+    return found.select("graph", "width", "depth", "layer", "nodes", "edges", sane.alias("measured"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: q for k, (q, _) in _registry.items()}
 
