@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwright.functions.arrays import activate, argmax, softmax
+from meshwright.functions.storage import written
 from meshwright.layers import Activation
 from meshwright.matrix import DenseMatrix
 
 #: Weights of at most this many numbers are sent to all tasks; the layers' shapes are known beforehand.
 MOST_WEIGHTS = 8 << 20
+#: Blocks of either end of scored pairs, at least, and nodes of one at most: what a task holds in memory.
+BLOCKS, BLOCK_NODES = 16, 65536
 
 
 def weight_rows(df: DataFrame, parts: list[tuple[str, DenseMatrix]]) -> DataFrame:
@@ -84,9 +90,46 @@ def accuracy(predicted: DataFrame, truth: DataFrame, split: str | None = None) -
 
 
 def link_scores(pairs: DataFrame, features: DataFrame) -> DataFrame:
-    """src, dst and score: the product of both ends' features."""
+    """src, dst and score: the product of both ends' features.
+
+    Pairs are written and counted first. Where there are many, ends are dealt to blocks and
+    pairs to tiles, a block of sources by one of destinations; each tile gets copies
+    of its two blocks' features, so none is shuffled or sorted once a pair.
+    """
+    pairs = written(pairs.select("src", "dst"), "pairs")
     a = features.select(F.col("id").alias("src"), F.col("h").alias("x"))
     b = features.select(F.col("id").alias("dst"), F.col("h").alias("y"))
-    dot = F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    return pairs.join(a, "src").join(b, "dst").select("src", "dst", dot.alias("score"))
+    nodes = features.count()
+    blocks = max(BLOCKS, -(-nodes // BLOCK_NODES))
+    if pairs.count() <= 2 * blocks * nodes:
+        return _scores(pairs, a, b)
+    with _dealt_by_tile(pairs.sparkSession):
+        return written(_scores(*_in_tiles(pairs, a, b, blocks), "tile"), "scores")
+
 
+def _scores(pairs: DataFrame, a: DataFrame, b: DataFrame, *more: str) -> DataFrame:
+    dot = F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    return pairs.join(a, [*more, "src"]).join(b, [*more, "dst"]).select("src", "dst", dot.alias("score"))
+
+
+def _in_tiles(pairs: DataFrame, a: DataFrame, b: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The pairs, and a copy of each end's features for every tile in its block's row or column, dealt by tile."""
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    pairs = pairs.withColumn("tile", block("src") * blocks + block("dst"))
+    a = a.withColumn("other", each).withColumn("tile", block("src") * blocks + F.col("other")).drop("other")
+    b = b.withColumn("other", each).withColumn("tile", F.col("other") * blocks + block("dst")).drop("other")
+    return pairs.repartition(tasks, "tile"), *(x.repartition(tasks, "tile").hint("shuffle_hash") for x in (a, b))
+
+
+@contextmanager
+def _dealt_by_tile(spark: SparkSession) -> Iterator[None]:
+    """Joins by tile and id take both sides as they were dealt, by tile alone."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from meshwright.functions.arrays import argmax, dequantise, quantise, softmax
 from meshwright.graph import Graph, InNeighbourGraph
@@ -166,3 +167,22 @@ def test_verify_profile_sweep(spark, x, tmp_path):
     assert profile(lambda: x, 4, 5).nodes_per_s > 0
     rows = sweep(str(tmp_path / "s.csv"), {"n": [1, 2]}, lambda n: profile(lambda: x, n, n), repeat=2)
     assert len(rows) == 4 and len((tmp_path / "s.csv").read_text().splitlines()) == 5
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_no_feature_is_shuffled_once_a_pair(spark, monkeypatch, blocks):
+    """Many pairs are scored in tiles: features travel once a block, and the scores are the plain join's."""
+    monkeypatch.setattr(transform, "BLOCKS", blocks)
+    n = 40
+    features = spark.range(n).select("id", F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k: (F.col("id") * k % 7 - 3) / 8).alias("h"))
+    pairs = spark.range(n * n).select((F.col("id") % n).alias("src"), F.expr(f"id div {n}").alias("dst")).unionByName(spark.createDataFrame([(3, 4), (3, 4), (3, 999)], "src long, dst long"))
+    a, b = features.toDF("src", "x"), features.toDF("dst", "y")
+    want = sorted(tuple(r) for r in transform._scores(pairs, a, b).collect())
+    before = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    found = transform.link_scores(pairs, features)
+    assert sorted(tuple(r) for r in found.collect()) == want and len(want) == n * n + 2
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == before
+    with transform._dealt_by_tile(spark):
+        plan = transform._scores(*transform._in_tiles(pairs, a, b, blocks), "tile")._jdf.queryExecution().executedPlan().toString()
+    # One exchange for the pairs and one for either end, none between the joins.
+    assert plan.count("Exchange hashpartitioning") == 3
