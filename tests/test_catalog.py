@@ -43,3 +43,12 @@ def test_no_python_in_plans(spark):
     for name, query in QUERIES.items():
         plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan, name
+
+
+def test_a_sweep_makes_its_graph_once(spark, monkeypatch):
+    """Its runs read what was written of the graph, not the tables again."""
+    seen = []
+    real = api_queries.aggregate
+    monkeypatch.setattr(api_queries, "aggregate", lambda g, *x, **k: seen.append(g.edges._jdf.queryExecution().executedPlan().toString()) or real(g, *x, **k))
+    assert api_queries.sweep_file(spark, "/root/testdata/sf0.001").count() == 12
+    assert len(seen) == 12 and not any("FileScan" in x for x in seen)
