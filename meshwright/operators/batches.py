@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwright.functions.ordering import running_sum
-from meshwright.functions.storage import exists
+from meshwright.functions.storage import exists, written
 from meshwright.graph import Graph
 from meshwright.layers import Aggregation
 from meshwright.operators.aggregate import aggregate
@@ -52,7 +52,8 @@ def aggregate_in_batches(graph: Graph, features: DataFrame, kind: Aggregation, d
     if len(cuts) > MOST_RANGES:
         raise ValueError(f"the budget makes more than {MOST_RANGES} ranges")
     if kind is Aggregation.GCN_NORM and options.get("degrees") is None:
-        options["degrees"] = graph.inv_sqrt_degrees(options.get("self_loops", False))
+        # Counted once, not for each range.
+        options["degrees"] = written(graph.inv_sqrt_degrees(options.get("self_loops", False)), "degrees")
     paths = []
     for first, last in cuts:
         path = f"{folder.rstrip('/')}/range-{first}-{last}"

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwright.catalog import MEAN, NODES, NORM, RELU, SUM, W, G, _GCN2, agg_sql, base, bias, egat, egat_sql, features, gcn_layers, graph, lin_sql, long, matrix, sql
-from meshwright.functions.storage import cut, scratch
+from meshwright.functions.storage import cut, scratch, written
 from meshwright.graph import Graph
 from meshwright.layers import GCNLayer, GNNModel, GraphSAGELayer
 from meshwright.operators import batches, frontier, packed, partition
@@ -37,11 +37,16 @@ def query(name: str, text: str):
 # --- g5
 
 WIDTH, MIDDLE, LAST = 3, 8, 4
+#: Line items of which a task finds the distinct pairs.
+ITEMS = 1 << 18
 
 
 def orders_and_parts(s: SparkSession, d: str) -> Graph:
+    """Its pairs are found once, a bounded number to a task, and read from files by all passes over the edges."""
     table = lambda name: s.read.parquet(f"{d}/{name}.parquet")
-    pairs = table("lineitem").select((F.col("l_orderkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst")).distinct()
+    items = table("lineitem")
+    pairs = items.select((F.col("l_orderkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"))
+    pairs = written(pairs.repartition(-(-items.count() // ITEMS) or 1, "src").distinct().sortWithinPartitions("src", "dst"), "pairs")
     orders = table("orders").select((F.col("o_orderkey") * 2).alias("id"), F.array(F.col("o_totalprice") / 262144, F.lit(1.0), F.lit(0.0)).alias("h"))
     parts = table("part").select((F.col("p_partkey") * 2 + 1).alias("id"), F.array(F.col("p_retailprice") / 1024, F.lit(0.0), F.lit(1.0)).alias("h"))
     return Graph.undirected(pairs, orders.unionByName(parts))

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from meshwright import scale_queries
 from meshwright.catalog import gcn_layers, sage_layers
 from meshwright.graph import Graph
 from meshwright.layers import Aggregation, GNNModel
@@ -184,3 +185,20 @@ def test_auto_takes_the_cheapest_for_each_layer(spark):
         assert engine.strategy_of(layer, g) == cost.choose(s, layer.out_dim if engine.transforms_first(layer) else layer.in_dim, tasks, machines)
         assert SparkEngine(model).strategy_of(layer, g) == "edge" and SparkEngine(model, strategy="split", statistics=s).strategy_of(layer, g) == "split"
     assert_near(by_id(engine.run(g, g.nodes), "h"), by_id(SparkEngine(model).run(g, g.nodes), "h"))
+
+
+def test_pairs_are_found_once_and_read_from_files(spark):
+    """Passes over the graph of orders and parts don't find its distinct pairs again."""
+    g = scale_queries.orders_and_parts(spark, "/root/testdata/sf0.001")
+    plan = g.edges._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan and "lineitem" not in plan
+    items = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_orderkey", "l_partkey").distinct().count()
+    assert g.num_edges() == items and g.edges.distinct().count() == g.edges.count() == 2 * items
+
+
+def test_degrees_are_counted_once_for_all_ranges(spark, tmp_path, monkeypatch):
+    g, seen = made(spark), []
+    real = batches.aggregate
+    monkeypatch.setattr(batches, "aggregate", lambda *x, **k: seen.append(k["degrees"]._jdf.queryExecution().executedPlan().toString()) or real(*x, **k))
+    batches.aggregate_in_batches(g, g.nodes, Aggregation.GCN_NORM, 5, 56 * 150, str(tmp_path / "ranges"), self_loops=True)
+    assert len(seen) > 2 and not any("Exchange" in x for x in seen)
