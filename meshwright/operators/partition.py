@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshwright.functions.ordering import position
-from meshwright.functions.storage import cut
+from meshwright.functions.storage import cut, written
 from meshwright.graph import Graph
 
 #: Fixed values of the hash: a prime and three factors below it.
@@ -60,9 +60,11 @@ def dealt(work: DataFrame, parts: int) -> DataFrame:
 
 
 def _neighbours(graph: Graph) -> DataFrame:
-    """id and other: each edge from both of its ends, loops aside."""
+    """id, other and n: each edge from both of its ends, loops aside; of an undirected graph, whose edges come in both directions, each from one end for two."""
     e = graph.edges.where("src <> dst")
-    return e.select(F.col("src").alias("id"), F.col("dst").alias("other")).unionByName(e.select(F.col("dst").alias("id"), F.col("src").alias("other")))
+    n = F.lit(1 if graph.directed else 2).cast("long").alias("n")
+    ends = e.select(F.col("src").alias("id"), F.col("dst").alias("other"), n)
+    return ends.unionByName(e.select(F.col("dst").alias("id"), F.col("src").alias("other"), n)) if graph.directed else ends
 
 
 def _sent(df: DataFrame, size: int) -> DataFrame:
@@ -72,7 +74,7 @@ def _sent(df: DataFrame, size: int) -> DataFrame:
 def step(labels: DataFrame, neighbours: DataFrame, parts: int, capacity: int, round_: int, nodes: int) -> DataFrame:
     """`labels` (id, work, part) after one round; `nodes` is their number."""
     there = labels.select(F.col("id").alias("other"), "part")
-    votes = neighbours.join(_sent(there, nodes), "other").groupBy("id", "part").agg(F.count("*").alias("n"))
+    votes = neighbours.join(_sent(there, nodes), "other").select("id", "part", "n")
     # A node's own part is among its votes, if with none.
     own = labels.select("id", "part", F.lit(0).cast("long").alias("n"))
     votes = votes.unionByName(own).groupBy("id", "part").agg(F.sum("n").alias("n"))
@@ -96,7 +98,7 @@ def partition(graph: Graph, parts: int, rounds: int = 4, slack: int = 5) -> Data
     labels = cut(dealt(loads(graph), parts))
     total = labels.agg(F.sum("work"), F.count("*")).first()
     capacity = (total[0] or 0) * (100 + slack) // (100 * parts)
-    neighbours = cut(_neighbours(graph))
+    neighbours = written(_neighbours(graph), "neighbours")
     for round_ in range(1, rounds + 1):
         labels = cut(step(labels, neighbours, parts, capacity, round_, total[1]))
     return labels.select("id", "part")

@@ -123,6 +123,16 @@ def test_a_hub_and_loops_and_equal_edges(spark, monkeypatch, sent):
         partition.partition(g, 0)
 
 
+def test_an_undirected_graph_s_edges_vote_once_for_both_ends(spark):
+    """Half the rows, and the parts that the same edges give as directed ones."""
+    g = clustered(spark)
+    pairs = g.edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    both = Graph.undirected(pairs, g.nodes)
+    assert partition._neighbours(both).count() == both.edges.where("src <> dst").count()
+    as_directed = Graph(both.nodes, both.edges)
+    assert sorted(partition.partition(both, 6).collect()) == sorted(partition.partition(as_directed, 6).collect())
+
+
 def test_partition_of_an_empty_graph(spark):
     g = Graph.from_edges(spark.createDataFrame([], "src long, dst long"))
     assert partition.partition(g, 3).count() == 0
