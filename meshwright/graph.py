@@ -20,6 +20,7 @@ from meshwright.functions.ordering import position, running_sum
 # The messages of invalid arrays.
 BAD_COL_PTR = "colPtr size must be equal to numNodes + 1"
 BAD_WEIGHTS = "weights size must match rowInd size"
+BAD_ROW_IND = "rowInd is shorter than colPtr says"
 BAD_EDGE_FEATURES = "edgeFeatures rows must match rowInd size"
 
 #: Edge ids of a column that one row writes out.
@@ -89,11 +90,16 @@ class Graph:
 
     @classmethod
     def from_csc_table(cls, table: DataFrame) -> Graph:
-        """From one row of arrays (num_nodes, num_edges, col_ptr, row_ind, weights), for graphs that fit one; else `from_csc_tables`."""
-        spans = table.select("row_ind", "weights", F.expr("posexplode(transform(slice(col_ptr, 1, size(col_ptr) - 1), (b, i) -> named_struct('b', b, 'e', col_ptr[i + 1])))").alias("dst", "span"))
-        # sequence(5, 4) counts down, so empty columns need the guard.
-        each = spans.select("*", F.explode(F.expr("CASE WHEN span.e > span.b THEN sequence(span.b, span.e - 1) ELSE array() END")).alias("edge_id"))
-        edges = each.select("edge_id", F.expr("row_ind[CAST(edge_id AS int)]").alias("src"), F.col("dst").cast("long"), F.expr("CASE WHEN size(weights) > 0 THEN weights[CAST(edge_id AS int)] END").alias("weight"))
+        """From one row of arrays (num_nodes, num_edges, col_ptr, row_ind, weights), for graphs that fit one; else `from_csc_tables`.
+
+        Each array is written out once, and no row carries one on.
+        """
+        col_ptr = table.select(F.posexplode("col_ptr").alias("position", "value"))
+        bad = F.when(F.element_at("col_ptr", -1) > F.size("row_ind"), BAD_ROW_IND).when((F.size("weights") > 0) & (F.size("weights") != F.size("row_ind")), BAD_WEIGHTS)
+        both = F.arrays_zip(F.col("row_ind").alias("src"), F.coalesce("weights", F.expr("CAST(array() AS array<float>)")).alias("weight"))
+        each = table.select(F.posexplode(F.when(bad.isNotNull(), F.raise_error(bad)).otherwise(both)).alias("edge_id", "x"))
+        entries = each.select(F.col("edge_id").cast("long").alias("edge_id"), F.col("x.src").alias("src"), F.col("x.weight").alias("weight"))
+        edges = cls.from_csc_tables(col_ptr.select(F.col("position").cast("long").alias("position"), "value"), entries).edges
         nodes = table.select(F.explode(F.expr("CASE WHEN num_nodes > 0 THEN sequence(0L, num_nodes - 1) ELSE array() END")).alias("id"))
         return cls(nodes, edges)
 
