@@ -17,6 +17,24 @@ def activate(z: Column, kind: Activation) -> Column:
     return z
 
 
+#: Features of a row that are written out one by one in compiled code; longer rows go through lambdas, which are interpreted.
+UNROLLED = 16
+
+
+def scaled(h: Column, by: Column, dim: int) -> Column:
+    """The features of `h`, which has `dim`, times a number."""
+    if not 0 < dim <= UNROLLED:
+        return F.transform(h, lambda x: x * by)
+    return F.when(h.isNotNull(), F.array(*(F.get(h, F.lit(k)) * by for k in range(dim))))
+
+
+def added(a: Column, b: Column, dim: int) -> Column:
+    """The sums of two arrays' features; both have `dim`."""
+    if not 0 < dim <= UNROLLED:
+        return F.zip_with(a, b, lambda x, y: x + y)
+    return F.when(a.isNotNull() & b.isNotNull(), F.array(*(F.get(a, F.lit(k)) + F.get(b, F.lit(k)) for k in range(dim))))
+
+
 def zeros(n: int) -> Column:
     return F.array_repeat(F.lit(0.0), n)
 

@@ -220,10 +220,13 @@ class Graph:
             raise IndexError(f"no edge {edge_id}")
         return got[0]
 
-    def inv_sqrt_degrees(self, self_loops: bool = False) -> DataFrame:
-        """id and 1 / sqrt(in-degree, plus one with `self_loops`); 0 where that is 0."""
+    def inv_sqrt_degrees(self, self_loops: bool = False, by: str = "dst") -> DataFrame:
+        """id and 1 / sqrt(in-degree, plus one with `self_loops`); 0 where that is 0.
+
+        `by="src"` counts outgoing edges, as many where the graph is undirected and whole.
+        """
         d = F.col("degree") + int(self_loops)
-        return self.in_degrees().select("id", F.when(d > 0, 1 / F.sqrt(d.cast("double"))).otherwise(0.0).alias("inv_sqrt"))
+        return self._degrees(by).select("id", F.when(d > 0, 1 / F.sqrt(d.cast("double"))).otherwise(0.0).alias("inv_sqrt"))
 
     # --- export
 

@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from meshwright.functions.arrays import dequantise, quantise, zeros
+from meshwright.functions.arrays import added, dequantise, quantise, scaled, zeros
 from meshwright.functions.storage import cut
 from meshwright.graph import Graph
 from meshwright.layers import Aggregation
@@ -70,15 +70,29 @@ def _feature(k: int) -> Column:
     return F.col("h")[k]
 
 
+def _reduced(grouped: GroupedData, kind: Aggregation, xs: list[Column]) -> tuple[DataFrame, Column]:
+    """The columns of `xs` reduced in each group, and the array of the results.
+
+    Means are sums and counts: what is shuffled has the counts side by side, which are
+    equal but for nulls and so compress to next to nothing; between an average's sums they don't.
+    """
+    if kind is not Aggregation.MEAN:
+        return grouped.agg(*(_reduce(kind, x).alias(f"s{k}") for k, x in enumerate(xs))), F.array(*(f"s{k}" for k in range(len(xs))))
+    sums = grouped.agg(*(F.sum(x).alias(f"s{k}") for k, x in enumerate(xs)), *(F.count(x).alias(f"c{k}") for k, x in enumerate(xs)))
+    return sums, F.array(*(F.col(f"s{k}") / F.nullif(F.col(f"c{k}"), F.lit(0)) for k in range(len(xs))))
+
+
 def reduce_by_key(messages: DataFrame, key: str, dim: int, kind: Aggregation, feature: Callable[[int], Column] = _feature) -> DataFrame:
     """`key` and m: the messages' h arrays of each key reduced feature by feature; up to BLOCK features may be other expressions."""
     if dim <= BLOCK:
-        sums = messages.groupBy(key).agg(*(_reduce(kind, feature(k)).alias(f"s{k}") for k in range(dim)))
-        return sums.select(key, F.array(*(f"s{k}" for k in range(dim))).alias("m") if dim else zeros(0).alias("m"))
+        if not dim:
+            return messages.select(key).distinct().select(key, zeros(0).alias("m"))
+        sums, m = _reduced(messages.groupBy(key), kind, [feature(k) for k in range(dim)])
+        return sums.select(key, m.alias("m"))
     blocks = -(-dim // BLOCK)
     parts = messages.select(key, F.posexplode(F.array(*(F.slice("h", b * BLOCK + 1, BLOCK) for b in range(blocks)))).alias("b", "h"))
-    sums = parts.groupBy(key, "b").agg(*(_reduce(kind, F.get("h", F.lit(k))).alias(f"s{k}") for k in range(BLOCK)))
-    whole = sums.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("b", F.array(*(f"s{k}" for k in range(BLOCK))).alias("m")))).alias("m"))
+    sums, m = _reduced(parts.groupBy(key, "b"), kind, [F.get("h", F.lit(k)) for k in range(BLOCK)])
+    whole = sums.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("b", m.alias("m")))).alias("m"))
     return whole.select(key, F.slice(F.flatten(F.col("m.m")), 1, dim).alias("m"))
 
 
@@ -130,8 +144,8 @@ def aggregate(
     if kind is Aggregation.GCN_NORM:
         # The source's factor goes into its features, the destination's into the sum.
         norm = degrees if degrees is not None else graph.inv_sqrt_degrees(self_loops)
-        side = side.join(norm, "id").select("id", F.transform("h", lambda x: x * F.col("inv_sqrt")).alias("h"))
-    scaled, small = side, False
+        side = side.join(norm, "id").select("id", scaled(F.col("h"), F.col("inv_sqrt"), dim).alias("h"))
+    factored, small = side, False
     if strategy == "vertex":
         edges = edges.repartition("dst")
         # A row for every node, so the features needn't be computed to be counted.
@@ -140,7 +154,7 @@ def aggregate(
         if most_messages is None:
             most_messages = most_in(edges)
         found = packed.reduce_packed(edges, side, kind, dim, most_messages)
-        return _finished(graph, found, norm if kind is Aggregation.GCN_NORM else None, scaled if own else None, dim)
+        return _finished(graph, found, norm if kind is Aggregation.GCN_NORM else None, factored if own else None, dim)
     side = side.withColumnRenamed("id", "src")
     if compress:
         side = side.select("src", quantise(F.col("h")).alias("q"))
@@ -157,7 +171,7 @@ def aggregate(
         h = dequantise(F.col("q")) if compress else F.col("h")
         messages = messages.select("dst", (h if weight is None else F.transform(h, lambda x: x * weight)).alias("h"))
         found = reduce_by_feature(messages, "dst", kind) if strategy == "feature" else reduce_by_key(messages, "dst", dim, kind)
-    return _finished(graph, found, norm if kind is Aggregation.GCN_NORM else None, scaled if own else None, dim)
+    return _finished(graph, found, norm if kind is Aggregation.GCN_NORM else None, factored if own else None, dim)
 
 
 def most_in(edges: DataFrame) -> int:
@@ -170,7 +184,7 @@ def _finished(graph: Graph, found: DataFrame, norm: DataFrame | None, own: DataF
     out = graph.nodes.select("id").join(found.withColumnRenamed("dst", "id"), "id", "left")
     if own is not None:
         mine = own.select("id", F.col("h").alias("mine"))
-        out = out.join(mine, "id").select("id", F.when(F.col("m").isNull(), F.col("mine")).otherwise(F.zip_with("m", "mine", lambda a, b: a + b)).alias("m"))
+        out = out.join(mine, "id").select("id", F.when(F.col("m").isNull(), F.col("mine")).otherwise(added(F.col("m"), F.col("mine"), dim)).alias("m"))
     if norm is not None:
-        out = out.join(norm, "id").withColumn("m", F.transform("m", lambda x: x * F.col("inv_sqrt")))
+        out = out.join(norm, "id").withColumn("m", scaled(F.col("m"), F.col("inv_sqrt"), dim))
     return out.select("id", F.coalesce("m", zeros(dim)).alias("m"))

@@ -15,6 +15,8 @@ from meshwright.matrix import DenseMatrix
 
 #: Weights of at most this many numbers are sent to all tasks; the layers' shapes are known beforehand.
 MOST_WEIGHTS = 8 << 20
+#: Weights of at most this many rows and columns are written into the sums' terms.
+MOST_ROWS, MOST_COLUMNS = 128, 64
 #: Blocks of either end of scored pairs, at least, and nodes of one at most: what a task holds in memory.
 BLOCKS, BLOCK_NODES = 16, 65536
 
@@ -30,19 +32,35 @@ def weight_rows(df: DataFrame, parts: list[tuple[str, DenseMatrix]]) -> DataFram
 def linear(df: DataFrame, parts: list[tuple[str, DenseMatrix]], bias: tuple[float, ...] = (), activation: Activation = Activation.NONE) -> DataFrame:
     """id and h: activation(sum over parts of column times matrix, plus bias).
 
-    Features are exploded and joined with the broadcast rows of the weights, and
-    summed by id. Grouping by id after a grouping by id needs no shuffle, and
-    partial sums leave one row a node in any case.
+    Small weights are written into the terms of one sum a column. Beyond MOST_ROWS or
+    MOST_COLUMNS, features are exploded and joined with the broadcast rows of the
+    weights. Either way sums are by id, without what is null. Grouping by id after a
+    grouping by id needs no shuffle, and partial sums leave one row a node in any case.
     """
     out = parts[0][1].cols
-    items = [F.transform(F.col(c), _tagged(c)) for c, _ in parts]
-    each = df.select("id", F.explode(F.concat(*items)).alias("f")).select("id", "f.part", "f.k", "f.x")
-    joined = each.join(F.broadcast(weight_rows(df, parts)), ["part", "k"])
-    sums = joined.groupBy("id").agg(*(F.sum(F.col("x") * F.col("wr")[j]).alias(f"z{j}") for j in range(out)))
+    if sum(w.rows for _, w in parts) <= MOST_ROWS and out <= MOST_COLUMNS and all(w.rows for _, w in parts):
+        sums = _sums_of_terms(df, parts)
+    else:
+        items = [F.transform(F.col(c), _tagged(c)) for c, _ in parts]
+        each = df.select("id", F.explode(F.concat(*items)).alias("f")).select("id", "f.part", "f.k", "f.x")
+        joined = each.join(F.broadcast(weight_rows(df, parts)), ["part", "k"])
+        sums = joined.groupBy("id").agg(*(F.sum(F.col("x") * F.col("wr")[j]).alias(f"z{j}") for j in range(out)))
     z = [F.col(f"z{j}") + F.lit(bias[j]) if bias else F.col(f"z{j}") for j in range(out)]
     return sums.select("id", F.array(*(activate(x, activation) for x in z)).alias("h"))
 
 
+def _sums_of_terms(df: DataFrame, parts: list[tuple[str, DenseMatrix]]) -> DataFrame:
+    """id and z0, z1, ...: a row a node goes into the sums, not one a feature."""
+    xs = [F.get(c, F.lit(k)).cast("double") for c, w in parts for k in range(w.rows)]
+    rows = [w.row(k) for _, w in parts for k in range(w.rows)]
+    terms = [F.coalesce(x, F.lit(0.0)) for x in xs]
+    sums = [sum((x * F.lit(float(row[j])) for x, row in zip(terms, rows, strict=True)), F.lit(0.0)) for j in range(parts[0][1].cols)]
+    # As an explode has it: no row of a node without any feature, and null where all its features are.
+    there = df.where(F.size(F.concat(*(F.col(c) for c, _ in parts))) > 0)
+    found = there.groupBy("id").agg(*(F.sum(x).alias(f"z{j}") for j, x in enumerate(sums)), F.max(F.coalesce(*xs).isNotNull()).alias("some"))
+    return found.select("id", *(F.when(F.col("some"), F.col(f"z{j}")).alias(f"z{j}") for j in range(len(sums))))
+
+
 def _tagged(part: str):
     return lambda x, i: F.struct(F.lit(part).alias("part"), i.alias("k"), x.alias("x"))
 

@@ -13,10 +13,10 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwright.functions.arrays import activate, zeros
+from meshwright.functions.arrays import activate, added, zeros
 from meshwright.functions.storage import cut
 from meshwright.graph import Graph
-from meshwright.layers import KNOWN_LAYERS, Aggregation, EGATLayer, GNNModel, Layer
+from meshwright.layers import KNOWN_LAYERS, Activation, Aggregation, EGATLayer, GNNModel, Layer
 from meshwright.operators.aggregate import aggregate, hubs, most_in, reduce_by_key
 from meshwright.operators.attention import attend
 from meshwright.operators.frontier import blocks
@@ -117,7 +117,8 @@ class SparkEngine:
         kind = layer.aggregation
         loops = kind is Aggregation.GCN_NORM and layer.self_loops
         if kind is Aggregation.GCN_NORM and loops not in norms:
-            norms[loops] = graph.inv_sqrt_degrees(loops)
+            # An undirected graph's edges are counted where they lie.
+            norms[loops] = graph.inv_sqrt_degrees(loops, "src" if self.strategy == "colocated" and not graph.directed else "dst")
         strategy = self.strategy_of(layer, graph)
         options = {"self_loops": loops, "use_edge_weights": self.use_edge_weights, "strategy": strategy, "degrees": norms.get(loops), "compress": self.compress}
         if self.compress == "columns":
@@ -148,7 +149,7 @@ class SparkEngine:
         z = F.col("m")
         if own is not None:
             m = m.join(linear(state, [("h", own)]).withColumnRenamed("h", "s"), "id")
-            z = F.zip_with("m", "s", lambda a, b: a + b)
+            z = added(z, F.col("s"), layer.out_dim)
         if layer.bias:
-            z = F.zip_with(z, F.array(*map(F.lit, layer.bias)), lambda a, b: a + b)
-        return m.select("id", F.transform(z, lambda x: activate(x, layer.activation)).alias("h"))
+            z = added(z, F.array(*map(F.lit, layer.bias)), layer.out_dim)
+        return m.select("id", (z if layer.activation is Activation.NONE else F.transform(z, lambda x: activate(x, layer.activation))).alias("h"))

@@ -3,14 +3,76 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from meshwright.catalog import bias, matrix
+from meshwright.functions.arrays import UNROLLED, added, scaled
 from meshwright.graph import BAD_ROW_IND, Graph
+from meshwright.layers import Activation, Aggregation, GCNLayer, GNNModel
+from meshwright.operators import transform
+from meshwright.operators.aggregate import reduce_by_key
+from meshwright.plans.engine import SparkEngine
+from meshwright.sources import layout
 
 
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def by_id(df):
+    return {r[0]: r[1] for r in df.collect()}
+
+
+def test_small_weights_take_a_row_a_node(spark, monkeypatch):
+    rows = [(1, [1.5, -2.0, 0.25], [4.0]), (2, [None, 1.0, None], [0.5]), (3, [None, None, None], [None]), (4, [], []), (5, None, [1.0]), (6, [1.0], [2.0]), (7, [1.0, 2.0, 3.0, 9.0], [4.0, 5.0]), (8, [1.0, 2.0, 3.0], [1.0]), (8, [4.0, 5.0, 6.0], [2.0])]
+    df = spark.createDataFrame(rows, "id long, m array<double>, h array<double>")
+    parts = [("m", matrix(3, 5, 0)), ("h", matrix(1, 5, 4))]
+    for act in Activation:
+        got = transform.linear(df, parts, bias(5), act)
+        assert "Generate" not in plan(got)
+        with monkeypatch.context() as m:
+            m.setattr(transform, "MOST_ROWS", 0)
+            want = transform.linear(df, parts, bias(5), act)
+            assert "Generate" in plan(want)
+        assert by_id(got) == by_id(want) and set(by_id(got)) == {1, 2, 3, 6, 7, 8}
+
+
+def test_counts_of_means_lie_side_by_side(spark):
+    rows = [(1, [1.0, None]), (1, [2.0, None]), (1, [4.0, 3.0]), (2, [None, None]), (3, None), (4, [1.0, float("nan")])]
+    df = spark.createDataFrame(rows, "dst long, h array<double>")
+    found = reduce_by_key(df, "dst", 2, Aggregation.MEAN)
+    assert "avg(" not in plan(found)
+    got = {k: [None if x is None else str(x) for x in v] for k, v in by_id(found).items()}
+    assert got == {1: [str(7 / 3), "3.0"], 2: [None, None], 3: [None, None], 4: ["1.0", "nan"]}
+
+
+@pytest.mark.parametrize("dim", [0, 2, UNROLLED, UNROLLED + 1])
+def test_arrays_times_and_plus(spark, dim):
+    h = [k / 4 for k in range(dim)]
+    df = spark.createDataFrame([(1, h, 2.0), (2, None, 2.0)], "id long, h array<double>, x double")
+    got = df.select("id", scaled(F.col("h"), F.col("x"), dim).alias("a"), added(F.col("h"), F.col("h"), dim).alias("b")).collect()
+    assert {r.id: (r.a, r.b) for r in got} == {1: ([2 * x for x in h], [2 * x for x in h]), 2: (None, None)}
+
+
+def test_an_undirected_graph_counts_its_degrees_where_its_edges_lie(spark):
+    pairs = spark.range(400).select((F.col("id") % 37).alias("src"), (F.col("id") * F.col("id") % 41).alias("dst")).distinct().where("src <= dst")
+    nodes = spark.range(45).select("id", F.array(F.col("id") / 8, F.lit(1.0)).alias("h"))
+    g = Graph.undirected(pairs, nodes)
+    model = GNNModel((GCNLayer(matrix(2, 2, 0), bias(2)),))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        at = layout.colocated(g)
+        got = SparkEngine(model, strategy="colocated").run(at, at.nodes)
+        # Only sums by destination travel.
+        assert len(re.findall(r"Exchange hashpartitioning\(dst", plan(got))) == 1
+        want = by_id(SparkEngine(model).run(g, g.nodes))
+        have = by_id(got)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert have.keys() == want.keys() and all(have[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_no_row_carries_an_array_of_all_edges(spark, tmp_path):
     row = [(4, 5, [0, 0, 2, 3, 5], [0, 2, 0, 1, 2], [0.5, 0.25, 1.25, 0.75, 1.0])]
     schema = "num_nodes long, num_edges long, col_ptr array<long>, row_ind array<long>, weights array<float>"
