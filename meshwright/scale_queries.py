@@ -354,12 +354,14 @@ _WIDTHS, _DEPTHS = (4, 16), (1, 2)
 def layer_sweep(s: SparkSession, d: str) -> DataFrame:
     """A row for each layer of models of two widths and depths over two graphs; what was measured is reduced to whether it makes sense."""
     graphs = {"g1": graph(s, d, "g1"), "g5": orders_and_parts(s, d)}
+    # Laid out once, so that no layer deals edges again.
     found = stages.sweep_models(
         scratch(s, "sweep"),
-        {k: Graph.from_edges(cut(g.edges.select("src", "dst")), cut(g.nodes.select("id"))) for k, g in graphs.items()},
+        {k: layout.colocated(Graph.from_edges(g.edges.select("src", "dst"), g.nodes.select("id"))) for k, g in graphs.items()},
         {"sage": lambda a, b: GraphSAGELayer(matrix(a, b, 0), None, bias(b), MEAN, RELU)},
         _WIDTHS,
         _DEPTHS,
+        {"colocated": SparkEngine(strategy="colocated")},
     )
     sane = (F.col("tasks") > 0) & (F.col("failed_tasks") == 0) & (F.col("task_seconds") > 0) & (F.col("peak_task_mb") > 0) & (F.col("skew") >= 1) & (F.col("nodes_per_s") > 0) & (F.col("edges_per_s") > 0)
     return found.select("graph", "width", "depth", "layer", "nodes", "edges", sane.alias("measured"))

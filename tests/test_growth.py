@@ -5,12 +5,14 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from meshwright import scale_queries
 from meshwright.catalog import bias, matrix
 from meshwright.functions.arrays import UNROLLED, added, scaled
 from meshwright.graph import BAD_ROW_IND, Graph
 from meshwright.layers import Activation, Aggregation, GCNLayer, GNNModel
 from meshwright.operators import transform
 from meshwright.operators.aggregate import reduce_by_key
+from meshwright.plans import stages
 from meshwright.plans.engine import SparkEngine
 from meshwright.sources import layout
 
@@ -89,3 +91,25 @@ def test_no_row_carries_an_array_of_all_edges(spark, tmp_path):
     short = Graph.from_csc_table(spark.createDataFrame([(2, 2, [0, 1, 2], [1], [])], schema))
     with pytest.raises(Exception, match=BAD_ROW_IND):
         short.edges.collect()
+
+
+def test_no_layer_of_the_sweep_deals_edges_again(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def look(path, graphs, kinds, widths, depths, engines=None, repeat=1):
+        for g in graphs.values():
+            for engine in (engines or {"auto": SparkEngine()}).values():
+                model = GNNModel(tuple(kinds["sage"](4, 4) for _ in range(2)))
+                text = plan(engine.with_model(model).run(g, stages.numbered_features(g.nodes, 4)))
+                assert "Exchange hashpartitioning(dst" in text and "Exchange hashpartitioning(src" not in text
+        raise Seen
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(stages, "sweep_models", look)
+    try:
+        with pytest.raises(Seen):
+            scale_queries.layer_sweep(spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
