@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwright.llm import decontamination, near_duplicates, packing, personal_data, quality_rules
-from meshwright.llm.shared import delete, read_table, scratch
+from meshwright.llm.shared import delete, read_table, released, scratch
 
 #: No stage can be said in SQL whole (zstandard, MinHash, edit distance, a trained classifier, a tokenizer).
 ORACLE_SQL = None
@@ -58,7 +58,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = scratch(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
+        out = stage(spark, docs, sf_dir)
+        with released(spark):
+            out.write.parquet(path)
         docs = spark.read.parquet(path)
         if before:
             delete(spark, before)

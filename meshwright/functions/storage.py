@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,16 +37,34 @@ def scratch(spark: SparkSession, what: str) -> str:
     return path
 
 
+@contextmanager
+def released(spark: SparkSession):
+    """Queries made in here delete their shuffle files when they have run.
+
+    Else the files stay until the driver happens to collect its garbage: all steps
+    of a long job lie on the executors' disks at once.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and go on from the copy: lineage ends there."""
+    """Write `df` to the shared folder and go on from the copy: lineage ends there, and what was shuffled for it is deleted."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with released(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)  # select: the setting holds for frames made under it
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """`df` written as Parquet to the shared folder and read again: for wide rows, which a checkpoint would not compress."""
     path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
+    with released(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -338,9 +338,11 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
         full = full.join(late, "node", "left_semi").unionByName(_full(docs, classes, late.join(members, "node", "left_anti"), size))
         full = cut(full)
         brief = many.select("key", "node", "root", "away", "n").join(partners, ["key", "node"])
-        between = in_blocks(brief.join(full, "node"), brief, BLOCK_ITEMS, F.greatest("n", F.lit(LEAST_ITEMS)), "a long, b long", _linked_ones(percent))
+        # Written one after the other: both shuffle full sets, which so don't lie on the disks together.
+        between = cut(in_blocks(brief.join(full, "node"), brief, BLOCK_ITEMS, F.greatest("n", F.lit(LEAST_ITEMS)), "a long, b long", _linked_ones(percent)))
+        across = cut(linked(crossed, full, percent))
         known = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-        roots = cut(components(known.unionByName(linked(crossed, full, percent)).unionByName(between)))
+        roots = cut(components(known.unionByName(across).unionByName(between)))
 
     # From nodes back to rows: a component is named by its least doc_id.
     id_type = dict(docs.dtypes)["doc_id"]
