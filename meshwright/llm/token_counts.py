@@ -3,16 +3,17 @@
 A text is cut into pre-tokens at white space (`[^\\x20\\x09-\\x0D]+`), each with
 the word mark in front. A unigram model gives each piece a log-probability; a
 pre-token's tokens are those of its likeliest segmentation. The distinct
-pre-tokens of a batch are inserted in a trie, and each trie node holds the best
-forward score of its prefix and where that segmentation's last piece begins: the
-dynamic program runs once for each node, so once for each shared prefix, and a
-pre-token's pieces are read from its terminal node back to the root. A node is
-extended by walking up only as far as some piece ends in what was passed, so the
-work per character is bounded too. The trie lives as long as its
-Python worker and starts afresh beyond MOST_NODES nodes, as do the terminals'
-pieces beyond MOST_TERMINALS, which bounds memory and changes no count; a
-pre-token whose pieces are stored is not walked again. A pre-token of more than
-MOST_CHARS characters is not put in the trie but gets arrays of its own.
+pre-tokens of a batch make a trie, and each trie node holds the best forward score
+of its prefix and where that segmentation's last piece begins: the dynamic program
+runs once for each node, so once for each shared prefix, and a pre-token's pieces
+are read from its terminal node back to the root. What ends in a node is found by
+walking up only as far as some piece ends in what was passed, so the work per
+character is bounded too. All nodes of a trie are walked at once, and all nodes of
+one depth are scored at once, as NumPy arrays. A trie is made of pre-tokens of
+MOST_NODES characters in all and gives way to the next one; a worker remembers the
+pieces of the pre-tokens of documents and starts afresh beyond MOST_TERMINALS, which
+bounds memory and changes no count. A pre-token of more than MOST_CHARS characters
+is not put in a trie but gets arrays of its own.
 
 The vocabulary is a public one of 32,000 pieces, read as it is; no piece is added
 or taken away. The pieces' log-probabilities are fitted to the corpus: the distinct
@@ -57,10 +58,47 @@ SMOOTHING = 0.1
 COLUMNS = "n_words long, n_tokens long, score double"
 
 
+class Endings:
+    """What pieces end in, as a trie that is read from the end: a state for each ending, 0 for the empty one."""
+
+    def __init__(self, endings: dict[str, int]):
+        state = {"": 0} | {x: i for i, x in enumerate(sorted(endings, key=len), 1)}
+        steps = np.array([state[x[1:]] << 21 | ord(x[0]) for x in endings], np.int64)
+        #: The number of each state's piece, and -1 where only longer pieces end so.
+        self.piece = np.full(len(state), -1, np.int64)
+        self.piece[[state[x] for x in endings]] = list(endings.values())
+        self.bits = max(4, (4 * len(steps)).bit_length())
+        #: The state of each step (state << 21 | code point) in an open hash table.
+        self.steps, self.after = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        left, after, place = steps, np.array([state[x] for x in endings], np.int32), self._place(steps)
+        while len(left):
+            free = self.steps[place] < 0
+            self.steps[place[free]] = left[free]
+            rest = self.steps[place] != left  # of those that meet in a free place one has got it
+            self.after[place[~rest]] = after[~rest]
+            left, after, place = left[rest], after[rest], (place[rest] + 1) & (len(self.steps) - 1)
+
+    def _place(self, steps: np.ndarray) -> np.ndarray:
+        return ((steps.view(np.uint64) * W.U64(0x9E3779B97F4A7C15)) >> W.U64(64 - self.bits)).view(np.int64)
+
+    def follow(self, state: np.ndarray, char: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of some states go on with these characters before them, and the states they go to."""
+        steps = state << 21 | char
+        place = self._place(steps)
+        there = self.steps[place]
+        on = np.flatnonzero((there != steps) & (there >= 0))
+        while len(on):
+            place[on] = (place[on] + 1) & (len(self.steps) - 1)
+            there[on] = at = self.steps[place[on]]
+            on = on[(at != steps[on]) & (at >= 0)]
+        hit = np.flatnonzero(there == steps)
+        return hit, self.after[place[hit]].astype(np.int64)
+
+
 class Vocabulary:
     """Pieces by number with their log-probabilities; the number after the last stands for one byte of an uncovered character."""
 
-    def __init__(self, pieces: list[str], scores: list[float], byte: float):
+    def __init__(self, pieces: list[str], scores: list[float], byte: float, walk: Endings | None = None):
         self.ids = {x: i for i, x in enumerate(pieces)}
         self.pieces, self.scores, self.byte = pieces, [*scores, byte], len(pieces)
         self.table = np.array(self.scores)
@@ -70,13 +108,14 @@ class Vocabulary:
             for i in range(1, len(x)):
                 self.endings.setdefault(x[i:], -1)
         self.endings |= self.ids
+        self.walk = walk or Endings(self.endings)
 
     def refit(self, counts: dict[int, int]) -> Vocabulary:
         """The same pieces with the scores of their counts; the bytes' count is that of 256 pieces."""
         n = [counts.get(i, 0) + SMOOTHING for i in range(self.byte)]
         byte = counts.get(self.byte, 0) / 256 + SMOOTHING
         total = math.log(sum(n) + 256 * byte)
-        return Vocabulary(self.pieces, [math.log(x) - total for x in n], math.log(byte) - total)
+        return Vocabulary(self.pieces, [math.log(x) - total for x in n], math.log(byte) - total, self.walk)
 
     def extend(self, text: str, i: int, path, score) -> tuple[float, int, int]:
         """Best score of text[: i + 1], where its last piece begins and that piece; text[:j] has score[path[j]]."""
@@ -113,7 +152,7 @@ class Vocabulary:
 
 
 class Given:
-    """The public model's own segmentation of pre-tokens, remembered by hash."""
+    """The public model's own segmentation of pre-tokens."""
 
     def __init__(self, name: str):
         import sentencepiece
@@ -125,18 +164,15 @@ class Given:
         #: The model's number of a piece to ours; all others are bytes.
         self.number = np.full(n, self.vocabulary.byte, np.int64)
         self.number[plain] = np.arange(len(plain))
-        self.known = W.Known(MOST_TERMINALS)
-
-    def slots_of(self, hashes: np.ndarray, text_of) -> np.ndarray:
-        def lists_of(new: np.ndarray) -> tuple[np.ndarray, list[int]]:
-            found = self.model.encode([x[len(MARK) :] for x in text_of(new)], num_threads=1)
-            return self.number[[k for x in found for k in x]], [len(x) for x in found]
 
-        return self.known.slots_of(hashes, lists_of)
+    def lists_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of some words, one list after the other, and the lists' sizes."""
+        found = self.model.encode([x[len(MARK) :] for x in words], num_threads=1)
+        return self.number[[k for x in found for k in x]], np.array([len(x) for x in found], np.int64)
 
 
 class Trie:
-    """Nodes by number: best score of the prefix that ends there, the node where its last piece begins, and that piece."""
+    """Nodes by number: best score of the prefix that ends there, the node where its last piece begins, that piece and how often it counts."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
@@ -144,63 +180,98 @@ class Trie:
         self.clear()
 
     def clear(self) -> None:
-        self.next: dict[int, int] = {}
-        self.score, self.back, self.piece, self.size = array("d", [0.0]), array("l", [0]), array("l", [0]), array("b", [0])
-
-    def insert(self, word: str, path: list[int]) -> int:
-        """The terminal node of `word`; `path` (the nodes of its prefixes, root first) is filled up on the way."""
-        score, extend, following = self.score, self.vocabulary.extend, self.next
-        here = path[-1]
-        for i in range(len(path) - 1, len(word)):
-            step = here << 21 | ord(word[i])
-            nxt = following.get(step)
-            if nxt is None:
-                best, j, k = extend(word, i, path, score)
-                nxt = following[step] = len(score)
-                score.append(best)
-                self.back.append(path[j])
-                self.piece.append(k)
-                self.size.append(len(word[i].encode("utf-8", "surrogatepass")) if k == self.vocabulary.byte else 1)
-            here = nxt
-            path.append(here)
-        return here
-
-    def pieces(self, ordered: list[str]) -> list[list[int]]:
-        """The pieces of words in ascending order, last first; neighbours share the path of their common prefix."""
-        if len(self.score) > MOST_NODES:
-            self.clear()
-        out, path, before = [], [0], ""
-        for word in ordered:
-            if len(word) > MOST_CHARS:
-                out.append(self.vocabulary.long_pieces(word))
-                continue
-            shared, most = 0, min(len(word), len(before))
-            while shared < most and word[shared] == before[shared]:
-                shared += 1
-            del path[shared + 1 :]
-            node, found = self.insert(word, path), []
-            while node:
-                found += [self.piece[node]] * self.size[node]
-                node = self.back[node]
-            out.append(found)
-            before = word
-        return out
+        self.score, self.back, self.piece, self.times = np.zeros(1), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def insert(self, ordered: list[str], sizes: np.ndarray) -> np.ndarray:
+        """Make the trie of some words in ascending order; the terminal node of each."""
+        v, first = self.vocabulary, np.cumsum(sizes) - sizes
+        text = np.frombuffer("".join(ordered).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        depth = np.arange(len(text)) - np.repeat(first, sizes)
+        # A prefix is a node of its own where the word before has another one.
+        above, sizes_above = np.concatenate([[0], first[:-1]]), np.concatenate([[0], sizes[:-1]])
+        same = depth < np.repeat(sizes_above, sizes)
+        same[same] = text[(np.repeat(above, sizes) + depth)[same]] == text[same]
+        fresh = depth >= np.repeat(np.minimum.reduceat(np.where(same, MOST_CHARS, depth), first), sizes)
+        order = np.argsort(depth.astype(np.uint16), kind="stable")
+        node = np.empty(len(text), np.int64)
+        node[order] = np.cumsum(fresh[order])
+        at = order[fresh[order]]  # the characters of the nodes 1, 2, ..., by depth
+        levels = np.searchsorted(depth[at], np.arange(depth.max() + 2)) + 1
+        # What ends in each node: the node before it, its piece and that one's score; bytes first, then by length.
+        here, position, state, found = np.arange(1, len(at) + 1), at, np.zeros(len(at), np.int64), []
+        uncovered = np.ones(len(at) + 1, bool)
+        uncovered[0] = False
+        for n in range(1, len(text) + 1):
+            hit, state = v.walk.follow(state, text[position - (n - 1)])
+            here, position = here[hit], position[hit]
+            piece = v.walk.piece[state]
+            whole, more = np.flatnonzero(piece >= 0), depth[position] >= n
+            found.append((here[whole], np.where(more[whole], node[position[whole] - n], 0), piece[whole]))
+            if n == 1:
+                uncovered[here[whole]] = False
+            here, position, state = here[more], position[more], state[more]
+            if not len(here):
+                break
+        odd = np.flatnonzero(uncovered)
+        char = text[at[odd - 1]]
+        times = 1 + (char >= 0x80) + (char >= 0x800) + (char >= 0x10000)
+        found.insert(0, (odd, np.where(depth[at[odd - 1]] > 0, node[at[odd - 1] - 1], 0), np.full(len(odd), v.byte)))
+        ends = np.cumsum(sum(np.bincount(x[0], minlength=len(at) + 1) for x in found))
+        begins, filled = np.concatenate([[0], ends[:-1]]), np.concatenate([[0], ends[:-1]])
+        start, pieces, gain = np.empty(ends[-1], np.int64), np.empty(ends[-1], np.int64), np.empty(ends[-1])
+        for k, (nodes, before, piece) in enumerate(found):
+            place = filled[nodes]
+            start[place], pieces[place], gain[place] = before, piece, v.table[piece] if k else times * v.table[piece]
+            filled[nodes] += 1
+        self.score, self.back, self.piece, self.times = np.zeros(len(at) + 1), np.zeros(len(at) + 1, np.int64), np.zeros(len(at) + 1, np.int64), np.ones(len(at) + 1, np.int64)
+        for lo, hi in zip(levels[:-1].tolist(), levels[1:].tolist(), strict=True):
+            a, b, own = begins[lo], ends[hi - 1], slice(lo, hi)
+            score = self.score[start[a:b]] + gain[a:b]
+            best = np.maximum.reduceat(score, begins[own] - a)
+            equal = score == np.repeat(best, ends[own] - begins[own])
+            chosen = a + np.maximum.reduceat(np.where(equal, np.arange(b - a), -1), begins[own] - a)  # of equals the longer last piece
+            self.score[own], self.back[own], self.piece[own] = best, start[chosen], pieces[chosen]
+        self.times[odd] = np.where(self.piece[odd] == v.byte, times, 1)
+        return node[first + sizes - 1]
+
+    def pieces(self, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces from some terminal nodes back to the root, one list after the other, and the lists' sizes."""
+        which, nodes, passed = np.arange(len(ends)), ends, []
+        while len(nodes):
+            passed.append((which, nodes))
+            nodes = self.back[nodes]
+            which, nodes = which[nodes > 0], nodes[nodes > 0]
+        n = np.bincount(np.concatenate([x[0] for x in passed]), minlength=len(ends))
+        first, path = np.cumsum(n) - n, np.empty(n.sum(), np.int64)
+        for k, (which, nodes) in enumerate(passed):
+            path[first[which] + k] = nodes
+        return np.repeat(self.piece[path], self.times[path]), np.add.reduceat(self.times[path], first)
+
+    def lists_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of some words, last first, one list after the other, and the lists' sizes."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        short = sorted(np.flatnonzero(size <= MOST_CHARS).tolist(), key=words.__getitem__)
+        long = np.flatnonzero(size > MOST_CHARS).tolist()
+        found = [(np.array(x, np.int64), np.array([len(x)])) for x in (self.vocabulary.long_pieces(words[i]) for i in long)]
+        bounds = np.concatenate([[0], np.cumsum(size[short])])
+        for i, j in W.slices(bounds, MOST_NODES):
+            found.append(self.pieces(self.insert([words[k] for k in short[i:j]], size[short[i:j]])))
+        flat, sizes = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        at = np.empty(len(words), np.int64)
+        at[np.array(long + short, np.int64)] = np.arange(len(words))
+        return gathered(flat, (np.cumsum(sizes) - sizes)[at], sizes[at]), sizes[at]
 
     def slots_of(self, hashes: np.ndarray, text_of) -> np.ndarray:
         """Slots in `known` of distinct pre-tokens by ascending hash; `text_of` gives the texts at some positions."""
+        return self.known.slots_of(hashes, lambda new: self.lists_of(text_of(new)))
 
-        def lists_of(new: np.ndarray) -> tuple[list[int], list[int]]:
-            words = text_of(new)
-            order = sorted(range(len(words)), key=words.__getitem__)
-            found: list = [None] * len(words)
-            for i, x in zip(order, self.pieces([words[i] for i in order]), strict=True):
-                found[i] = x
-            return [k for x in found for k in x], [len(x) for x in found]
 
-        return self.known.slots_of(hashes, lists_of)
+def gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Lists within `flat`, one after the other."""
+    return flat[np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)]
 
 
-def look_up(data: np.ndarray, bounds: np.ndarray, own: Trie | Given) -> tuple[W.Words, np.ndarray, np.ndarray]:
+def look_up(data: np.ndarray, bounds: np.ndarray, own: Trie) -> tuple[W.Words, np.ndarray, np.ndarray]:
     """The pre-tokens of a batch, the slots of the distinct ones' pieces, and which of these each one is."""
     found = W.find_words(data, bounds, lower=False)
     if not len(found.hashes):
@@ -214,10 +285,10 @@ def look_up(data: np.ndarray, bounds: np.ndarray, own: Trie | Given) -> tuple[W.
     return found, own.slots_of(distinct, text_of), index
 
 
-def pieces_of(slots: np.ndarray, own: Trie | Given) -> tuple[np.ndarray, np.ndarray]:
+def pieces_of(slots: np.ndarray, own: Trie) -> tuple[np.ndarray, np.ndarray]:
     """The pieces of some slots, one list after the other, and the lists' sizes."""
     start, size = own.known.at[slots], own.known.at[slots + 1] - own.known.at[slots]
-    return own.known.flat[np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)], size
+    return gathered(own.known.flat, start, size), size
 
 
 def count_rows(data: np.ndarray, bounds: np.ndarray, own: Trie) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -270,12 +341,10 @@ def weighted_counts(words: DataFrame, segment, pieces: int) -> dict[int, int]:
     def run(batches):
         own, total = made(key, segment), np.zeros(pieces + 1)
         for b in batches:
-            data, bounds = W.text_bytes(b.column(0))
             times = b.column(1).to_numpy()
-            for i, j in W.slices(bounds):
-                _, slots, index = look_up(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], own)
-                found, size = pieces_of(slots, own)
-                total += np.bincount(found, np.repeat(np.bincount(index, times[i:j], len(slots)), size), len(total))  # whole numbers below 2**53
+            for i, j in W.slices(W.text_bytes(b.column(0))[1]):
+                found, size = own.lists_of([MARK + x for x in b.column(0).slice(i, j - i).to_pylist()])
+                total += np.bincount(found, np.repeat(times[i:j], size), len(total))  # whole numbers below 2**53
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at].astype(np.int64), pa.int64())], names=["piece", "n"])
 

@@ -299,6 +299,34 @@ def test_trie_equals_plain_dynamic_program(monkeypatch):
         assert score[i] == pytest.approx(sum(s for s, _ in each), abs=1e-6, rel=1e-9)
 
 
+def odd_words(n, seed, alphabet="aAÉéßing中👍x▁.\x00"):
+    rng = random.Random(seed)
+    return [token_counts.MARK + "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 14))) for _ in range(n)]
+
+
+def test_nodes_of_a_trie_are_scored_at_once(monkeypatch):
+    """Not one by one in Python, which took most of the operator's CPU seconds: a trie takes as many steps as a piece has letters, however many words it has."""
+    own = token_counts.Trie(some_scores())
+    monkeypatch.setattr(token_counts.Vocabulary, "extend", lambda *_: pytest.fail("a node on its own"))
+    texts = pa.array([" ".join(x[1:] for x in odd_words(n, n)) for n in (300, 20_000)])
+    assert token_counts.count_rows(*W.text_bytes(texts), own)[0].tolist() == [300, 20_000]
+    steps, follow = [], token_counts.Endings.follow
+    monkeypatch.setattr(token_counts.Endings, "follow", lambda *a: steps.append(1) or follow(*a))
+    own.lists_of(odd_words(20_000, 7))
+    assert 0 < len(steps) <= max(map(len, own.vocabulary.pieces)) + 1
+
+
+@pytest.mark.parametrize("most", [1, 90, 500_000])
+def test_tries_cut_as_single_words_do(monkeypatch, most):
+    monkeypatch.setattr(token_counts, "MOST_NODES", most)
+    words = [*odd_words(1500, 9), *odd_words(1500, 10, "thein"), *["▁" + "thein" * 60, "▁the", "▁", "▁the", "▁" + "é" * 255, "▁" + "é" * 256, "▁" + "中👍" * 120]]
+    for v in (some_scores(), some_scores().refit({})):  # without counts ties are everywhere
+        flat, sizes = token_counts.Trie(v).lists_of(words)
+        assert flat.tolist() == [k for x in words for k in v.long_pieces(x)]
+        assert sizes.tolist() == [len(v.long_pieces(x)) for x in words]
+    assert [len(x) for x in token_counts.Trie(v).lists_of([])] == [0, 0]
+
+
 def test_long_words_stay_out_of_the_trie():
     own = token_counts.Trie(some_scores())
     token_counts.count_rows(*W.text_bytes(pa.array(["ab" * 100_000])), own)
